@@ -1,4 +1,5 @@
 """Registered queries of the tracking engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.registered import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
