@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
@@ -17,7 +17,6 @@ from ..options import TrackOptions
 from ..sources import logs, sinks
 from . import sql, views
 
-FALLBACK = F.lit(views.FALLBACK_TS).cast("timestamp")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,8 +42,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _fallback() -> Column:
+    return F.lit(views.FALLBACK_TS).cast("timestamp")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.assemble(views.log(spark, sf_dir), TrackOptions(), FALLBACK)
+    return A.assemble(views.log(spark, sf_dir), TrackOptions(), _fallback())
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +108,7 @@ _AUDIT = "select group_vxid, xid, outcome, no_timestamp, truncated, key_overflow
 
 
 def _audit(log, tx, options):
-    return U.audit(log, tx, options, FALLBACK).select("group_vxid", "xid", "outcome", "no_timestamp", "truncated", "key_overflows", "vsl_err", "len_hi", "key_hi")
+    return U.audit(log, tx, options, _fallback()).select("group_vxid", "xid", "outcome", "no_timestamp", "truncated", "key_overflows", "vsl_err", "len_hi", "key_hi")
 
 
 @query(sql.with_(sql.audit("doc", TrackOptions(max_reclen=8192), "doc"), then=_AUDIT))
@@ -126,7 +129,7 @@ def audit_groups(spark, sf_dir):
 
 @query(sql.with_(sql.audit("rec", sql.SMALL, "tx"), then=sql.COUNTERS))
 def reader_counters(spark, sf_dir):
-    return U.reader_counters(U.audit(views.log(spark, sf_dir), views.transactions(spark, sf_dir), sql.SMALL, FALLBACK))
+    return U.reader_counters(U.audit(views.log(spark, sf_dir), views.transactions(spark, sf_dir), sql.SMALL, _fallback()))
 
 
 @query(sql.with_(_STATES, sql.ROUTED, then="select * from routed"))
@@ -233,8 +236,6 @@ def occupancy(spark, sf_dir):
 def ordered_output(spark, sf_dir):
     """Messages in sink order, with their place in the partition's file."""
     rows = R.ordered(R.split_rejects(_routed(spark, sf_dir))[0])
-    from pyspark.sql import Window
-
     return rows.select("group_vxid", "key", "partition", F.row_number().over(Window.partitionBy("partition").orderBy("group_vxid")).cast("long").alias("place"))
 
 
