@@ -1,0 +1,154 @@
+"""Line deduplication: repeated passages of at least `min_words` words, found by winnowing line hashes.
+
+A document is the sequence of hashes of its lines (surrounding white space aside; lines without words
+are passed over). For each line the window is the shortest run from it that has `min_words` words, so
+a long line is a window by itself. The least line hash of each window is a fingerprint: a passage of
+`min_words` words or more that occurs twice, in whole lines, has a window in common and hence a common
+fingerprint. Fingerprints that occur once are dropped after pre-aggregation. Around the others matches
+are extended both ways, over windows that begin and windows that end at each line; a window whose
+lines occurred before, in order of id and line, is a repeat, and its lines are deleted.
+
+So a line is deleted exactly if it lies in a run of whole lines with at least `min_words` words that
+occurred earlier; the first occurrence stays. Fingerprints and windows are only ever grouped with
+map-side aggregation and joined with their first occurrence, never with each other.
+
+Defined results: null texts count as empty and have no lines; of repeated rows (one id) all count as
+one place, so they do not delete each other's lines and lose the same ones; rows with a null id are
+returned unchanged; an empty table gives an empty result; other columns are not looked at.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+MIN_WORDS = 50
+
+
+def _lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All lines, and the hashes and word counts of those with words (count 0 for the others)."""
+    lines = text.split("\n")
+    words = np.array([len(line.split()) for line in lines], np.int64)
+    hashes = np.array([int.from_bytes(hashlib.blake2b(line.strip().encode(), digest_size=8).digest(), "little", signed=True) if n else 0 for line, n in zip(lines, words, strict=True)], np.int64)
+    return lines, hashes, words
+
+
+def window_ends(words: np.ndarray, min_words: int) -> np.ndarray:
+    """For each line the end (exclusive) of the shortest run from it with min_words words; 0 where there is none."""
+    upto = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(upto, upto[:-1] + min_words)
+    return np.where(ends < len(upto), ends, 0)
+
+
+def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of the least hash of each window, the last of equal ones, without repeats."""
+    found = {int(e - 1 - hashes[s:e][::-1].argmin()) for s, e in enumerate(ends) if e}
+    return np.array(sorted(found), np.int64)
+
+
+def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """The shortest windows from and up to each line, as (start, end), each once."""
+    n, ends = len(words), window_ends(words, min_words)
+    back = window_ends(words[::-1], min_words)
+    return sorted({(s, int(e)) for s, e in enumerate(ends) if e} | {(n - int(e), n - s) for s, e in enumerate(back) if e})
+
+
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, words = [], []
+        for text in batch.column(1):
+            _, h, w = _lines(text.as_py() or "")
+            hashes.append(h[w > 0].tobytes())
+            words.append(w[w > 0].astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(words, pa.binary())], names=["id", "hashes", "words"])
+
+
+def _arrays(row: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(batch.column(1)[row].as_py(), np.int64), np.frombuffer(batch.column(2)[row].as_py(), np.int32).astype(np.int64)
+
+
+def _fingerprint_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, rows = [], []
+            for i in range(batch.num_rows):
+                h, w = _arrays(i, batch)
+                own = h[fingerprints(h, window_ends(w, min_words))]
+                prints.append(own)
+                rows.append(np.full(len(own), i))
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64)), batch.column(0).take(pa.array(rows, pa.int64()))], names=["print", "id"])
+
+    return run
+
+
+def _window_rows(min_words: int):
+    """Windows around a document's shared fingerprints: (key, id, start, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, begins, ends = [], [], [], []
+            for i in range(batch.num_rows):
+                h, w = _arrays(i, batch)
+                shared = np.isin(h, np.array(batch.column(3)[i].as_py(), np.int64))
+                upto = np.concatenate([[0], np.cumsum(shared)])
+                for s, e in windows(w, min_words):
+                    if upto[e] > upto[s]:
+                        keys.append(_key(h[s:e]))
+                        rows.append(i)
+                        begins.append(s)
+                        ends.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["key", "id", "start", "end"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, runs): the merged runs of repeated lines of each document that has any, as (start, end) among its lines with words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = materialize(rows.mapInArrow(_sequences, f"id {kind}, hashes binary, words binary"), "lines")
+    prints = materialize(lines.mapInArrow(_fingerprint_rows(min_words), f"print long, id {kind}"), "prints")
+    shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    own = prints.join(shared, "print").groupBy("id").agg(F.collect_set("print").alias("shared"))
+    found = lines.join(own, "id").select("id", "hashes", "words", "shared").mapInArrow(_window_rows(min_words), f"key binary, id {kind}, start long, end long")
+    found = materialize(found, "windows")
+    first = found.groupBy("key").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    later = found.join(first, "key").where(F.struct("id", "start") > F.col("first"))
+    return later.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, totals, gone, words_gone = [], [], [], []
+        for text, runs in zip(batch.column(1), batch.column(2), strict=True):
+            lines, _, words = _lines(text.as_py()) if text.is_valid else ([], None, np.zeros(0, np.int64))
+            drop = np.zeros(int((words > 0).sum()), bool)
+            for run in runs.as_py() or ():
+                drop[run["start"] : run["end"]] = True
+            lost = np.zeros(len(lines), bool)
+            lost[words > 0] = drop
+            texts.append("\n".join(line for line, x in zip(lines, lost, strict=True) if not x) if text.is_valid else None)
+            totals.append(len(drop))
+            gone.append(int(drop.sum()))
+            words_gone.append(int(words[lost].sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(words_gone, pa.int64())], names=["id", "text", "n_lines", "n_removed", "words_removed"])
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document: id, text without repeated runs, n_lines (with words), n_removed, words_removed."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    runs = repeated_runs(docs, id_col, text_col, min_words)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(runs, "id", "left").select("id", "text", "runs")
+    return rows.mapInArrow(_without, f"id {kind}, text string, n_lines long, n_removed long, words_removed long").withColumnsRenamed({"id": id_col, "text": text_col})

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup
-from .common import table
+from . import decontaminate, exact_dedup, html_text, language_id, licences, line_dedup, mixing, near_dedup, secrets, warc
+from .common import new_path, table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=2, per_cent=80)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,6 +44,24 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["licence"])))
+    places = F.transform("found", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"]))
+    return found.select("doc_id", "n_sentences", F.size("found").cast("long").alias("n_licences"), F.array_join(names, ",").alias("licences"), F.array_join(places, ",").alias("spans"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language_id.fold() == 2, F.lit(False))
@@ -45,10 +71,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_warc": op8_warc,
+    "op9_licence_scan": op9_licence_scan,
     "op10_language_id": op10_language_id,
 }
 
@@ -56,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
