@@ -101,7 +101,7 @@ def fit(
     max_languages: int = 200,
     epochs: int = 12,
     reject_rate: float = 0.001,
-    reject_below: float = 0.5,
+    reject_below: float = 0.35,
     seed: int = 7,
 ) -> Model:
     """Train on a bounded sample of the labelled rows of docs."""
