@@ -14,10 +14,12 @@ that could change them is left out:
 1. Documents with equal sets form a class; one representative each goes on.
 2. In every bucket of the index each member is tried against the bucket's smallest member. The
    links found give components.
-3. In buckets whose members lie in several components, all pairs across components are tried that
-   do not belong to step 2. Members of the bucket's largest component are never paired with each
-   other. Before that, if such pairs outnumber the members, further rounds of step 2 with other
-   pivots merge components.
+3. Buckets whose members lie in several components may hold more links. Members outside a bucket's
+   largest component are matched with all members of such buckets by an exact filter instead of in
+   pairs: shingles are put in one order, rarest first, and a linked pair must share one of its first
+   shingles, with enough shingles left behind it. How many are first depends on both sizes, so sizes
+   are dealt into bands and each document is entered once for every band that a partner may be in.
+   The order comes from a count sketch of fixed size; its errors cost time, never links.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and stay
 alone; of repeated rows each is given; rows with a null id take part in nothing, have a null
@@ -26,6 +28,7 @@ component and are not kept; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .text_arrays import LOWER, NOT_SPACE, blocks, shingle_hashes, utf8, word_bounds, word_hashes
+from .text_arrays import LOWER, NOT_SPACE, blocks, mix, shingle_hashes, utf8, word_bounds, word_hashes
 
 CHUNKS, CHUNK, ERRORS, BITS = 12, 5, 1, 16
 POSITIONS = CHUNKS * CHUNK
 #: Pairs whose signatures differ in more positions are not confirmed: at similarity 0.8 the chance is below 1e-9.
 MOST_DIFFERING = 32
 
+#: Counters of the sketch that orders shingles, and the ratio of a size band.
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
+BAND = 1.05
+
 _FACTORS = (np.random.default_rng(20_011).integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
@@ -91,6 +99,7 @@ def _sets(k: int):
 
 
 def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) for every chunk and every position left out; the key is hashed with its place, a clash only adds a pair to try."""
     for batch in batches:
         signed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, POSITIONS).astype(np.uint64)
         for chunk in range(CHUNKS):
@@ -99,8 +108,54 @@ def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(CHUNK):
                     if j != out:
                         key = (key << np.uint64(BITS)) | signed[:, chunk * CHUNK + j]
-                part = np.full(len(signed), chunk * CHUNK + out, dtype=np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key.view(np.int64)), batch.column(0)], names=["part", "key", "id"])
+                place = np.uint64((chunk * CHUNK + out + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key ^ place).view(np.int64)), batch.column(0)], names=["key", "id"])
+
+
+def _sketch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = np.zeros(SKETCH, dtype=np.int64)
+        for own in batch.column(0):
+            total += np.bincount(np.frombuffer(own.as_buffer(), dtype=np.uint64) >> np.uint64(64 - SKETCH_BITS), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+
+def _band(size: int) -> int:
+    return int(math.log(size) / math.log(BAND))
+
+
+def _band_least(band: int) -> int:
+    """A size that none in the band is below; one less than the bound, so rounding never matters."""
+    return max(1, math.floor(BAND**band) - 1)
+
+
+def _first_shingles(counts: np.ndarray, per_cent: int):
+    """Rows (token, own band, partner band, id, root, loose, size, place) for the first shingles of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
+                size, count = len(own), counts[own >> np.uint64(64 - SKETCH_BITS)]
+                own, count = (x[np.lexsort((own, count))] for x in (own, count))
+                tokens, bands, places = [], [], []
+                for band in range(_band(max(1, per_cent * size // 100 - 1)), _band(100 * size // per_cent + 1) + 1):
+                    # linked sets share at least per_cent / (100 + per_cent) of both sizes together
+                    least = math.ceil(per_cent * (size + max(_band_least(band), math.ceil(per_cent * size / 100))) / (100 + per_cent))
+                    place = np.flatnonzero(count[: max(0, size - least + 1)] > 1)
+                    tokens.append(own[place])
+                    places.append(place)
+                    bands.append(np.full(len(place), band))
+                token = np.concatenate(tokens).view(np.int64)
+                n = len(token)
+                fixed = [pa.repeat(batch.column(j)[i], n) for j in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token), pa.array(np.full(n, _band(size), np.int32)), pa.array(np.concatenate(bands).astype(np.int32)), *fixed, pa.array(np.full(n, size, np.int32)), pa.array(np.concatenate(places).astype(np.int32))],
+                    names=["token", "own", "partner", "id", "root", "loose", "size", "place"],
+                )
+
+    return run
 
 
 def _confirm(per_cent: int):
@@ -131,39 +186,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = profile.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
 
-    keys = classes.select("id", "signature").mapInArrow(_index_keys, f"part byte, key long, id {kind}")
-    buckets = keys.groupBy("part", "key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialize(keys.join(buckets, ["part", "key"]), "members")
-    needed = members.select("id").distinct()
-    sets = materialize(rows.join(needed, "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    keys = classes.select("id", "signature").mapInArrow(_index_keys, f"key long, id {kind}")
+    buckets = materialize(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    members = materialize(keys.join(buckets.filter("size > 2").select("key", "lead"), "key"), "members")
+    pairs = buckets.filter("size = 2").select(F.col("last").alias("u"), F.col("lead").alias("v"))
+    pairs = materialize(pairs.unionByName(members.filter("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))).distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = materialize(rows.join(needed, "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, shingles binary"), "sets")
     signed = classes.select("id", F.hex("signature").alias("signature"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs(u, v) that hold on the full sets."""
-        pairs = pairs.distinct()
+        """The distinct pairs(u, v) that hold on the full sets."""
         pairs = pairs.join(signed.toDF("u", "a"), "u").join(signed.toDF("v", "b"), "v").filter(_differing("a", "b") <= MOST_DIFFERING).select("u", "v")
         pairs = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
         return materialize(pairs.mapInArrow(_confirm(per_cent), f"u {kind}, v {kind}"), "confirmed")
 
-    found = links(members.filter("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    found = links(pairs)
     roots = materialize(connected_components(found), "roots")
-    turn = 0
-    while True:
-        open_members, pairs = _open_members(members.filter("size > 2"), roots)
-        row = pairs.first()
-        if not row.pairs:
-            break
-        if row.pairs <= max(1_000_000, 4 * row.members) or turn >= 4:
-            more = links(_across(open_members))
-            if more.first() is not None:
-                found = found.unionByName(more)
-                roots = materialize(connected_components(found), "roots")
-            break
-        turn += 1
-        order = F.xxhash64(F.lit(turn), "id")
-        pivots = open_members.groupBy("part", "key").agg(F.min_by("id", order).alias("pivot"), F.min_by("root", order).alias("own"))
-        found = found.unionByName(links(open_members.join(pivots, ["part", "key"]).filter("root <> own").select(F.col("id").alias("u"), F.col("pivot").alias("v"))))
-        roots = materialize(connected_components(found), "roots")
+    more = links(_across(_open_documents(members, roots), sets, kind, per_cent))
+    if more.first() is not None:
+        roots = materialize(connected_components(found.unionByName(more)), "roots")
 
     moved = classes.join(roots, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("root", "id").alias("root"), ((F.col("rows") > 1) | F.col("root").isNotNull()).alias("moved")).filter("moved")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
@@ -172,23 +214,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets that span several components, with their own and the bucket's most frequent one; and how many they and their pairs across components are."""
-    labelled = members.join(roots, F.col("id") == F.col("node"), "left").select("part", "key", "id", "lead", F.coalesce("root", "id").alias("root"))
-    counts = labelled.groupBy("part", "key", "root").count()
-    spread = counts.groupBy("part", "key").agg(F.max_by("root", "count").alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"))
-    spread = spread.filter("parts > 1")
-    open_members = materialize(labelled.join(spread.select("part", "key", "main", "n", "squares"), ["part", "key"]), "open")
-    once = open_members.select("part", "key", "n", "squares").distinct()
-    return open_members, once.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2 - (F.col("n") - 1)), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, without those that the bucket's lead belongs to."""
-    a = members.filter("root <> main and id <> lead").select("part", "key", F.col("id").alias("u"), F.col("root").alias("ur"))
-    b = members.filter("id <> lead").select("part", "key", F.col("id").alias("v"), F.col("root").alias("vr"), (F.col("root") == F.col("main")).alias("in_main"))
-    crossed = a.join(b, ["part", "key"]).filter("ur <> vr and (in_main or u < v)")
-    return crossed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _open_documents(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root, loose) of documents in buckets that span several components; loose ones are outside some bucket's largest."""
+    labelled = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    counts = labelled.groupBy("key", "root").count()
+    spread = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_ = labelled.join(spread.select("key", "main"), "key")
+    return materialize(open_.groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("loose")), "open")
+
+
+def _across(documents: DataFrame, sets: DataFrame, kind: str, per_cent: int) -> DataFrame:
+    """Pairs in different components, at least one of them loose, that the first shingles do not rule out."""
+    own = materialize(documents.join(sets, "id").select("id", "root", "loose", "shingles"), "open-sets")
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    sums = own.select("shingles").mapInArrow(_sketch_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    first = own.mapInArrow(_first_shingles(np.minimum(counts, (1 << 31) - 1).astype(np.int32), per_cent), f"token long, own int, partner int, id {kind}, root {kind}, loose boolean, size int, place int")
+    first = materialize(first, "first")
+    a = first.filter("loose").select("token", F.col("own").alias("x"), F.col("partner").alias("y"), F.col("id").alias("u"), F.col("root").alias("ur"), F.col("size").alias("us"), F.col("place").alias("up"))
+    b = first.select("token", F.col("partner").alias("x"), F.col("own").alias("y"), F.col("id").alias("v"), F.col("root").alias("vr"), F.col("size").alias("vs"), F.col("place").alias("vp"), F.col("loose").alias("vl"))
+    left = F.least(F.col("us") - F.col("up"), F.col("vs") - F.col("vp"))
+    fits = F.lit(100) * left >= F.lit(per_cent) * (F.col("us") + F.col("vs") - left)
+    crossed = a.join(b, (a.token == b.token) & (a.x == b.x) & (a.y == b.y) & (F.col("ur") != F.col("vr")) & (~F.col("vl") | (F.col("u") < F.col("v"))) & fits)
+    return materialize(crossed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "crossed")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
