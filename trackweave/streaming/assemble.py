@@ -28,6 +28,12 @@ def _is_complete(group: int, records: list[tuple]) -> bool:
     return group in ended and seen <= ended
 
 
+def _completed(group: int, reason: str, records: list[tuple]) -> Row:
+    names = [field.split()[0] for field in _RECORD.split(", ")]
+    rows = [Row(**dict(zip(names, r, strict=True))) for r in sorted(records, key=lambda r: (r[3], r[4]))]
+    return Row(group_vxid=group, complete_reason=reason, records=rows)
+
+
 class _Requests(StatefulProcessor):
     def __init__(self, timeout: float):
         self.timeout_ms = int(timeout * 1000)
@@ -62,7 +68,7 @@ class _Requests(StatefulProcessor):
         if self.deadline.exists():
             self.handle.deleteTimer(self.deadline.get()[0])
             self.deadline.clear()
-        return Row(group, reason, sorted(records, key=lambda r: (r[3], r[4])))
+        return _completed(group, reason, records)
 
     def close(self) -> None:
         pass
@@ -85,17 +91,14 @@ class _Limited(StatefulProcessor):
             held[r.group_vxid] = (first, records)
             if r.tag == "End" and _is_complete(r.group_vxid, records):
                 del held[r.group_vxid]
-                yield self._out(r.group_vxid, "end", records)
+                yield _completed(r.group_vxid, "end", records)
             while len(held) > self.limit:
                 oldest = min(held, key=lambda g: (held[g][0], g))
-                yield self._out(oldest, "limit", held.pop(oldest)[1])
+                yield _completed(oldest, "limit", held.pop(oldest)[1])
         self.open.clear()
         for group, value in held.items():
             self.open.updateValue((group,), value)
 
-    def _out(self, group: int, reason: str, records: list[tuple]) -> Row:
-        return Row(group, reason, sorted(records, key=lambda r: (r[3], r[4])))
-
     def close(self) -> None:
         pass
 
