@@ -129,12 +129,12 @@ def parse(page: str) -> Node:
                 here = top.parent
         node = Node(tag, _attribute_groups(m[3]) if m[3] else 0, here)
         here.parts.append(node)
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.IGNORECASE).search(page, at)
             if tag == "textarea" or tag == "title":
                 node.parts.append(page[at : end.start()])
             at = end.end()
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID:
             here = node
     if at < len(page):
         here.parts.append(page[at:])
@@ -208,7 +208,8 @@ def features(nodes: list[Node]) -> np.ndarray:
 def decode(nodes: list[Node], logits: np.ndarray) -> np.ndarray:
     """Labels 0 (outside), 1 (inside), 2 (removed), never falling from parent to child, that maximise the summed evidence.
 
-    An element's evidence is its logit weighted by the text it holds directly.
+    An element's evidence is its logit weighted by the text it holds directly. Inline elements without
+    telling attributes have none and go with their block.
     """
     n = len(nodes)
     number = {id(node): i for i, node in enumerate(nodes)}
@@ -216,6 +217,7 @@ def decode(nodes: list[Node], logits: np.ndarray) -> np.ndarray:
     weight = 0.05 + np.log1p(size)
     gain = np.zeros((n, 3))
     gain[:, 1] = np.clip(logits, -8, 8) * weight
+    gain[[i for i, node in enumerate(nodes) if node.tag in INLINE and not node.groups], 1] = 0
     gain[[i for i, node in enumerate(nodes) if node.tag in NEVER], 1] = -1e9
     choice = np.zeros((n, 3), np.int8)
     below = np.zeros((n, 3))
@@ -293,6 +295,11 @@ def _attr(rng: random.Random, group: str, bare: float = 0.0) -> str:
     return f" {rng.choice(['class', 'class', 'id'])}=\"{word}\""
 
 
+def _comment(rng: random.Random) -> str:
+    tag = rng.choice(["div", "li", "article", "div"])
+    return f"<{tag}{_attr(rng, 'comment', 0.3)}><p>{_prose(rng, 4, 70)}</p></{tag}>"
+
+
 def _junk(rng: random.Random, kinds: list[str] | None = None) -> str:
     """A page part that is not of the article, marked with an `x-` wrapper for the labels."""
     kind = rng.choice(kinds or ["nav", "head", "foot", "side", "ad", "notice", "comment", "share", "form"])
@@ -308,7 +315,7 @@ def _junk(rng: random.Random, kinds: list[str] | None = None) -> str:
         "side": lambda: f"<h3>{small}</h3>" + (_links(rng, rng.randint(2, 8)) if rng.random() < 0.6 else f"<p>{_prose(rng)}</p>"),
         "ad": lambda: rng.choice([_prose(rng, 3, 50), f"<p>{_prose(rng, 3, 50)}</p>", f"<a href='/x'>{_prose(rng, 3, 20)}</a>"]),
         "notice": lambda: f"<{p}>{_prose(rng, 4, 60)}</{p}>" + rng.choice(["", "<button>OK</button>", "<a href='/x'>More</a>"]),
-        "comment": lambda: f"<h3>{small}</h3>" + "".join(f"<{rng.choice(['div', 'li', 'article', 'div'])}{_attr(rng, 'comment', 0.3)}><p>{_prose(rng, 4, 70)}</p></div>" for _ in range(rng.randint(1, 5))),
+        "comment": lambda: f"<h3>{small}</h3>" + "".join(_comment(rng) for _ in range(rng.randint(1, 5))),
         "share": lambda: _links(rng, rng.randint(2, 5)) if rng.random() < 0.7 else small,
         "form": lambda: f"<label>{small}</label><input name=q><button>{small}</button>",
     }[kind]()
@@ -320,9 +327,9 @@ def training_page(rng: random.Random) -> str:
     body = [f"<h1>{_sentence(rng, 2, 12)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.randint(1, 14)):
         body.append(rng.choice([f"<p>{_prose(rng)}</p>"] * 8 + [f"<p><b>{_prose(rng)}<br>", f"<h2>{_sentence(rng, 2, 8)}</h2>", f"<ul>{''.join(f'<li>{_prose(rng, 3, 25)}</li>' for _ in range(rng.randint(1, 5)))}</ul>", f"<blockquote>{_prose(rng)}</blockquote>", f"<div>{_prose(rng)}</div>", f"<table><tr><td>{_sentence(rng, 1, 5)}<td>{_sentence(rng, 1, 5)}</table>", f"<pre>{_prose(rng)}</pre>", f"<p>{_prose(rng)} <a href='/x'>{_sentence(rng, 1, 4)}</a> {_prose(rng)}</p>"]))
-        if rng.random() < 0.08:
-            body.append(_junk(rng, ["ad", "side", "share", "notice", "form"]))
-    if rng.random() < 0.25:
+        if rng.random() < 0.15:
+            body.append(_junk(rng, ["ad", "ad", "side", "share", "notice", "form", "nav"]))
+    if rng.random() < 0.35:
         body.append(_junk(rng, ["share", "comment", "side", "foot"]))
     tag = rng.choice(["article", "article", "main", "div", "div", "section"])
     plain = tag in ("article", "main")
@@ -340,24 +347,25 @@ def _labelled(page: str) -> tuple[list[Node], np.ndarray]:
     nodes, labels = [], {}
     root = parse(page)
 
-    def lift(node: Node, label: int) -> None:
-        labels[id(node)] = label
-        todo, node.parts = node.parts, []
-        for part in todo:
+    def take_out(parts: list, node: Node, label: int) -> Iterator[tuple[Node | str, int]]:
+        """Parts with their labels, the contents of wrappers in place of them."""
+        for part in parts:
             if isinstance(part, Node) and part.tag.startswith("x-"):
-                inner = {"x-main": 1, "x-junk": 0}[part.tag]
-                for x in part.parts:
-                    if isinstance(x, Node):
-                        x.parent, x.depth = node, node.depth + 1
-                        lift(x, inner)
-                    node.parts.append(x)
+                inner = int(part.tag == "x-main")
                 if inner:
                     labels[id(node)] = 1
+                yield from take_out(part.parts, node, inner)
             else:
-                if isinstance(part, Node):
-                    part.depth = node.depth + 1
-                    lift(part, label)
-                node.parts.append(part)
+                yield part, label
+
+    def lift(node: Node, label: int) -> None:
+        labels[id(node)] = label
+        inside = list(take_out(node.parts, node, label))
+        node.parts = [part for part, _ in inside]
+        for part, own in inside:
+            if isinstance(part, Node):
+                part.parent, part.depth = node, node.depth + 1
+                lift(part, own)
 
     lift(root, 0)
     nodes = nodes_of(root)
