@@ -1,0 +1,53 @@
+from trackweave.llm import line_dedup as X
+
+from .helpers import documents, rng, words
+
+
+def brute(texts, least):
+    """Delete a line if some run of whole lines around it with enough words occurred earlier."""
+    seen, gone = {}, {}
+    runs = []
+    for i, text in enumerate(texts):
+        lines = [x.strip() for x in (text or "").split("\n") if x.split()]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= least:
+                    runs.append((tuple(lines[a:b]), i, a, b))
+    for key, i, a, _ in runs:
+        seen[key] = min(seen.get(key, (i, a)), (i, a))
+    for key, i, a, b in runs:
+        if (i, a) > seen[key]:
+            gone.setdefault(i, set()).update(range(a, b))
+    return gone
+
+
+def test_runs(spark):
+    r = rng(6)
+    passages = [[words(r, r.randint(1, 9)) for _ in range(r.randint(1, 6))] for _ in range(8)] + [[words(r, 30)], ["x"], ["x", "x"]]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randint(0, 5)):
+            p = r.choice(passages)
+            a = r.randrange(len(p))
+            lines += r.choice([p, p[a:], [words(r, r.randint(0, 8))]])
+        texts.append("\n".join(lines))
+    texts += [None, "", "\n\n", "\n".join(["same line of words"] * 30), texts[3]]
+    for least in (8, 15):
+        want = brute(texts, least)
+        got = {x.doc_id: x for x in X.drop_repeated_lines(documents(spark, texts), min_words=least).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            lines = [x for x in (text or "").split("\n")]
+            full = [j for j, x in enumerate(lines) if x.split()]
+            lost = {full[j] for j in want.get(i, ())}
+            assert got[i].n_removed == len(lost) and got[i].n_lines == len(full)
+            assert got[i].text == (None if text is None else "\n".join(x for j, x in enumerate(lines) if j not in lost))
+
+
+def test_long_passage_once(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"intro {i}\n{passage}\nend {i}" for i in range(20)] + ["clean text " * 40]
+    got = X.drop_repeated_lines(documents(spark, texts)).collect()
+    assert sorted(r.doc_id for r in got if not r.n_removed) == [0, 20]
+    assert X.drop_repeated_lines(documents(spark, texts).limit(0)).count() == 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .text_arrays import blocks, utf8, word_bounds, word_hashes
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -48,12 +48,15 @@ class Model:
     temperature: float
     threshold: float
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        return (counts @ self.table / max(1.0, counts.sum()) + self.bias) / self.temperature
+    def logits(self, buckets: np.ndarray) -> np.ndarray:
+        total, step = np.zeros(len(self.languages)), max(1, (1 << 18) // len(self.languages))
+        for at in range(0, len(buckets), step):
+            total += self.table[buckets[at : at + step]].sum(axis=0, dtype=np.float64)
+        return (total / max(1, len(buckets)) + self.bias) / self.temperature
 
 
-def subword_counts(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text, how often each hash bucket occurs among its subwords."""
+def subwords(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text, the hash buckets of all its subwords."""
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     data, offsets = utf8(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), lower, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
     for first, last in blocks(offsets):
@@ -73,22 +76,22 @@ def subword_counts(texts: pa.Array) -> Iterator[np.ndarray]:
                 if j < n - 1:
                     valid &= letter[j : j + size]
             keep = np.flatnonzero(valid)
-            found.append((((gram[keep] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32))
+            found.append((((gram[keep] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32))
             place.append(np.searchsorted(keep, at))
         starts, ends, words = word_bounds(part, at, _LETTER)
-        found.append((word_hashes(part, starts, ends) >> np.uint64(49)).astype(np.int32))
+        found.append((word_hashes(part, starts, ends) >> np.uint64(46)).astype(np.int32))
         place.append(words)
         for i in range(last - first):
-            yield sum(np.bincount(x[p[i] : p[i + 1]], minlength=BUCKETS) for x, p in zip(found, place, strict=True))
+            yield np.concatenate([x[p[i] : p[i + 1]] for x, p in zip(found, place, strict=True)])
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, n = [], []
-        for counts in subword_counts(batch.column(1)):
-            own = np.flatnonzero(counts)
+        for buckets in subwords(batch.column(1)):
+            own, counts = np.unique(buckets, return_counts=True)
             at.append(own.astype(np.int32).tobytes())
-            n.append(counts[own].astype(np.float32).tobytes())
+            n.append(counts.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "turn", "at", "n"])
 
 
@@ -154,9 +157,9 @@ def _predict(model: Model):
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_pylist()
             best, scores = [], []
-            for has, counts in zip(letters, subword_counts(batch.column(1)), strict=True):
+            for has, buckets in zip(letters, subwords(batch.column(1)), strict=True):
                 if has and model.languages:
-                    p = _softmax(model.logits(counts))
+                    p = _softmax(model.logits(buckets))
                     best.append(model.languages[int(p.argmax())])
                     scores.append(float(p.max()))
                 else:
