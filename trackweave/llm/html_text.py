@@ -295,9 +295,15 @@ def _attr(rng: random.Random, group: str, bare: float = 0.0) -> str:
     return f" {rng.choice(['class', 'class', 'id'])}=\"{word}\""
 
 
-def _comment(rng: random.Random) -> str:
-    tag = rng.choice(["div", "li", "article", "div"])
-    return f"<{tag}{_attr(rng, 'comment', 0.3)}><p>{_prose(rng, 4, 70)}</p></{tag}>"
+def _comment(rng: random.Random, listed: bool) -> str:
+    tag, text = "li" if listed else rng.choice(["div", "p", "article", "div"]), _prose(rng, 2, 70)
+    text = text if tag == "p" or rng.random() < 0.3 else f"<p>{text}</p>"
+    return f"<{tag}{_attr(rng, 'comment', 0.4)}>{text}</{tag}>"
+
+
+def _wrapped(rng: random.Random, text: str) -> str:
+    tag = rng.choice(["", "p", "div", "span"])
+    return f"<{tag}>{text}</{tag}>" if tag else text
 
 
 def _junk(rng: random.Random, kinds: list[str] | None = None) -> str:
@@ -305,17 +311,17 @@ def _junk(rng: random.Random, kinds: list[str] | None = None) -> str:
     kind = rng.choice(kinds or ["nav", "head", "foot", "side", "ad", "notice", "comment", "share", "form"])
     tag = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "comment": "section"}.get(kind, "div")
     semantic = tag != "div" and rng.random() < 0.6
-    tag = tag if semantic else rng.choice(["div", "section", "div", "ul" if kind == "nav" else "div"])
+    tag = tag if semantic else rng.choice(["div", "section", "div", {"nav": "ul", "comment": rng.choice(["ul", "ol"])}.get(kind, "div")])
     attr = _attr(rng, kind, 0.7 if semantic and tag not in ("section",) else 0.0)
     small, p = _sentence(rng, 1, 6), rng.choice(["p", "div", "span"])
     inner = {
         "nav": lambda: _links(rng, rng.randint(2, 12)),
-        "head": lambda: f"<{p}>{small}</{p}>" + (_links(rng, rng.randint(1, 6)) if rng.random() < 0.5 else ""),
-        "foot": lambda: f"&copy; {small} &middot; {_prose(rng, 3, 60)}" + (_links(rng, 4) if rng.random() < 0.5 else ""),
-        "side": lambda: f"<h3>{small}</h3>" + (_links(rng, rng.randint(2, 8)) if rng.random() < 0.6 else f"<p>{_prose(rng)}</p>"),
+        "head": lambda: (f"<h1>{small}</h1>" if rng.random() < 0.2 else "") + f"<{p}>{small}</{p}>" + (_links(rng, rng.randint(1, 6)) if rng.random() < 0.5 else ""),
+        "foot": lambda: _wrapped(rng, f"{rng.choice(['&copy; ', 'Copyright ', ''])}{small} {rng.choice(['&middot; ', ''])}{_prose(rng, 3, 60)}") + (_links(rng, 4) if rng.random() < 0.5 else ""),
+        "side": lambda: f"<h3>{small}</h3>" + (_links(rng, rng.randint(2, 8)) if rng.random() < 0.6 else "".join(f"<p>{_prose(rng)}</p>" for _ in range(rng.randint(1, 3)))),
         "ad": lambda: rng.choice([_prose(rng, 3, 50), f"<p>{_prose(rng, 3, 50)}</p>", f"<a href='/x'>{_prose(rng, 3, 20)}</a>"]),
         "notice": lambda: f"<{p}>{_prose(rng, 4, 60)}</{p}>" + rng.choice(["", "<button>OK</button>", "<a href='/x'>More</a>"]),
-        "comment": lambda: f"<h3>{small}</h3>" + "".join(_comment(rng) for _ in range(rng.randint(1, 5))),
+        "comment": lambda: (f"<h3>{small}</h3>" if tag not in ("ul", "ol") and rng.random() < 0.7 else "") + "".join(_comment(rng, tag in ("ul", "ol")) for _ in range(rng.randint(1, 5))),
         "share": lambda: _links(rng, rng.randint(2, 5)) if rng.random() < 0.7 else small,
         "form": lambda: f"<label>{small}</label><input name=q><button>{small}</button>",
     }[kind]()
@@ -330,7 +336,7 @@ def training_page(rng: random.Random) -> str:
         if rng.random() < 0.15:
             body.append(_junk(rng, ["ad", "ad", "side", "share", "notice", "form", "nav"]))
     if rng.random() < 0.35:
-        body.append(_junk(rng, ["share", "comment", "side", "foot"]))
+        body.append(_junk(rng, ["share", "comment", "comment", "side", "foot"]))
     tag = rng.choice(["article", "article", "main", "div", "div", "section"])
     plain = tag in ("article", "main")
     article = f"<{tag}{_attr(rng, 'main', 0.6 if plain else 0.0)}><x-main>{''.join(body)}</x-main></{tag}>"
@@ -373,7 +379,7 @@ def _labelled(page: str) -> tuple[list[Node], np.ndarray]:
 
 
 @functools.lru_cache(maxsize=4)
-def train(pages: int = 500, seed: int = 5) -> boosting.Forest:
+def train(pages: int = 600, seed: int = 5) -> boosting.Forest:
     rng, x, y, weight = random.Random(seed), [], [], []
     for _ in range(pages):
         nodes, labels = _labelled(training_page(rng))
