@@ -84,3 +84,9 @@ def test_long_chain(spark):
     rows = [(None, 1, None, 0)] + [(None, i, i - 1, i) for i in range(2, 40)] + [(None, 100, 99, 0)]
     got = {r.vxid: r.group_vxid for r in groups.resolve_groups(spark.createDataFrame(rows, "group_vxid long, vxid long, parent_vxid long, tx_seq int")).collect()}
     assert all(got[i] == 1 for i in range(1, 40)) and got[100] == 99
+
+
+def test_topic_source(spark):
+    assert logs.topic_source("t", "h:1", **{"ssl.key": "x"}) == {"subscribe": "t", "kafka.bootstrap.servers": "h:1", "startingOffsets": "latest", "failOnDataLoss": "false", "kafka.ssl.key": "x"}
+    lines = spark.createDataFrame([('{"group_vxid": 1, "vxid": 2, "tag": "VSL", "payload": "x"}',), ("no json",), (None,)], "value string")
+    assert [(r.group_vxid, r.vxid, r.tag) for r in logs.from_json_lines(lines).collect()] == [(1, 2, "VSL")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LOG_RECORD
@@ -18,6 +18,23 @@ def tail_log(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(LOG_RECORD).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def topic_source(topic: str, servers: str, tail: bool = True, **client: str) -> dict[str, str]:
+    """Options to read a log from a broker: from now on, or from the start. Lost ranges are passed over, as after an overrun."""
+    own = {"subscribe": topic, "kafka.bootstrap.servers": servers, "startingOffsets": "latest" if tail else "earliest", "failOnDataLoss": "false"}
+    return own | {f"kafka.{k}": v for k, v in client.items()}
+
+
+def tail_topic(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """A log of JSON records on a broker topic as a stream; needs Spark's Kafka package. A restart goes on from its checkpoint."""
+    return from_json_lines(spark.readStream.format("kafka").options(**options).load().select(F.col("value").cast("string").alias("value")))
+
+
+def from_json_lines(lines: DataFrame) -> DataFrame:
+    """Log records from JSON texts in `value`; texts that are no records are dropped."""
+    record = F.from_json("value", LOG_RECORD)
+    return lines.select(record.alias("r")).where("r.tag is not null").select("r.*")
+
+
 def read_text_log(spark: SparkSession, path: str) -> DataFrame:
     """Text dumps of one paragraph per transaction: vxid, tx_type, depth, rec_seq, tag, payload.
 
@@ -53,8 +70,3 @@ def read_key_data(spark: SparkSession, path: str, workers: int = 1) -> DataFrame
     kept = lines.join(stop, "file", "left").where("stop is null or place < stop")
     part = F.split("value", ":")
     return kept.select(F.substring(F.get(part, F.lit(0)), 1, 8).alias("key"), F.get(part, F.lit(1)).alias("data")).repartition(workers)
-
-
-def from_events(log: DataFrame) -> DataFrame:
-    """Number records inside their transaction by time where a source has no sequence of its own."""
-    return log.withColumn("rec_seq", F.row_number().over(Window.partitionBy("vxid").orderBy("ts")) - 1)
