@@ -192,7 +192,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = buckets.filter("size = 2").select(F.col("last").alias("u"), F.col("lead").alias("v"))
     pairs = materialize(pairs.unionByName(members.filter("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = materialize(rows.join(needed, "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, shingles binary"), "sets")
+    # a merge join at every size: the ids grow with the corpus, so a plan that broadcasts them would not last
+    sets = materialize(rows.join(needed.hint("merge"), "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, shingles binary"), "sets")
     signed = classes.select("id", F.hex("signature").alias("signature"))
 
     def links(pairs: DataFrame) -> DataFrame:
