@@ -26,11 +26,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that a written step hands to a Python worker at once: texts and shingle sets are a few kB each, some far more.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: its lineage ends there and it survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
