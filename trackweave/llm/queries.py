@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, licences, line_dedup, mixing, near_dedup, secrets, warc
+from . import decontaminate, exact_dedup, html_text, language_id, licences, mixing, near_dedup, passage_dedup, secrets, warc
 from .common import new_path, table
 
 
@@ -45,7 +45,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = passage_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

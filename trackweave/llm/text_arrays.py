@@ -113,3 +113,10 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
         live = size > j
         out[live] = mix(out[live] * np.uint64(_PRIME) + words[begin[live] + j])
     return out, at
+
+
+def range_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of word hashes, the same wherever the range stands."""
+    prefix = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * _power("up", _PRIME, len(words)), out=prefix[1:])
+    return mix((prefix[ends] - prefix[begins]) * _power("down", _INVERSE, len(words) + 1)[begins])
