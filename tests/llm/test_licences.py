@@ -57,3 +57,61 @@ def test_planted_lines(spark):
     notices = ["mit-name", "apache-name", "gpl3-name", "cc-by-nc", "all-rights"]
     found = sum(len(r.found) for r in L.find_licences(docs).collect())
     assert found == sum((r.text or "").count(L.SENTENCES[n]) for r in docs.collect() for n in notices) > 0
+
+
+BSD = """Copyright (c) 1994, The Regents
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of Foo Systems, Inc. nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+OF SUCH DAMAGE."""
+MIT_END = """IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND JANE DOE DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL JANE DOE BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+GPL_ONLY = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+version 2 as published by the Free Software Foundation."""
+
+
+def test_named_holders_and_families():
+    own = L.Recogniser(L.SENTENCES, L.RULES)
+    whole = [
+        (BSD[BSD.index("Redist") :], "BSD-3-Clause"),
+        (BSD[BSD.index("Redist") :].replace("Foo Systems, Inc.", "the University"), "BSD-3-Clause"),
+        (BSD[BSD.index("Redist") : BSD.index("3. N")] + BSD[BSD.index("THIS") :], "BSD-2-Clause"),
+        (f"{MIT}\n{MIT_END}", "MIT"),
+        (ISC, "ISC"),
+        (LGPL, "LGPL-2.1-or-later"),
+        (LGPL.replace("Lesser", "Affero").replace("2.1", "3").replace("library", "program"), "AGPL-3.0-or-later"),
+        (GPL_ONLY, "GPL-2.0-only"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT"),
+        ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 2.5 Generic License.", "CC-BY-NC-2.5"),
+        ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0-only"),
+    ]
+    for text, licence in whole:
+        for shown in (text, wrapped(text)):
+            assert [(x[0], x[3]) for x in own.licences(shown)] == [(licence, len(shown))], text
+    for text in ("Neither the name of a rose nor the names of flowers matter.", "This project is licensed under terms unknown.", "SPDX-License-Identifier: Foo"):
+        assert own.licences(text) == []
