@@ -56,3 +56,19 @@ def test_missing_segment(spark):
         W.reassemble(spark.createDataFrame(rows, W.RECORDS)).collect()
     whole = [*rows[:1], ("a:2", "continuation", None, None, None, 2, "a", 4, b"cd"), ("a:2", "continuation", None, None, None, 2, "a", 4, b"cd")]
     assert [b"".join(map(bytes, r.blocks)) for r in W.reassemble(spark.createDataFrame(whole, W.RECORDS)).collect()] == [b"abcd"]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    long = "é<p>\r\n</p>" * 900
+    rows = [(1, "a", long, "z")] * 3 + [(2, "b", long, "z")] * 2 + [(None, "c", long, "z")] * 2 + [(None, "d", "alone" * 50, "z")] * 3
+    rows += [(3, "e", "short", "z")] * 2 + [(None, "f", None, "z")] * 2 + [(4, "g", "once", "z")]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    db = duckdb.connect()
+    db.execute("create table pages (page_id bigint, url varchar, html varchar, record_id varchar)")
+    db.executemany("insert into pages values (?, ?, ?, ?)", rows)
+    want = sorted(db.sql(W.ORACLE).fetchall(), key=str)
+    path = new_path(spark, "warc")
+    W.write_warc(pages, path, segment_chars=1000, chunk_chars=300)
+    assert sorted(map(tuple, W.page_records(spark, path).collect()), key=str) == want and len(want) == len(rows)
+    ids = [r.record_id for r in W.reassemble(W.read_warc(spark, path)).collect()]
+    assert len(ids) == len(set(ids)) == len(rows)

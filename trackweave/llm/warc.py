@@ -11,7 +11,8 @@ Of pages with equal payloads of at least `least_bytes` bytes the one with the sm
 in full; the others refer to it. Groups of any size are found by hash with map-side aggregation.
 
 Defined results: a null html is an empty payload; control characters in a URL are escaped; repeated
-rows (one id and payload) are one record; a null id is written as an empty one and read as null; an
+rows (one id and payload) are a record each, all but one with a number of their own in the record id; a
+null id is written as an empty one and read as null, and a page with one gives no page it refers to; an
 empty table gives empty archives and an empty result; other columns are not looked at. A record that
 ends early, a missing segment, a wrong total length or a digest that does not match stop the job.
 """
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, number_rows
+
 CRLF = "\r\n"
 LEAST_BYTES = 100
 SEGMENT_CHARS = 16_384
@@ -53,19 +56,33 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *[F.coalesce(line, F.lit("")) for line in lines], F.lit(CRLF))
 
 
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with `again`: a number of its own for each of the repeated rows but one of a key and digest, else null."""
+    marked = rows.join(repeated.withColumn("repeated", F.lit(True)), ["key", "digest"], "left")
+    many = number_rows(marked.where("repeated").withColumn("_salt", F.rand(5)), [F.col("digest"), F.col("key"), F.col("_salt")], "number")
+    leads = many.groupBy("digest", "key").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("lead"))
+    many = many.join(leads, "number", "left").withColumn("again", F.when(F.col("lead").isNull(), F.col("number").cast("long")))
+    once = marked.where("repeated is null").withColumn("again", F.lit(None).cast("long"))
+    return once.select(*rows.columns, "again").unionByName(many.select(*rows.columns, "again"))
+
+
 def to_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int, segment_chars: int, chunk_chars: int) -> DataFrame:
     """One row per WARC record, its text in `value`."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    copies = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    keys = materialize(rows.groupBy("key", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("payload")).alias("bytes")), "page-keys")
+    copies = keys.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    repeated = keys.where("n > 1").select("key", "digest")
+    rows = rows.withColumn("again", F.lit(None).cast("long")) if repeated.first() is None else _numbered(rows, repeated)
     rows = rows.join(copies, "digest", "left")
-    urn = lambda name: F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(":"), F.col("digest"), F.lit(">"))
+    urn = lambda name, number: F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(":"), F.col("digest"), number, F.lit(">"))
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select(
-        urn("id").alias("record_id"),
+        urn("id", F.coalesce(F.concat(F.lit("/"), "again"), F.lit(""))).alias("record_id"),
         F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"),
         "digest",
-        F.when(revisit, urn("first")).alias("refers_to"),
+        F.when(revisit, urn("first", F.lit(""))).alias("refers_to"),
         F.when(revisit, F.array(F.lit(""))).otherwise(_pieces(_chunked(F.col("payload"), chunk_chars), segment_chars)).alias("blocks"),
     )
     rows = rows.select("record_id", "url", "digest", "refers_to", F.size("blocks").alias("segments"), F.aggregate("blocks", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)).alias("total"), F.posexplode("blocks").alias("at", "block"))
@@ -218,7 +235,7 @@ def payloads(whole: DataFrame) -> DataFrame:
 
 def page_id(record_id: str, kind: str) -> Column:
     """The page's id in a record id that write_warc made."""
-    return F.regexp_extract(record_id, rf"^<{_URN}(.*):[0-9a-f]{{64}}>$", 1).try_cast(kind)
+    return F.regexp_extract(record_id, rf"^<{_URN}(.*):[0-9a-f]{{64}}(?:/[0-9]+)?>$", 1).try_cast(kind)
 
 
 def page_records(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
@@ -229,8 +246,8 @@ def page_records(spark: SparkSession, path: str, kind: str = "long") -> DataFram
     lengths = done.select(F.col("record_id").alias("refers_to"), "payload_bytes").dropDuplicates(["refers_to"])
     rows = done.select("record_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     rows = rows.unionByName(revisits.join(lengths, "refers_to", "left").withColumn("record_type", F.lit("revisit")))
-    rows = rows.dropDuplicates(["record_id"])
-    return rows.select(page_id("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to", kind).alias("refers_to"))
+    own = page_id("record_id", kind)
+    return rows.select(own.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(own.isNotNull(), page_id("refers_to", kind)).alias("refers_to"))
 
 
 ORACLE = """
