@@ -42,7 +42,7 @@ from .text_arrays import LOWER, NOT_SPACE, blocks, mix, shingle_hashes, utf8, wo
 
 CHUNKS, CHUNK, ERRORS, BITS = 12, 5, 1, 16
 POSITIONS = CHUNKS * CHUNK
-#: Pairs whose signatures differ in more positions are not confirmed: at similarity 0.8 the chance is below 1e-9.
+#: Pairs whose signatures differ in more positions are not confirmed: at similarity 0.8 the chance is 2.3e-9.
 MOST_DIFFERING = 32
 
 #: Counters of the sketch that orders shingles, and the ratio of a size band.
