@@ -31,6 +31,6 @@ def test_push_down(spark, tmp_path):
 
 def test_routing_does_not_shuffle(spark):
     messages = spark.createDataFrame([("5ff1b68d", "x"), ("zz", "x"), (None, "x"), ("key", None), ("fedcba9876543210", "x")], "key string, value string")
-    routed = R.route(messages, 4)
+    routed = R.route(messages)
     assert "Exchange" not in _plan(routed.where(F.col("partition") >= 0))
     assert [(r.key, r.reject_reason) for r in routed.collect()] == [("5ff1b68d", None), ("zz", "badkey"), (None, "nokey"), ("key", "nodata"), ("fedcba98", None)]

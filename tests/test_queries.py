@@ -11,13 +11,6 @@ def test_query(spark, name):
     compare(spark, queries.QUERIES[name], queries.ORACLES[name], SF)
 
 
-def test_limit_stream(spark):
-    """Every group is ended, pushed out or still open, none twice; no more than the limit stay open."""
-    rows = {r.complete_reason: r.n for r in queries.QUERIES["stream_limit"](spark, SF).collect()}
-    groups = 1500
-    assert groups - 100 <= sum(rows.values()) <= groups and set(rows) <= {"end", "limit"}
-
-
 def test_entry(spark):
     import __spark_entry__
 

@@ -1,7 +1,11 @@
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from trackweave import steps
 from trackweave.operators import groups
+from trackweave.operators import route as R
+from trackweave.options import TrackOptions
 from trackweave.sources import logs, sinks
 
 
@@ -77,7 +81,16 @@ def test_text_log(spark, tmp_path):
 
 
 def test_topic_options():
-    assert sinks.topic_options("t", "h:1", **{"ssl.key": "x"}) == {"topic": "t", "kafka.bootstrap.servers": "h:1", "kafka.ssl.key": "x"}
+    assert sinks.topic_options("h:1", **{"ssl.key": "x"}) == {"kafka.bootstrap.servers": "h:1", "kafka.ssl.key": "x"}
+
+
+def test_topic_rows(spark):
+    routed = R.route(spark.createDataFrame([("12345678", "a"), ("fedcba9876543210", "b"), ("key", "c"), ("ab", None)], "key string, value string"), TrackOptions(num_partitions=3))
+    rows = sinks.topic_rows(routed, TrackOptions(topic="t"))
+    assert rows.columns == ["topic", "key", "value", "partition"]
+    assert [tuple(r) for r in rows.collect()] == [("t", "12345678", "a", 0x12345678 % 3), ("t", "fedcba98", "b", 0xFEDCBA98 % 3)]
+    with pytest.raises(ValueError, match="topic"):
+        sinks.topic_rows(routed, TrackOptions())
 
 
 def test_long_chain(spark):
@@ -86,6 +99,53 @@ def test_long_chain(spark):
     assert all(got[i] == 1 for i in range(1, 40)) and got[100] == 99
 
 
+_TX = "group_vxid long, vxid long, parent_vxid long, tx_seq int"
+
+
+@pytest.mark.parametrize("circle", [[2, 3], [2, 3, 4], [2, 3, 4, 5, 6]])
+def test_circles_are_errors(spark, circle):
+    links = list(zip(circle, circle[1:] + circle[:1], strict=True))
+    rows = [(None, 1, None, 0), (None, 20, circle[0], 0)] + [(None, a, b, 0) for a, b in links]
+    with pytest.raises(ValueError, match="circle"):
+        groups.resolve_groups(spark.createDataFrame(rows, _TX))
+
+
+def test_repeated_null_and_looped_rows(spark):
+    rows = [(None, 1, None, 0), (None, 2, 1, 0), (None, 2, 1, 0), (None, 3, 2, 0), (None, 3, 2, 7), (None, None, 1, 0), (None, 5, 5, 0), (9, 6, 5, 0)]
+    got = sorted(groups.resolve_groups(spark.createDataFrame(rows, _TX)).collect(), key=str)
+    assert sorted(((r.vxid, r.tx_seq, r.group_vxid) for r in got), key=str) == sorted([(1, 0, 1), (2, 0, 1), (2, 0, 1), (3, 0, 1), (3, 7, 1), (None, 0, None), (5, 0, 5), (6, 0, 5)], key=str)
+    assert groups.resolve_groups(spark.createDataFrame([], _TX)).count() == 0
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 3 else None, i) for i in range(50)], "partition int, group_vxid long")
+    got = {}
+    for r in R.with_places(rows).collect():
+        got.setdefault(r.partition, []).append((r.group_vxid, r.place))
+    assert all([place for _, place in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values()) and len(got) == 3
+
+
+class _Cluster:
+    """A session on a cluster without a shared folder."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class conf:
+        @staticmethod
+        def get(name, default):
+            return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        steps.shared_dir(_Cluster)
+
+
 def test_topic_source(spark):
     assert logs.topic_source("t", "h:1", **{"ssl.key": "x"}) == {"subscribe": "t", "kafka.bootstrap.servers": "h:1", "startingOffsets": "latest", "failOnDataLoss": "false", "kafka.ssl.key": "x"}
     lines = spark.createDataFrame([('{"group_vxid": 1, "vxid": 2, "tag": "VSL", "payload": "x"}',), ("no json",), (None,)], "value string")

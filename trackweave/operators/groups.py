@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import shared_dir
+
 
 def resolve_groups(transactions: DataFrame) -> DataFrame:
-    """Fill `group_vxid` from the parent links, by pointer doubling: one equi-join per round, log2(depth) rounds.
+    """Fill `group_vxid` from the parent links, by pointer doubling over the transactions that have subrequests.
+
+    Leaves only look their parent up once, at the end; a chain that has reached its root is left out of
+    later rounds. There are log2(depth) rounds of one equi-join, each checkpointed, so plans stay small
+    and a lost executor costs no earlier round.
 
-    A parent that is not in the table ends a chain like a root. Each round is checkpointed, so plans
-    stay small and a lost executor costs no earlier round.
+    A parent that is not in the table ends a chain like a root, and so does a link to itself. Repeated
+    rows of one vxid are all returned; where they name several parents the smallest counts. Rows with a
+    null vxid stay without a group. Links that run in a circle are an error.
     """
-    spark = transactions.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    links = transactions.select("vxid", F.coalesce("parent_vxid", "vxid").alias("up")).checkpoint()
-    while True:
-        above = links.select(F.col("vxid").alias("up"), F.col("up").alias("top"))
-        stepped = links.join(above, "up", "left").select("vxid", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved")).checkpoint()
-        links = stepped.select("vxid", "up")
-        if stepped.where("moved").limit(1).count() == 0:
+    shared_dir(transactions.sparkSession)
+    links = transactions.where("vxid is not null").groupBy("vxid").agg(F.min("parent_vxid").alias("up")).withColumn("up", F.coalesce("up", "vxid"))
+    above = links.where("up <> vxid").select(F.col("up").alias("vxid")).distinct()
+    inner = links.join(above, "vxid", "left_semi").checkpoint()
+    roots = inner.where("up = vxid").select("vxid").withColumn("up", F.col("vxid"))
+    settled, open_ = [roots], inner.where("up <> vxid")
+    for _ in range(inner.count().bit_length() + 1):
+        pointers = functools.reduce(DataFrame.unionByName, [*settled, open_]).select(F.col("vxid").alias("up"), F.col("up").alias("top"))
+        stepped = open_.join(pointers, "up", "left").select("vxid", F.coalesce("top", "up").alias("up"), (F.coalesce("top", "up") != F.col("up")).alias("moved")).checkpoint()
+        settled.append(stepped.where("not moved").select("vxid", "up"))
+        open_ = stepped.where("moved").select("vxid", "up")
+        if open_.isEmpty():
             break
-    return transactions.drop("group_vxid").join(links.select("vxid", F.col("up").alias("group_vxid")), "vxid").select(*transactions.columns)
+    tops = functools.reduce(DataFrame.unionByName, [*settled, open_])
+    # a resolved chain ends at a root or outside the table; links in a circle end inside it
+    inside = inner.where("up <> vxid").select(F.col("vxid").alias("up"))
+    if not tops.join(inside, "up", "left_semi").isEmpty():
+        raise ValueError("parent links run in a circle")
+    tops = tops.select(F.col("vxid").alias("_parent"), F.col("up").alias("_top"))
+    parents = links.withColumnsRenamed({"vxid": "_vxid", "up": "_parent"})
+    resolved = parents.join(tops, "_parent", "left").select("_vxid", F.coalesce("_top", "_parent").alias("group_vxid"))
+    rows = transactions.drop("group_vxid")
+    return rows.join(resolved, rows["vxid"] == resolved["_vxid"], "left").select(*transactions.columns)

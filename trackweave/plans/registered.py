@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
@@ -15,6 +12,7 @@ from ..operators import filters, groups, metrics
 from ..operators import route as R
 from ..options import TrackOptions
 from ..sources import logs, sinks
+from ..steps import new_path
 from . import sql, views
 
 QUERIES: dict = {}
@@ -31,27 +29,16 @@ def query(oracle: str | None = None):
     return add
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def _fallback() -> Column:
     return F.lit(views.FALLBACK_TS).cast("timestamp")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.assemble(views.log(spark, sf_dir), TrackOptions(), _fallback())
+    return A.assemble(views.stored_log(spark, sf_dir), TrackOptions(), _fallback())
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.route(_messages(spark, sf_dir).select("group_vxid", "key", F.col("data").alias("value")), 4)
+    return R.route(_messages(spark, sf_dir).select("group_vxid", "key", F.col("data").alias("value")), TrackOptions())
 
 
 _STATES = sql.states("rec", TrackOptions())
@@ -64,25 +51,25 @@ def assemble(spark, sf_dir):
 
 @query(sql.with_(then="select group_vxid, vxid, tag, payload from rec where (tag = 'VCL_Log' and regexp_matches(payload, '^track ')) or (tag = 'Timestamp' and regexp_matches(payload, '^Resp')) or tag = 'VSL'"))
 def tag_filter(spark, sf_dir):
-    return filters.tag_filter(views.log(spark, sf_dir), {"VCL_Log": "^track ", "Timestamp": "^Resp", "VSL": None}).select("group_vxid", "vxid", "tag", "payload")
+    return filters.tag_filter(views.stored_log(spark, sf_dir), {"VCL_Log": "^track ", "Timestamp": "^Resp", "VSL": None}).select("group_vxid", "vxid", "tag", "payload")
 
 
 @query(sql.with_(then="select group_vxid, tx_seq, rec_seq, tag from rec where group_vxid in (select group_vxid from rec where side = 'c' and tag = 'VCL_Log' and payload like 'track key %')"))
 def group_semi(spark, sf_dir):
-    log = views.log(spark, sf_dir)
+    log = views.stored_log(spark, sf_dir)
     return filters.groups_with(log, log.where("side = 'c' and tag = 'VCL_Log' and payload like 'track key %'")).select("group_vxid", "tx_seq", "rec_seq", "tag")
 
 
 @query(sql.with_(sql.entries("(select * from rec union all select * from doc)"), then="select group_vxid, vxid, tx_seq, rec_seq, kind, sha256(body) as body_sha, octet_length(encode(body)) as bytes from ent where kind in ('data', 'key')"))
 def parse_entries(spark, sf_dir):
-    log = views.log(spark, sf_dir).unionByName(views.document_log(spark, sf_dir))
+    log = views.stored_log(spark, sf_dir).drop("ts").unionByName(views.document_log(spark, sf_dir))
     rows = A.parse_entries(log).where("kind in ('data', 'key')")
     return rows.select("group_vxid", "vxid", "tx_seq", "rec_seq", "kind", F.sha2("body", 256).alias("body_sha"), F.octet_length("body").alias("bytes"))
 
 
 @query(sql.with_(sql.entries("rec"), then="select group_vxid, s, u, make_timestamp(s * 1000000 + u) as at, concat('req_endt=', cast(s as varchar), '.', lpad(cast(u as varchar), 6, '0')) as text from ent where kind = 'time'"))
 def parse_time(spark, sf_dir):
-    rows = A.parse_entries(views.log(spark, sf_dir)).where("kind = 'time'")
+    rows = A.parse_entries(views.stored_log(spark, sf_dir)).where("kind = 'time'")
     return rows.select("group_vxid", F.col("time.s").alias("s"), F.col("time.u").alias("u"), P.to_timestamp(F.col("time")).alias("at"), P.format_time(F.col("time")).alias("text"))
 
 
@@ -100,7 +87,7 @@ def nul_truncate(spark, sf_dir):
 
 @query(sql.with_(then="select vxid, parent_vxid, tx_seq, group_vxid from tx"))
 def resolve_groups(spark, sf_dir):
-    tx = views.transactions(spark, sf_dir).select(F.lit(None).cast("long").alias("group_vxid"), "vxid", "parent_vxid", "tx_seq")
+    tx = views.stored_transactions(spark, sf_dir).select(F.lit(None).cast("long").alias("group_vxid"), "vxid", "parent_vxid", "tx_seq")
     return groups.resolve_groups(tx).select("vxid", "parent_vxid", "tx_seq", "group_vxid")
 
 
@@ -119,17 +106,17 @@ def overflow_discard(spark, sf_dir):
 
 @query(sql.with_(sql.audit("rec", sql.SMALL, "tx"), then=_AUDIT))
 def key_limits(spark, sf_dir):
-    return _audit(views.log(spark, sf_dir), views.transactions(spark, sf_dir), sql.SMALL)
+    return _audit(views.stored_log(spark, sf_dir), views.stored_transactions(spark, sf_dir), sql.SMALL)
 
 
 @query(sql.with_(sql.audit("rec", TrackOptions(), "tx"), then=_AUDIT))
 def audit_groups(spark, sf_dir):
-    return _audit(views.log(spark, sf_dir), views.transactions(spark, sf_dir), TrackOptions())
+    return _audit(views.stored_log(spark, sf_dir), views.stored_transactions(spark, sf_dir), TrackOptions())
 
 
 @query(sql.with_(sql.audit("rec", sql.SMALL, "tx"), then=sql.COUNTERS))
 def reader_counters(spark, sf_dir):
-    return U.reader_counters(U.audit(views.log(spark, sf_dir), views.transactions(spark, sf_dir), sql.SMALL, _fallback()))
+    return U.reader_counters(U.audit(views.stored_log(spark, sf_dir), views.stored_transactions(spark, sf_dir), sql.SMALL, _fallback()))
 
 
 @query(sql.with_(_STATES, sql.ROUTED, then="select * from routed"))
@@ -141,12 +128,47 @@ def route_partition(spark, sf_dir):
 def route_available(spark, sf_dir):
     up = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("int").alias("partition"), (F.col("r_regionkey") % 2 == 0).alias("available"))
     messages = _messages(spark, sf_dir).select("group_vxid", "key", F.col("data").alias("value"))
-    return R.route(messages, 4, up).select("group_vxid", "key", "reject_reason", "partition")
+    return R.route(messages, TrackOptions(), up).select("group_vxid", "key", "reject_reason", "partition")
 
 
 @query(sql.with_(_STATES, sql.ROUTED, then="select group_vxid, key, reject_reason, case reject_reason when 'nokey' then 'message shard key is missing' else 'message shard key is not hex' end as reject_text, value from routed where reject_reason is not null"))
 def rejects(spark, sf_dir):
-    return R.reject_messages(_routed(spark, sf_dir), include_payload=True).select("group_vxid", "key", "reject_reason", "reject_text", "value")
+    return R.reject_messages(_routed(spark, sf_dir), TrackOptions(log_error_data=True)).select("group_vxid", "key", "reject_reason", "reject_text", "value")
+
+
+_VALUE = "case when group_vxid // 64 % 5 = 0 then null when group_vxid // 64 % 7 = 0 then '' else data end"
+_TEXT = "case reject_reason when 'nodata' then 'message payload is empty' when 'nokey' then 'message shard key is missing' else 'message shard key is not hex' end"
+
+
+def _holey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which a fifth has no payload and a seventh an empty one."""
+    number = F.expr("group_vxid div 64")
+    value = F.when(number % 5 != 0, F.when(number % 7 == 0, "").otherwise(F.col("data")))
+    return _messages(spark, sf_dir).select("group_vxid", "key", value.alias("value"))
+
+
+_HOLEY = f"""hol as (select group_vxid, case when reject is null then substr(key, 1, 8) else key end as key, value, reject as reject_reason,
+  case when reject is null then cast(cast('0x' || substr(key, 1, 8) as ubigint) % 3 as int) end as partition
+  from (select *, case when coalesce(value, '') = '' then 'nodata' when key = '' then 'nokey' when not regexp_full_match(substr(key, 1, 8), '[0-9A-Fa-f]{{1,8}}') then 'badkey' end as reject
+        from (select group_vxid, key, {_VALUE} as value from msg) v) m)"""
+
+
+@query(sql.with_(_STATES, _HOLEY, then="select * from hol"))
+def route_payloads(spark, sf_dir):
+    """Three partitions, and messages without payload."""
+    return R.route(_holey(spark, sf_dir), TrackOptions(num_partitions=3))
+
+
+@query(sql.with_(_STATES, _HOLEY, then=f"select group_vxid, key, reject_reason, {_TEXT} as reject_text, cast(null as varchar) as value from hol where reject_reason is not null"))
+def reject_texts(spark, sf_dir):
+    return R.reject_messages(R.route(_holey(spark, sf_dir), TrackOptions(num_partitions=3))).select("group_vxid", "key", "reject_reason", "reject_text", "value")
+
+
+@query(sql.with_(_STATES, _HOLEY, then="select 'tracks' as topic, key, value, partition from hol where reject_reason is null"))
+def topic_rows(spark, sf_dir):
+    """What a broker gets."""
+    options = TrackOptions(topic="tracks", num_partitions=3)
+    return sinks.topic_rows(R.route(_holey(spark, sf_dir), options), options)
 
 
 @query(sql.with_(_STATES, sql.ROUTED, then="select concat('w', cast(group_vxid // 64 % 20 as varchar)) as worker, count(*) as seen, count(*) filter (where reject_reason is null) as produced, count(*) filter (where reject_reason = 'nokey') as nokey, count(*) filter (where reject_reason = 'badkey') as badkey, count(*) filter (where reject_reason = 'nodata') as nodata from routed group by rollup (1)"))
@@ -162,24 +184,45 @@ def file_lines(spark, sf_dir):
 
 @query(sql.with_(_STATES, then="select key, data from msg"))
 def file_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "messages")
+    path = new_path(spark, "messages")
     sinks.write_file(_messages(spark, sf_dir), path)
     return logs.read_sink_lines(spark, path)
 
 
-@query(sql.with_(then="select vxid, 'request' as tx_type, 1 as depth, row_number() over (partition by vxid order by rec_seq) as rec_seq, tag, payload from rec where side = 'c'"))
+@query(sql.with_(_STATES, sql.ROUTED, then="select key, value as data, partition from routed where reject_reason is null"))
+def file_partitioned(spark, sf_dir):
+    path = new_path(spark, "partitioned")
+    sinks.write_file(R.split_rejects(_routed(spark, sf_dir))[0].withColumnRenamed("value", "data"), path, partition_by="partition")
+    return logs.read_sink_lines(spark, path)
+
+
+@query(sql.with_(then="select group_vxid, vxid, tx_seq, rec_seq, tag, payload from rec"))
+def log_scan(spark, sf_dir):
+    return views.stored_log(spark, sf_dir).select("group_vxid", "vxid", "tx_seq", "rec_seq", "tag", "payload")
+
+
+@query(sql.with_(then="select group_vxid, vxid, parent_vxid, tx_type, side, tx_seq, rec_seq, tag, payload from rec where (group_vxid // 64) % 50 <> 0"))
+def json_log_scan(spark, sf_dir):
+    """The log as a broker topic carries it, a fiftieth of the texts broken."""
+    text = F.to_json(F.struct("*"))
+    lines = views.stored_log(spark, sf_dir).select(F.when(F.expr("group_vxid div 64") % 50 == 0, F.lit("{")).otherwise(text).alias("value"))
+    return logs.from_json_lines(lines).drop("ts")
+
+
+@query(sql.with_(then="select vxid, case side when 'c' then 'request' else 'bereq' end as tx_type, case side when 'c' then 1 else 2 end as depth, row_number() over (partition by vxid, side order by rec_seq) as rec_seq, tag, payload from rec"))
 def text_log_scan(spark, sf_dir):
-    """Writes the log as text paragraphs and scans it."""
+    """Writes the log as text paragraphs, backend requests one level below, and scans it."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_seq", "tag", "payload"))), lambda r: F.concat(F.lit("-   "), r["tag"], F.lit("   "), r["payload"])), "\n")
-    text = views.log(spark, sf_dir).where("side = 'c'").groupBy("vxid").agg(lines.alias("lines"))
-    path = _scratch(spark, "text-log")
-    text.select(F.concat(F.lit("*   << Request  >> "), F.col("vxid").cast("string"), F.lit("\n"), "lines").alias("value")).write.option("lineSep", "\n\n").text(path)
+    text = views.stored_log(spark, sf_dir).groupBy("vxid", "side").agg(lines.alias("lines"))
+    head = F.when(F.col("side") == "c", "*   << Request  >> ").otherwise("**  << BeReq    >> ")
+    path = new_path(spark, "text-log")
+    text.select(F.concat(head, F.col("vxid").cast("string"), F.lit("\n"), "lines").alias("value")).write.option("lineSep", "\n\n").text(path)
     return logs.read_text_log(spark, path)
 
 
 @query(sql.with_(_STATES, then="select substr(key, 1, 8) as key, split_part(data, ':', 1) as data from msg"))
 def key_data_lines(spark, sf_dir):
-    path = _scratch(spark, "key-data")
+    path = new_path(spark, "key-data")
     _messages(spark, sf_dir).select(F.concat("key", F.lit(":"), "data").alias("value")).write.text(path)
     return logs.read_key_data(spark, path, workers=4)
 
@@ -201,7 +244,7 @@ def worker_counters(spark, sf_dir):
     return metrics.worker_counters(views.deliveries(spark, sf_dir))
 
 
-@query(sql.with_(then="select count(*) filter (where status in ('sent', 'reconnect')) as sent, count(*) filter (where status in ('failed', 'recoverable')) as failed, cast(coalesce(sum(bytes) filter (where status in ('sent', 'reconnect')), 0) as bigint) as bytes, count(*) filter (where status = 'reconnect') as reconnects, count(distinct worker) as workers, count(distinct worker) filter (where status = 'failed') as restarts from ev"))
+@query(sql.with_(then="select count(*) filter (where status in ('sent', 'reconnect')) as sent, count(*) filter (where status in ('failed', 'recoverable')) as failed, cast(coalesce(sum(bytes) filter (where status in ('sent', 'reconnect')), 0) as bigint) as bytes, count(*) filter (where status = 'reconnect') as reconnects, count(distinct worker) as workers, count(*) filter (where status = 'failed') as restarts from ev"))
 def total_counters(spark, sf_dir):
     return metrics.total_counters(views.deliveries(spark, sf_dir))
 
@@ -217,7 +260,7 @@ def incidents(spark, sf_dir):
 
 @query(sql.with_("per as (select time_bucket(interval '30 seconds', done_ts) as interval_start, count(*) as messages, sum(bytes) as bytes, count(*) filter (where status in ('failed', 'recoverable')) as failed from ev group by 1)", then="select interval_start, messages, cast(bytes as bigint) as bytes, failed, cast(sum(messages) over w as bigint) as total_messages, cast(sum(bytes) over w as bigint) as total_bytes, cast(sum(failed) over w as bigint) as total_failed from per window w as (order by interval_start)"))
 def interval_snapshots(spark, sf_dir):
-    return metrics.interval_snapshots(views.deliveries(spark, sf_dir), 30)
+    return metrics.interval_snapshots(views.deliveries(spark, sf_dir))
 
 
 @query(sql.with_(
@@ -229,14 +272,14 @@ def interval_snapshots(spark, sf_dir):
     then="select *, max(occ_hi_this) over w as occ_hi, max(chunks_hi_this) over w as chunks_hi from hi window w as (order by interval_start)",
 ))
 def occupancy(spark, sf_dir):
-    return metrics.occupancy(views.deliveries(spark, sf_dir), 3600, 256)
+    return metrics.occupancy(views.deliveries(spark, sf_dir), TrackOptions(monitor_interval=3600))
 
 
 @query(sql.with_(_STATES, sql.ROUTED, then="select group_vxid, key, partition, row_number() over (partition by partition order by group_vxid) as place from routed where reject_reason is null"))
 def ordered_output(spark, sf_dir):
     """Messages in sink order, with their place in the partition's file."""
-    rows = R.ordered(R.split_rejects(_routed(spark, sf_dir))[0])
-    return rows.select("group_vxid", "key", "partition", F.row_number().over(Window.partitionBy("partition").orderBy("group_vxid")).cast("long").alias("place"))
+    rows = R.with_places(R.split_rejects(_routed(spark, sf_dir))[0])
+    return R.ordered(rows).select("group_vxid", "key", "partition", "place")
 
 
 class SampleWriter:
@@ -272,3 +315,13 @@ def plugin_sink(spark, sf_dir):
 def send_retry(spark, sf_dir):
     rows = sinks.write_messages(_messages(spark, sf_dir), SampleWriter).withColumn("worker", F.concat(F.lit("w"), (F.expr("xid div 64") % 20).cast("string")))
     return metrics.worker_counters(rows).select("worker", "seen", "reconnects", "failed_recoverable", "failed")
+
+
+@query(sql.with_(_STATES, sql.ROUTED, f"rep as (select concat('w', cast(group_vxid // 64 % 20 as varchar)) as worker, reject_reason, case when reject_reason is null then {_SENT.replace('xid', 'group_vxid')} end as status from routed)", then="select worker, count(*) as seen, count(*) filter (where reject_reason is null) as produced, count(*) filter (where status in ('sent', 'reconnect')) as delivered, count(*) filter (where status in ('failed', 'recoverable')) as failed, count(*) filter (where reject_reason = 'nokey') as nokey, count(*) filter (where reject_reason = 'badkey') as badkey, count(*) filter (where reject_reason = 'nodata') as nodata from rep group by rollup (1)"))
+def sink_deliveries(spark, sf_dir):
+    """Sink counters with the reports of what was delivered."""
+    routed = _routed(spark, sf_dir)
+    reports = sinks.write_messages(R.split_rejects(routed)[0], SampleWriter, "group_vxid", "value")
+    joined, _ = metrics.reconcile(routed, reports, "group_vxid")
+    worker = F.concat(F.lit("w"), (F.expr("group_vxid div 64") % 20).cast("string"))
+    return metrics.sink_counters(joined.withColumn("worker", worker), status="delivery_status")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.assemble import finish
 from ..options import TrackOptions
-from ..sources import logs
+from ..sources import logs, sinks
 from ..streaming import assemble as S
+from ..steps import new_path
 from ..streaming import monitor
 from . import registered as R
 from . import sql, views
@@ -21,41 +22,62 @@ _STATE = "spark.sql.streaming.stateStore.providerClass"
 def event_log(spark: SparkSession, sf_dir: str, ended: str = "true") -> DataFrame:
     """The log with times (a second apart for requests) and an `End` record for each transaction of groups that `ended` selects, the root's last."""
     at = F.timestamp_millis((F.lit(1_430_000_000) + F.expr("group_vxid div 64")) * 1000 + F.col("tx_seq") * 10 + F.col("rec_seq") + F.when((F.col("tag") == "End") & (F.col("tx_seq") == 0), 500).otherwise(0))
-    rows = views.log(spark, sf_dir)
-    ends = views.transactions(spark, sf_dir).where(ended).select("group_vxid", "vxid", "parent_vxid", F.lit("req").alias("tx_type"), F.lit("c").alias("side"), "tx_seq", F.lit(9).alias("rec_seq"), F.lit("End").alias("tag"), F.lit("").alias("payload"))
+    rows = views.stored_log(spark, sf_dir).drop("ts")
+    ends = views.stored_transactions(spark, sf_dir).where(ended).select("group_vxid", "vxid", "parent_vxid", F.lit("req").alias("tx_type"), F.lit("c").alias("side"), "tx_seq", F.lit(9).alias("rec_seq"), F.lit("End").alias("tag"), F.lit("").alias("payload"))
     return rows.unionByName(ends).withColumn("ts", at).withColumns({c: F.col(c).cast("int") for c in ("tx_seq", "rec_seq")})
 
 
-def write_in_turn(log: DataFrame, path: str, files: int = 3) -> None:
-    """Write a log as a few folders of time-ordered files, the earliest first, so a stream reads it in order."""
-    cuts = log.approxQuantile("group_vxid", [i / files for i in range(1, files)], 0.01)
-    bounds = [None, *sorted(set(map(int, cuts))), None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        part = log.where((F.lit(True) if low is None else F.col("group_vxid") > low) & (F.lit(True) if high is None else F.col("group_vxid") <= high))
-        part.coalesce(1).write.mode("append").parquet(path)
+#: Rows of a file of the replayed log.
+FILE_ROWS = 1_000_000
 
 
-def replay(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], ended: str = "true") -> tuple[DataFrame, str]:
-    """Run a stream over the log to its end: (its output, its checkpoint)."""
-    source, out, checkpoint = (R._scratch(spark, name) for name in ("stream-log", "stream-out", "stream-state"))
-    write_in_turn(event_log(spark, sf_dir, ended), source)
+def write_in_turn(log: DataFrame, path: str, least: int = 3) -> None:
+    """Write a log as files of bounded size that a stream reads in order of time: dealt by range, then dated by name."""
+    files = max(least, -(-log.count() // FILE_ROWS))
+    log.repartitionByRange(files, "group_vxid").sortWithinPartitions("ts").write.parquet(path)
+    spark = log.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {status.getPath().getName(): status for status in system.listStatus(folder)}
+    parts = sorted(name for name in found if name.startswith("part-"))
+    start = min(found[name].getModificationTime() for name in parts) - 1000 * len(parts)
+    for i, name in enumerate(parts):
+        system.setTimes(found[name].getPath(), start + 1000 * i, -1)
+
+
+def run(spark: SparkSession, source: str, make: Callable[[DataFrame], DataFrame], sink: Callable | None = None) -> tuple[DataFrame, str, list]:
+    """Run a stream over the files of a log to their end: (its output, its checkpoint, its progress)."""
+    out, checkpoint = (new_path(spark, name) for name in ("stream-out", "stream-state"))
     before = spark.conf.get(_STATE, None)
     S.use_rocksdb(spark)
     try:
         stream = make(logs.tail_log(spark, source))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        writer = sink(stream, out, checkpoint) if sink else stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+        handle = writer.trigger(availableNow=True).start()
+        handle.awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(_STATE)
         else:
             spark.conf.set(_STATE, before)
-    return spark.read.schema(stream.schema).parquet(out), checkpoint
+    done = spark.read.parquet(out) if sink else spark.read.schema(stream.schema).parquet(out)
+    return done, checkpoint, handle.recentProgress
+
+
+def replay(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], ended: str = "true", where: str = "true") -> tuple[DataFrame, str]:
+    """Run a stream over (part of) the log to its end: (its output, its checkpoint)."""
+    source = new_path(spark, "stream-log")
+    write_in_turn(event_log(spark, sf_dir, ended).where(where), source)
+    return run(spark, source, make)[:2]
 
 
-def _messages(completed: DataFrame) -> DataFrame:
+def _messages(completed: DataFrame, *more: str) -> DataFrame:
     options = TrackOptions()
-    rows = finish(S.rules(completed, options), options, R._fallback()).where("outcome = 'submitted'")
-    return rows.select("group_vxid", "xid", "data", "data_bytes", "key", "req_end", "no_timestamp")
+    states = S.rules(completed, options)
+    rows = finish(states, options, R._fallback()).where("outcome = 'submitted'")
+    if more:
+        rows = rows.join(states.select("group_vxid", *more), "group_vxid")
+    return rows.select("group_vxid", "xid", "data", "data_bytes", "key", "req_end", "no_timestamp", *more)
 
 
 @R.query(sql.with_(R._STATES, then=sql.MESSAGES))
@@ -64,11 +86,66 @@ def stream_assemble(spark, sf_dir):
     return _messages(replay(spark, sf_dir, S.complete_requests)[0])
 
 
-@R.query(sql.with_(R._STATES, then=sql.MESSAGES))
+_ENDED = """grps as (select ok, group_vxid, ok % 7 <> 0 as ended, count(*) as transactions from tx group by all)"""
+
+
+@R.query(sql.with_(
+    R._STATES,
+    _ENDED,
+    # a root has records 0 to 4 and, half a second later, its end; a subrequest ends with its record 9
+    "lst as (select max((1430000000 + t.ok) * 1000 + case when t.tx_seq = 0 then case when t.ok % 7 <> 0 then 509 else 4 end else t.tx_seq * 10 + case when t.ok % 7 <> 0 then 9 else 0 end end) as last_ms from tx t)",
+    "rsn as (select group_vxid, case when ended then 'end' when (1430000000 + ok) * 1000 + 1 + 120000 <= last_ms - 10000 then 'timeout' else 'drain' end as complete_reason from grps, lst)",
+    then=f"select m.*, complete_reason from ({sql.MESSAGES}) m join rsn using (group_vxid)",
+))
 def stream_timeout(spark, sf_dir):
     """A seventh of the groups never ends: they time out, and the last ones are drained."""
     done, checkpoint = replay(spark, sf_dir, S.complete_requests, "ok % 7 <> 0")
-    return _messages(done.unionByName(S.drain(spark, checkpoint)))
+    return _messages(done.unionByName(S.drain(spark, checkpoint)), "complete_reason")
+
+
+@R.query(sql.with_(
+    R._STATES,
+    _ENDED,
+    "gap as (select max(ok) // 3 as a, max(ok) // 3 * 2 as b from grps)",
+    then=f"select m.*, case when ended then 'end' else 'drain' end as complete_reason from ({sql.MESSAGES}) m join grps using (group_vxid), gap where ok <= a or ok > b",
+))
+def stream_reacquire(spark, sf_dir):
+    """The log is lost for its middle third: open groups are flushed, and the stream is opened anew at what comes then."""
+    options = TrackOptions(tx_timeout=1e9)
+    last = views.stored_transactions(spark, sf_dir).agg(F.max("ok")).first()[0]
+    parts = []
+    for where in (f"group_vxid div 64 <= {last // 3}", f"group_vxid div 64 > {last // 3 * 2}"):
+        done, checkpoint = replay(spark, sf_dir, lambda log: S.complete_requests(log, options), "ok % 7 <> 0", where)
+        parts.append(S.flush(spark, done, checkpoint))
+    return _messages(parts[0].unionByName(parts[1]), "complete_reason")
+
+
+@R.query(sql.with_(
+    "timely as (select * from rec where not (tx_seq = 2 and (group_vxid // 64) % 5 = 0 and group_vxid // 64 <= (select max(ok) // 2 from tx)))",
+    sql.states("timely", TrackOptions()),
+    then=sql.MESSAGES,
+))
+def stream_late(spark, sf_dir):
+    """Second subrequests of a fifth of the first half's groups come last of all, behind the watermark: they are dropped."""
+    return _messages(late_replay(spark, sf_dir)[0])
+
+
+def late_replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, list]:
+    last = views.stored_transactions(spark, sf_dir).agg(F.max("ok")).first()[0]
+    late = f"tx_seq = 2 and (group_vxid div 64) % 5 = 0 and group_vxid div 64 <= {last // 2}"
+    source, log = new_path(spark, "stream-log"), event_log(spark, sf_dir)
+    write_in_turn(log.where(f"not ({late})"), source)
+    log.where(late).write.mode("append").parquet(source)
+    return run(spark, source, S.complete_requests)
+
+
+@R.query(sql.with_(R._STATES, then=f"select xid, {R._SENT} as status, cast(octet_length(encode(data)) as int) as bytes from msg"))
+def stream_sink(spark, sf_dir):
+    """Completed requests through a user's writer, batch by batch; each message has one delivery row."""
+    source = new_path(spark, "stream-log")
+    write_in_turn(event_log(spark, sf_dir), source)
+    done, _, _ = run(spark, source, S.complete_requests, lambda stream, out, checkpoint: sinks.write_batches(stream, R.SampleWriter, out, checkpoint, _messages))
+    return done.select("xid", "status", "bytes")
 
 
 @R.query(sql.with_(then="select distinct group_vxid from tx where (group_vxid // 64) % 7 = 0 and group_vxid in (select group_vxid from rec where side = 'c' and tag in ('VCL_Log', 'Timestamp'))"))
@@ -78,17 +155,24 @@ def drain_state(spark, sf_dir):
     return S.drain(spark, checkpoint).select("group_vxid")
 
 
-@R.query()
+@R.query(sql.with_(
+    _ENDED,
+    "shd as (select *, ('0x' || substr(md5(cast(group_vxid as varchar)), 1, 8))::ubigint % 4 as shard from grps)",
+    "num as (select *, count(*) filter (where not ended) over w as nth, count(*) filter (where not ended) over (partition by shard) as open_, last_value(ended) over (partition by shard order by ok rows between unbounded preceding and unbounded following) as last_ended from shd window w as (partition by shard order by ok))",
+    "rcs as (select group_vxid, count(*) filter (where side = 'c' and tx_type = 'req' and tag in ('VCL_Log', 'Timestamp', 'VSL')) as n from rec group by 1)",
+    # once 25 are open, a group that comes puts the oldest out; an ended one then leaves room for one more
+    then="select group_vxid, case when ended then 'end' else 'limit' end as complete_reason, n + case when ended then transactions else 0 end as records from num join rcs using (group_vxid) where ended or (open_ >= 25 and nth <= open_ - 25 + case when last_ended then 1 else 0 end)",
+))
 def stream_limit(spark, sf_dir):
     """At most 100 open groups, over four shards: what was ended and what was pushed out."""
     done, _ = replay(spark, sf_dir, lambda log: S.limit_requests(log, TrackOptions(tx_limit=100), shards=4), "ok % 7 <> 0")
-    return done.groupBy("complete_reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("records")).alias("records"))
+    return done.select("group_vxid", "complete_reason", F.size("records").cast("long").alias("records"))
 
 
 @R.query(sql.with_("per as (select time_bucket(interval '1 hour', submit_ts) as interval_start, count(*) as messages, cast(sum(bytes) as bigint) as bytes from ev group by 1)", then="select interval_start, messages, bytes from per"))
 def stream_monitor(spark, sf_dir):
     """Deliveries as a stream, observed per batch, counted per hour."""
-    source, out, checkpoint = (R._scratch(spark, name) for name in ("deliveries", "hours", "hours-state"))
+    source, out, checkpoint = (new_path(spark, name) for name in ("deliveries", "hours", "hours-state"))
     rows = views.deliveries(spark, sf_dir).select("submit_ts", "bytes", F.col("props").alias("data"))
     rows.write.parquet(source)
     history = monitor.History()

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import logs
+from ..steps import new_path
+
 TX = """
 select o_orderkey*64 as group_vxid, o_orderkey*64 as vxid, cast(null as bigint) as parent_vxid, 0 as tx_seq,
        cast(null as bigint) as pk, cast(null as varchar(1)) as rf, o_orderkey as ok
@@ -24,7 +27,8 @@ select group_vxid, vxid, parent_vxid, 'req' as tx_type, 'c' as side, tx_seq, 0 a
 union all select group_vxid,vxid,parent_vxid,'req','c',tx_seq,1,'VCL_Log','other note' from {tx} where tx_seq=0
 union all select group_vxid,vxid,parent_vxid,'req','c',0,2,'VCL_Log',concat('track status=',o_orderstatus) from {tx} join {orders} on ok=o_orderkey where tx_seq=0 and ok%11<>0
 union all select group_vxid,vxid,parent_vxid,'req','c',0,3,'VCL_Log',
-   concat('track key ', case when ok%97=0 then repeat('a',130) when ok%10=1 then concat('zz',cast(o_custkey as varchar(20))) else lower(hex(o_custkey)) end)
+   concat('track key ', case when ok%97=0 then repeat('a',130) when ok%10=1 then concat('zz',cast(o_custkey as varchar(20)))
+     when ok%10=3 then concat(lpad(lower(hex((o_custkey*2654435761)%4294967296)),8,'0'),'fedcba98') else lower(hex(o_custkey)) end)
    from {tx} join {orders} on ok=o_orderkey where tx_seq=0 and ok%10<>0
 union all select group_vxid,vxid,parent_vxid,'req','c',0,4,'Timestamp',
    concat('Resp: ',cast(1430000000+ok as varchar(20)),'.',lpad(cast((o_custkey*7919)%1000000 as varchar(20)),6,'0'),' 0.000681 0.000352')
@@ -63,6 +67,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REC, tx=transactions(spark, sf_dir), orders=_table(spark, sf_dir, "orders"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """The path of a view that is written once for the application and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        make(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as a stored table, read as a batch."""
+    return logs.read_log(spark, _stored(spark, sf_dir, "log", log))
+
+
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_stored(spark, sf_dir, "transactions", transactions))
+
+
 def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DOC, documents=_table(spark, sf_dir, "documents"))
 
@@ -79,4 +105,4 @@ def cte() -> str:
     names = {x: x for x in ("orders", "lineitem", "tx", "documents", "events")}
     tx, rec, doc, ev = (x.format(**names) for x in (TX, REC, DOC, EV))
     done = "make_timestamp(epoch_us(submit_ts) + cast(floor(value * 20000000) as bigint))"
-    return f"tx as ({tx}), rec as ({rec}), doc as ({doc}), ev as (select *, {done} as done_ts, octet_length(encode(props)) as bytes from ({ev}) e)"
+    return f"tx as materialized ({tx}), rec as materialized ({rec}), doc as ({doc}), ev as (select *, {done} as done_ts, octet_length(encode(props)) as bytes from ({ev}) e)"

@@ -57,10 +57,11 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sink_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the file sink as key and data."""
+    """Lines of the file sink as key and data, and the column of the folders where there are any."""
     pattern = r"(?s)^key=(.*?): (.*)$"
     lines = spark.read.text(path)
-    return lines.select(F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_extract("value", pattern, 2).alias("data"))
+    folders = [c for c in lines.columns if c != "value"]
+    return lines.select(F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_extract("value", pattern, 2).alias("data"), *folders)
 
 
 def read_key_data(spark: SparkSession, path: str, workers: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ through the batch operators' rules by `assemble_open` and `rules`.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -75,29 +76,47 @@ class _Requests(StatefulProcessor):
 
 
 class _Limited(StatefulProcessor):
-    """Open requests per shard; the oldest leave when there are more than `limit`."""
+    """Open requests per shard; the oldest leave when there are more than `limit`. A batch reads and writes the records of the requests it touches only."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "group_vxid long", f"first long, records array<struct<{_RECORD.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>")
+        self.first = handle.getMapState("first", "group_vxid long", "at long")
+        self.open = handle.getMapState("open", "group_vxid long", f"records array<struct<{_RECORD.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = {k[0]: (v[0], [tuple(x) for x in v[1]]) for k, v in self.open.iterator()}
+        first = {k[0]: v[0] for k, v in self.first.iterator()}
+        stored, held = set(first), {}
+        oldest = [(at, group) for group, at in first.items()]
+        heapq.heapify(oldest)
+
+        def records_of(group: int) -> list[tuple]:
+            if group not in held:
+                held[group] = [tuple(x) for x in self.open.getValue((group,))[0]] if group in stored else []
+            return held[group]
+
         for r in sorted(rows, key=lambda r: (r.at_ms, r.group_vxid, r.tx_seq, r.rec_seq)):
-            first, records = held.get(r.group_vxid, (r.at_ms, []))
-            records = [*records, (r.vxid, r.tx_type, r.side, r.tx_seq, r.rec_seq, r.tag, r.payload)]
-            held[r.group_vxid] = (first, records)
+            if r.group_vxid not in first:
+                first[r.group_vxid] = r.at_ms
+                held[r.group_vxid] = []
+                heapq.heappush(oldest, (r.at_ms, r.group_vxid))
+            records = records_of(r.group_vxid)
+            records.append((r.vxid, r.tx_type, r.side, r.tx_seq, r.rec_seq, r.tag, r.payload))
             if r.tag == "End" and _is_complete(r.group_vxid, records):
-                del held[r.group_vxid]
                 yield _completed(r.group_vxid, "end", records)
-            while len(held) > self.limit:
-                oldest = min(held, key=lambda g: (held[g][0], g))
-                yield _completed(oldest, "limit", held.pop(oldest)[1])
-        self.open.clear()
-        for group, value in held.items():
-            self.open.updateValue((group,), value)
+                del first[r.group_vxid], held[r.group_vxid]
+            while len(first) > self.limit:
+                at, group = heapq.heappop(oldest)
+                if first.get(group) == at:
+                    yield _completed(group, "limit", records_of(group))
+                    del first[group], held[group]
+        for group in stored - set(first):
+            self.first.removeKey((group,))
+            self.open.removeKey((group,))
+        for group, records in held.items():
+            self.first.updateValue((group,), (first[group],))
+            self.open.updateValue((group,), (records,))
 
     def close(self) -> None:
         pass
@@ -118,13 +137,15 @@ def complete_requests(stream: DataFrame, options: TrackOptions = TrackOptions(),
     return _timed(stream, delay).groupBy("group_vxid").transformWithState(_Requests(options.tx_timeout), COMPLETED, "append", "eventTime")
 
 
-def limit_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 1, delay: str = "10 seconds") -> DataFrame:
+def limit_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 32, delay: str = "10 seconds") -> DataFrame:
     """Like complete_requests, but at most `tx_limit` requests are open at a time.
 
-    The limit is shared evenly by `shards`, each with an order of its own: exact with one shard, an
-    approximation that scales with more.
+    The limit is shared evenly by `shards` (hash of the group), each with an order of its own: exact
+    with one shard, an approximation that scales with more. A shard's share of a batch is put in order
+    in one task's memory, so more shards or smaller batches bound it.
     """
-    rows = _timed(stream, delay).withColumn("shard", F.pmod(F.xxhash64("group_vxid"), F.lit(shards)).cast("int"))
+    hashed = F.conv(F.substring(F.md5(F.col("group_vxid").cast("string")), 1, 8), 16, 10).cast("long")
+    rows = _timed(stream, delay).withColumn("shard", (hashed % shards).cast("int"))
     return rows.groupBy("shard").transformWithState(_Limited(max(1, options.tx_limit // shards)), COMPLETED, "append", "none")
 
 
@@ -144,6 +165,11 @@ def drain(spark: SparkSession, checkpoint: str) -> DataFrame:
     return rows.groupBy("group_vxid").agg(F.lit("drain").alias("complete_reason"), F.array_sort(F.collect_list("record"), lambda x, y: _by_place(x, y)).alias("records"))
 
 
+def flush(spark: SparkSession, done: DataFrame, checkpoint: str) -> DataFrame:
+    """All requests of a stopped stream: those it completed and the open ones, with reason 'drain', as before the log is opened anew."""
+    return done.unionByName(drain(spark, checkpoint))
+
+
 def _by_place(x, y):
     a, b = F.struct(x["tx_seq"], x["rec_seq"]), F.struct(y["tx_seq"], y["rec_seq"])
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
