@@ -1,30 +1,12 @@
-"""Shared folder, materialised steps and table access for the corpus operators."""
+"""Table access and written steps for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or where that is unset (local runs) an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from ..steps import new_path, number_rows, shared_dir
 
+__all__ = ["materialize", "new_path", "number_rows", "shared_dir", "table"]
 
 #: Rows that a written step hands to a Python worker at once: texts and shingle sets are a few kB each, some far more.
 BATCH_ROWS = 1_000
@@ -45,16 +27,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def number_rows(df: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """Consecutive numbers from 0 in the given order, without one task that holds all rows.
-
-    Rows are dealt by range, numbered inside each range, and shifted by the sizes of the ranges
-    before; only those sizes (one per partition) are broadcast.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged = materialize(ranged.withColumn(into, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1), "ranges")
-    sizes = ranged.groupBy("_range").count()
-    before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_range").withColumn(into, F.col(into) + F.col("_before")).drop("_range", "_before")
