@@ -28,7 +28,9 @@ WEIGHTS = (5, 2, 1)
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of words `[^\\x20\\x09-\\x0D]+`, 0 for null: each word shrinks to its first character, so no array of words is built."""
+    firsts = F.regexp_replace(text, r"[\x20\x09-\x0D]*+([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]++", "$1")
+    return F.coalesce(F.length(firsts), F.lit(0)).cast("long")
 
 
 def fill_targets(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
