@@ -52,6 +52,18 @@ def test_spans(spark, block_words):
         assert sum(len(split(x)) for x in covered) == got[i].n_hit and got[i].contaminated == bool(covered)
 
 
+@pytest.mark.parametrize("block_words", [10**6, 6, 1])
+def test_blocks_change_nothing(spark, block_words):
+    """Repeated rows, null ids and texts of one length stay rows of their own, whatever the blocks."""
+    items = [(1, "one two three"), (2, "three four five"), (2, "six"), (None, "seven eight"), (3, "five six")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "x one two three four five six"), (1, "x one two three four five six"), (1, "a b c d e f g"), (None, "seven eight"), (None, "seven eight"), (None, "b c"), (None, None), (5, None)]
+    got = D.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, block_words=block_words).collect()
+    seen = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), [(x.word, x.words) for x in r.spans]) for r in got)
+    hit = ("1", 7, 6, ["1", "2", "3"], [(1, 6)])
+    assert seen == sorted([hit, hit, ("1", 7, 0, [], []), ("None", 2, 2, [""], [(0, 2)]), ("None", 2, 2, [""], [(0, 2)]), ("None", 2, 0, [], []), ("None", 0, 0, [], []), ("5", 0, 0, [], [])])
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in D.find_contamination(documents(spark, ["a b"]), none).collect()] == [(2, 0, False)]

@@ -8,8 +8,8 @@ suffix positions. All test phrases are searched backwards at once through wavele
 occurrences are located by walking to the next sampled position, and covered words are merged.
 
 A test phrase is a window of `window` consecutive words of a benchmark item; an item of fewer words,
-but not none, is one phrase. The benchmark is a query set: it is read in blocks of at most
-`block_words` words, so what a task is sent stays bounded however large the benchmark is.
+but not none, is one phrase. The benchmark is a query set: it is read in blocks of about `block_words`
+words, one at a time, so what the driver holds and a task is sent stays bounded however large it is.
 
 Defined results: null texts have no words and null or wordless items no phrases; with an empty
 benchmark nothing is hit; benchmark rows with one id are one item, and null ids count as one item
@@ -41,21 +41,22 @@ class Phrases:
         data, offsets = utf8(pa.array([text for _, text in items], pa.large_string()))
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets, ALNUM)
-        hashes = word_hashes(data, starts, ends)
-        self.vocabulary, codes = np.unique(hashes, return_inverse=True)
+        self.vocabulary, codes = np.unique(word_hashes(data, starts, ends), return_inverse=True)
         codes = codes.astype(np.int64) + 1
         self.ids = sorted({item for item, _ in items})
         place = {item: i for i, item in enumerate(self.ids)}
-        found: dict[bytes, set[int]] = {}
-        for i, (item, _) in enumerate(items):
-            own = codes[first[i] : first[i + 1]]
-            size = min(window, len(own))
-            for j in range(len(own) - size + 1 if size else 0):
-                found.setdefault(own[j : j + size].tobytes(), set()).add(place[item])
-        self.by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for size in sorted({len(key) // 8 for key in found}):
-            keys = [key for key in found if len(key) == 8 * size]
-            self.by_length[size] = (np.frombuffer(b"".join(keys), np.int64).reshape(-1, size), [np.array(sorted(found[key])) for key in keys])
+        item = np.array([place[item] for item, _ in items], np.int64)
+        counts = np.diff(first)
+        sizes = np.minimum(counts, window)
+        #: length -> (phrases, first entry of each in the next, items in order of phrases)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            many = counts[own] - size + 1
+            begin = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            rows, which = np.unique(codes[begin[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            held = np.unique(np.stack([which.reshape(-1), np.repeat(item[own], many)], axis=1), axis=0)
+            self.by_length[size] = rows, np.searchsorted(held[:, 0], np.arange(len(rows) + 1)), held[:, 1]
         self.shortest = min(self.by_length, default=0)
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
@@ -188,7 +189,7 @@ def find_phrases(codes: np.ndarray, first: np.ndarray, phrases: Phrases) -> Iter
     source[inner] = origin[np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
     text[inner] = codes[source[inner]]
     index = FMIndex(text, len(phrases.vocabulary))
-    for length, (rows, _) in phrases.by_length.items():
+    for length, (rows, _, _) in phrases.by_length.items():
         low, high = index.intervals(rows)
         hits = np.flatnonzero(low < high)
         many = (high - low)[hits]
@@ -197,7 +198,9 @@ def find_phrases(codes: np.ndarray, first: np.ndarray, phrases: Phrases) -> Iter
             yield source[index.locate(np.repeat(low[hits], many) + within)], length, np.repeat(hits, many)
 
 
-def _scan(phrases: Phrases):
+def _scan(phrases: Phrases, last_block: bool):
+    """Words hit and items found of (id, text) rows, or of what an earlier block gave for them; texts go on if there is another block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -207,13 +210,20 @@ def _scan(phrases: Phrases):
                 starts, ends, first = word_bounds(part, at, ALNUM)
                 codes = phrases.code(word_hashes(part, starts, ends))
                 cover = np.zeros(len(codes) + 1, np.int64)
-                items: list[set[int]] = [set() for _ in range(end - begin)]
+                items: list[set[str]] = [set() for _ in range(end - begin)]
+                if batch.num_columns > 2:
+                    for i in range(end - begin):
+                        items[i].update(batch.column(4)[begin + i].as_py())
+                        for span in batch.column(3)[begin + i].as_py():
+                            cover[first[i] + span["word"]] += 1
+                            cover[first[i] + span["word"] + span["words"]] -= 1
                 for positions, length, which in find_phrases(codes, first, phrases):
                     np.add.at(cover, positions, 1)
                     np.add.at(cover, positions + length, -1)
-                    held = phrases.by_length[length][1]
-                    for doc, phrase in set(zip((np.searchsorted(first, positions, "right") - 1).tolist(), which.tolist(), strict=True)):
-                        items[doc].update(held[phrase].tolist())
+                    _, upto, held = phrases.by_length[length]
+                    docs = np.searchsorted(first, positions, "right") - 1
+                    for doc, phrase in np.unique(np.stack([docs, which], axis=1), axis=0).tolist():
+                        items[doc].update(phrases.ids[i] for i in held[upto[phrase] : upto[phrase + 1]])
                 hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
                 edges = np.flatnonzero(np.diff(hit.astype(np.int8)))
                 spans: list[list[dict]] = [[] for _ in range(end - begin)]
@@ -224,10 +234,9 @@ def _scan(phrases: Phrases):
                         if a < upto:
                             spans[doc].append({"word": int(a - first[doc]), "words": int(upto - a), "start": int(starts[a] - at[doc]), "end": int(ends[upto - 1] - at[doc])})
                         a, doc = max(int(a), upto), doc + 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[begin:end], pa.array(np.diff(first), pa.int64()), pa.array(spans, _SPANS), pa.array([[phrases.ids[i] for i in sorted(x)] for x in items], pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
-                )
+                found = [pa.array(np.diff(first), pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                texts = [] if last_block else [batch.column(1)[begin:end]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], *texts, *found], names=["id", *["text"] * (not last_block), "n_words", "spans", "items"])
 
     return run
 
@@ -262,38 +271,20 @@ def find_contamination(
     """One row per document: id, n_words, n_hit, items (ids as sorted strings), spans, contaminated.
 
     `spans` are the merged stretches to remove: first word and number of words, and first and last
-    byte of the UTF-8 text.
+    byte of the UTF-8 text. Each block of the benchmark is a map step of its own in one pass over the
+    documents; what earlier blocks found goes along with the text, so nothing is shuffled or put
+    together again, and rows stay apart whatever their ids are.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, spans {_SPANS_SQL}, items array<string>"
-    found = [rows.mapInArrow(_scan(phrases), schema) for phrases in benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)]
-    if not found:
-        found = [rows.mapInArrow(_scan(Phrases([], window)), schema)]
-    hits = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = hits.groupBy("id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        hits = hits.withColumn("spans", _merged("spans"))
+    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    blocks_ = benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)
+    phrases = next(blocks_, None) or Phrases([], window)
+    while phrases:
+        more = next(blocks_, None)
+        hits = hits.mapInArrow(_scan(phrases, more is None), f"id {kind}, {'text string, ' if more else ''}n_words long, spans {_SPANS_SQL}, items array<string>")
+        phrases = more
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["words"])
-    return hits.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans", (F.size("spans") > 0).alias("contaminated"))
-
-
-def _merged(spans: str):
-    """Overlapping spans of one document as one; a document's spans come from a few benchmark blocks."""
-    empty = F.array().cast(_SPANS_SQL)
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        joined = F.struct(
-            last["word"].alias("word"),
-            (F.greatest(last["word"] + last["words"], x["word"] + x["words"]) - last["word"]).alias("words"),
-            last["start"].alias("start"),
-            F.greatest(last["end"], x["end"]).alias("end"),
-        )
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["word"] + F.try_element_at(done, F.lit(-1))["words"] >= x["word"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+    return hits.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
