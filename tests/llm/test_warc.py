@@ -1,5 +1,4 @@
 import gzip
-import io
 
 import duckdb
 import pytest
@@ -39,17 +38,33 @@ def test_empty(spark):
     assert W.page_records(spark, path).count() == 0
 
 
-def test_faults(spark):
+def _records(data):
+    return list(W.parse_records(data.split(W._BEGIN)))
+
+
+def test_faults():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
-    assert [r["block"] for r in W.parse_records(io.BytesIO(record * 3))] == [b"abcde"] * 3
-    assert [r["block"] for r in W.parse_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(record) * 2))))] == [b"abcde"] * 2
-    for bad in (record[:-8], b"x" + record, record[:20]):
+    assert [r["block"] for r in _records(record * 3)] == [b"abcde"] * 3
+    for bad in (record[:-8], b"x" + record, record[:20], record.replace(b"abcde", b"abcdefg"), record + record[:-6]):
         with pytest.raises(ValueError, match="WARC"):
-            list(W.parse_records(io.BytesIO(bad)))
+            _records(bad)
+    held = b"x" * 7 + W._BEGIN * 3 + b"\r\n"
+    block = record.replace(b"abcde", held).replace(b": 5", b": %d" % len(held))
+    assert [r["block"] for r in _records(block + record)] == [held, b"abcde"]
     assert W.decode_http(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=1\r\nabc\r\n2\r\nde\r\n0\r\n\r\n") == b"abcde"
     assert W.decode_http(b"HTTP/1.1 200 OK\r\n\r\nabc") == b"abc"
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Each record a gzip member, WARC/1.0, bytes that are not UTF-8, many files; blocks come back as they are."""
+    blocks = [bytes([i, 0xFF, 0xC3]) * (i + 1) + b"\r\n\r\n" * (i % 3) for i in range(30)]
+    for at in range(3):
+        members = [gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(blocks[i])) + blocks[i] + b"\r\n\r\n") for i in range(at, 30, 3)]
+        (tmp_path / f"{at}.warc.gz").write_bytes(b"".join(members))
+    got = {r.record_id: bytes(r.block) for r in W.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {f"<{i}>": block for i, block in enumerate(blocks)}
+
+
 def test_missing_segment(spark):
     rows = [("a", "response", None, None, None, 1, None, None, b"ab"), ("a:3", "continuation", None, None, None, 3, "a", 4, b"cd")]
     with pytest.raises(Exception, match="segments are missing"):

@@ -3,9 +3,10 @@
 Writing is done by Spark's text writer: a row is one record and the line separator is the blank lines
 between records, so every part file is an archive (gzip is optional). A payload is framed in chunks
 as HTTP transfers are; a record block longer than `segment_chars` is written as a first segment and
-continuation records. Reading parses the archives by their Content-Length, groups continuation
-records by the origin's record id, orders them by segment number, verifies that numbers are complete
-and that the length is the stated total, and decodes the chunked framing.
+continuation records. Reading cuts the archives where a record may begin, so a task holds a record and
+not an archive, and takes blocks by their Content-Length; it groups continuation records by the
+origin's record id, orders them by segment number, verifies that numbers are complete and that the
+length is the stated total, and decodes the chunked framing.
 
 Of pages with equal payloads of at least `least_bytes` bytes the one with the smallest id is written
 in full; the others refer to it. Groups of any size are found by hash with map-side aggregation.
@@ -14,15 +15,16 @@ Defined results: a null html is an empty payload; control characters in a URL ar
 rows (one id and payload) are a record each, all but one with a number of their own in the record id; a
 null id is written as an empty one and read as null, and a page with one gives no page it refers to; an
 empty table gives empty archives and an empty result; other columns are not looked at. A record that
-ends early, a missing segment, a wrong total length or a digest that does not match stop the job.
+ends early, a missing segment, a wrong total length or a digest that does not match stop the job. Lines
+of headers end with CR LF. A payload may hold the line that begins a record; in an archive that is not
+compressed and is read in several splits such a payload can stop the job, compressed ones are never split.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,8 @@ LEAST_BYTES = 100
 SEGMENT_CHARS = 16_384
 CHUNK_CHARS = 4_096
 RECORDS_PER_FILE = 5_000
+#: Rows of one digest are dealt to so many tasks.
+SALTS = 16
 _URN = "urn:page:"
 _HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""])
 
@@ -42,7 +46,8 @@ RECORDS = "record_id string, record_type string, target_uri string, payload_dige
 
 
 def _pieces(text: Column, chars: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}"), F.lit(0))
+    long = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}"), F.lit(0))
+    return F.when(F.octet_length(text) > chars, long).when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
 
 
 def _chunked(payload: Column, chars: int) -> Column:
@@ -75,7 +80,8 @@ def to_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least
     copies = keys.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
     repeated = keys.where("n > 1").select("key", "digest")
     rows = rows.withColumn("again", F.lit(None).cast("long")) if repeated.first() is None else _numbered(rows, repeated)
-    rows = rows.join(copies, "digest", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    rows = rows.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left").drop("salt")
     urn = lambda name, number: F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(":"), F.col("digest"), number, F.lit(">"))
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select(
@@ -122,26 +128,36 @@ def write_warc(
     records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
-def parse_records(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """The records of one archive, read one after the other."""
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record begins with {line[:40]!r}")
-        fields: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n"):
-            if not line:
-                raise ValueError("a WARC header ends early")
-            name, _, value = line.decode().partition(":")
-            fields[name.strip().lower()] = value.strip()
+_BEGIN = b"\r\nWARC/1."
+
+
+def parse_records(pieces: Iterable[bytes | memoryview]) -> Iterator[dict]:
+    """The records of one archive, cut at every `_BEGIN`; a cut inside a block is mended by its Content-Length."""
+    fields, parts, missing, begun = {}, [], 0, b""
+    for piece in pieces:
+        if missing:
+            parts += [_BEGIN, bytes(piece)]
+            missing -= len(_BEGIN) + len(piece)
+        else:
+            begun += bytes(piece) if begun else bytes(piece).removeprefix(_BEGIN[2:])
+            head, found, block = begun.partition(b"\r\n\r\n")
+            if not found and begun[1:3] == b"\r\n":  # the block itself begins like a record
+                begun += _BEGIN
+                continue
+            if not found or head[1:3] != b"\r\n":
+                raise ValueError(f"no WARC record begins with {head[:40]!r}")
+            begun = b""
+            fields = {}
+            for line in head.decode().split("\r\n")[1:]:
+                name, _, value = line.partition(":")
+                fields[name.strip().lower()] = value.strip()
+            parts, missing = [block], int(fields["content-length"]) - len(block)
+        if missing > 0:
+            continue
+        block, missing = b"".join(parts), 0
         size = int(fields["content-length"])
-        block = stream.read(size)
-        if len(block) != size:
-            raise ValueError("a WARC block ends early")
+        if block[size:].strip(b"\r\n"):
+            raise ValueError(f"a WARC block is longer than its {size} bytes")
         number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
         yield {
             "record_id": fields.get("warc-record-id"),
@@ -152,35 +168,58 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[dict]:
             "segment_number": int(number) if number else None,
             "origin_id": fields.get("warc-segment-origin-id"),
             "total_length": int(total) if total else None,
-            "block": block,
+            "block": block[:size],
         }
+    if missing or begun:
+        raise ValueError("a WARC record ends early")
 
 
-def _record_schema() -> pa.Schema:
+def _record_schema(fields: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in RECORDS.split(", "))])
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in fields.split(", "))])
+
+
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[memoryview]]:
+    """The pieces of each file; a task reads its files one after the other."""
+    rows = ((file, piece.as_buffer()) for batch in batches for file, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+    for _, own in itertools.groupby(rows, key=lambda x: x[0]):
+        yield (piece for _, piece in own)
+
 
+def read_warc(spark: SparkSession, path: str, decoded: bool = False, batch_bytes: int = 1 << 22) -> DataFrame:
+    """The records of all archives under a path, one row each (see RECORDS).
 
-def read_warc(spark: SparkSession, path: str, batch_bytes: int = 1 << 22) -> DataFrame:
-    """The records of all archives under a path, one row each (see RECORDS)."""
+    With `decoded`, unsegmented responses have payload_bytes and a verified payload_digest in place of
+    their block, so only segments carry bytes on.
+    """
+    fields = RECORDS + ", payload_bytes long" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _record_schema()
-        for batch in batches:
-            for content in batch.column(0):
-                raw = io.BytesIO(content.as_buffer())
-                stream = gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
-                rows, size = [], 0
-                for record in parse_records(io.BufferedReader(stream)):
-                    rows.append(record)
-                    size += len(record["block"]) + 200
-                    if size >= batch_bytes:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                if rows:
+        schema, rows, size = _record_schema(fields), [], 0
+        for pieces in _archives(batches):
+            for record in parse_records(pieces):
+                if decoded and record["segment_number"] is None:
+                    block = record.pop("block")
+                    if record["record_type"] == "response":
+                        payload = decode_http(block)
+                        record |= {"payload_bytes": len(payload), "payload_digest": _verified(payload, record["payload_digest"])}
+                rows.append(record)
+                size += len(record.get("block", b"")) + 300
+                if size >= batch_bytes:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    lines = spark.read.option("lineSep", _BEGIN.decode()).text(path)
+    return lines.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, fields)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+def _verified(payload: bytes, stated: str | None) -> str:
+    digest = f"sha256:{hashlib.sha256(payload).hexdigest()}"
+    if stated is not None and stated != digest:
+        raise ValueError(f"a payload does not match its digest {stated}")
+    return digest
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -223,10 +262,7 @@ def payloads(whole: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [decode_http(b"".join(x.as_py())) for x in batch.column(3)]
-            digests = [hashlib.sha256(x).hexdigest() for x in found]
-            for stated, digest in zip(batch.column(2).to_pylist(), digests, strict=True):
-                if stated is not None and stated != f"sha256:{digest}":
-                    raise ValueError(f"a payload does not match its digest {stated}")
+            digests = [_verified(x, stated) for x, stated in zip(found, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.string())], names=["record_id", "target_uri", "payload", "payload_bytes", "payload_digest"])
 
     rows = whole.where("record_type = 'response'").select("record_id", "target_uri", "payload_digest", "blocks")
@@ -240,9 +276,12 @@ def page_id(record_id: str, kind: str) -> Column:
 
 def page_records(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """What archives of write_warc hold, per page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    whole = reassemble(read_warc(spark, path))
-    done = payloads(whole).select("record_id", "payload_bytes", "payload_digest")
-    revisits = whole.where("record_type = 'revisit'").select("record_id", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "refers_to")
+    records = materialize(read_warc(spark, path, decoded=True), "records")
+    bare = lambda digest: F.regexp_replace(digest, "^sha256:", "").alias("payload_digest")
+    single = records.where("segment_number is null and record_type = 'response'").select("record_id", "payload_bytes", bare("payload_digest"))
+    joined = payloads(reassemble(records.where("segment_number is not null"))).select("record_id", "payload_bytes", bare("payload_digest"))
+    done = materialize(single.unionByName(joined), "payloads")
+    revisits = records.where("segment_number is null and record_type = 'revisit'").select("record_id", bare("payload_digest"), "refers_to")
     lengths = done.select(F.col("record_id").alias("refers_to"), "payload_bytes").dropDuplicates(["refers_to"])
     rows = done.select("record_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     rows = rows.unionByName(revisits.join(lengths, "refers_to", "left").withColumn("record_type", F.lit("revisit")))
