@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -42,8 +42,6 @@ from .text_arrays import LOWER, NOT_SPACE, blocks, mix, shingle_hashes, utf8, wo
 
 CHUNKS, CHUNK, ERRORS, BITS = 12, 5, 1, 16
 POSITIONS = CHUNKS * CHUNK
-#: Pairs whose signatures differ in more positions are not confirmed: at similarity 0.8 the chance is 2.3e-9.
-MOST_DIFFERING = 32
 
 #: Counters of the sketch that orders shingles, and the ratio of a size band.
 SKETCH_BITS = 20
@@ -172,12 +170,6 @@ def _confirm(per_cent: int):
     return run
 
 
-def _differing(a: str, b: str) -> Column:
-    """Positions in which two signatures, as hex strings of four digits each, differ."""
-    same = [(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4)).cast("int") for i in range(POSITIONS)]
-    return F.lit(POSITIONS) - sum(same[1:], same[0])
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -186,7 +178,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = profile.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
 
-    keys = classes.select("id", "signature").mapInArrow(_index_keys, f"key long, id {kind}")
+    keys = materialize(classes.select("id", "signature").mapInArrow(_index_keys, f"key long, id {kind}"), "keys")
     buckets = materialize(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = materialize(keys.join(buckets.filter("size > 2").select("key", "lead"), "key"), "members")
     pairs = buckets.filter("size = 2").select(F.col("last").alias("u"), F.col("lead").alias("v"))
@@ -194,11 +186,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     # a merge join at every size: the ids grow with the corpus, so a plan that broadcasts them would not last
     sets = materialize(rows.join(needed.hint("merge"), "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, shingles binary"), "sets")
-    signed = classes.select("id", F.hex("signature").alias("signature"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The distinct pairs(u, v) that hold on the full sets."""
-        pairs = pairs.join(signed.toDF("u", "a"), "u").join(signed.toDF("v", "b"), "v").filter(_differing("a", "b") <= MOST_DIFFERING).select("u", "v")
         pairs = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
         return materialize(pairs.mapInArrow(_confirm(per_cent), f"u {kind}, v {kind}"), "confirmed")
 
@@ -244,3 +234,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents without those that are linked, directly or over others, with one of smaller id. Rows with a null id stay."""
     gone = near_dedup(docs, id_col, text_col, k, per_cent).filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
+#: Exact: linked sets share one of the shingles that come first, rarest before others, in both; n - ceil(0.8 n) + 1 of n are first.
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as materialized (select distinct doc_id, unnest(case when len(w) = 1 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as shingle from d),
+num as materialized (select shingle, row_number() over (order by df, shingle) as s from (select shingle, count(*) as df from sh group by shingle) f),
+sets as materialized (select doc_id, list(s order by s) as own, count(*) as n from sh join num using (shingle) group by doc_id),
+cls as materialized (select own, any_value(n) as n, min(doc_id) as rep from sets group by own),
+pre as materialized (select rep, n, unnest(own[1 : n - (80 * n + 99) // 100 + 1]) as s from cls),
+cand as materialized (select distinct a.rep as x, b.rep as y from pre a join pre b on a.s = b.s and a.rep < b.rep and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n),
+link as materialized (select x, y from (select x, y, a.n + b.n as total, len(list_intersect(a.own, b.own)) as common from cand join cls a on a.rep = x join cls b on b.rep = y) p where 100 * common >= 80 * (total - common)),
+reach(node, root) as (select rep, rep from cls union select y, root from reach join (select x, y from link union all select y, x from link) e on e.x = node),
+comp as (select node, min(root) as root from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(root, d.doc_id) as component_id, d.doc_id = coalesce(root, d.doc_id) as kept
+from d left join (select sets.doc_id, sets.n, comp.root from sets join cls using (own) join comp on comp.node = cls.rep) c using (doc_id)
+"""

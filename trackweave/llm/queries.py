@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_warc": warc.ORACLE,
 }
