@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import pytest
+
 from trackweave.llm import language_id as L
 
 from .conftest_data import SF
@@ -31,3 +34,32 @@ def test_no_labels(spark):
     model = L.fit(docs)
     assert [(r.lang_pred, r.score) for r in L.predict(docs, model).collect()] == [("und", 0.0)]
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+SYLLABLES = {"aa": "ka mo ti ru se no la".split(), "bb": "zur pfe gno sch drü wix".split(), "cc": "água ção nhe lho rês".split(), "dd": "yth wyn llo ddu ffa ngh".split()}
+
+
+def _text(lang, n, r):
+    return " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+@pytest.mark.parametrize("langs", [["aa"], ["aa", "bb"], ["aa", "bb", "cc", "dd"]])
+def test_rejection_with_any_number_of_languages(spark, langs):
+    """Texts of other scripts and of letters at random are rejected, clean texts of one word or many are not."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, _text(langs[i % len(langs)], r.randint(1, 60), r), langs[i % len(langs)]) for i in range(400)], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    clean = [(i, _text(langs[i % len(langs)], r.randint(3, 80), r)) for i in range(200)]
+    foreign = [(1000 + i, " ".join("".join(r.choice("жщыъэюяфцчбдгкл") for _ in range(r.randint(2, 9))) for _ in range(20))) for i in range(50)]
+    foreign += [(2000 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(r.randint(3, 9))) for _ in range(20))) for i in range(50)]
+    got = {x.doc_id: x for x in L.predict(spark.createDataFrame(clean + foreign, "doc_id long, text string"), model).collect()}
+    assert sum(got[i].rejected for i, _ in clean) == 0
+    assert all(got[i].lang_pred == langs[i % len(langs)] for i, _ in clean)
+    assert sum(got[i].rejected for i, _ in foreign) >= 95
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "ka mo", "aa", "x", 0.5), (1, "ka mo", "aa", "x", 0.5), (None, "ka", "aa", None, None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id string, score double")
+    got = L.predict(docs, L.fit(docs)).collect()
+    assert len(got) == 4 and sorted(r.lang_pred for r in got) == ["aa", "aa", "aa", "und"]

@@ -1,3 +1,10 @@
+import itertools
+import random
+import re
+import time
+
+import pytest
+
 from trackweave.llm import licences as L
 
 from .helpers import documents
@@ -115,3 +122,51 @@ def test_named_holders_and_families():
             assert [(x[0], x[3]) for x in own.licences(shown)] == [(licence, len(shown))], text
     for text in ("Neither the name of a rose nor the names of flowers matter.", "This project is licensed under terms unknown.", "SPDX-License-Identifier: Foo"):
         assert own.licences(text) == []
+
+
+def test_more_families():
+    own = L.Recogniser(L.SENTENCES, L.RULES)
+    zlib = " ".join(L.SENTENCES[x] for x in ("zlib-warranty", "zlib-liability", "zlib-grant")).replace("{holder}", "the authors")
+    for text, licence in [(zlib, "Zlib"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), (L.SENTENCES["epl2-made"], "EPL-2.0"), ("SPDX-License-Identifier: EPL-1.0", "EPL-1.0")]:
+        assert [x[0] for x in own.licences(text)] == [licence], text
+
+
+@pytest.mark.parametrize("filler", ["\n", ". ", "\n \n", "x.\n", "license ", "Permission\n\n"])
+def test_time_is_linear(filler):
+    """Long texts of pieces without words, or of words that begin sentences, take time in proportion."""
+    own = L.Recogniser(L.SENTENCES, L.RULES)
+    begun = time.perf_counter()
+    assert own.licences("The license" + filler * 100_000 + "\nAll rights reserved.")[-1][0] == "proprietary"
+    assert time.perf_counter() - begun < 20
+
+
+def test_against_brute_force():
+    """Sentences and rules as a plain search over all runs of pieces finds them."""
+    known = {"a": "The cat sat; the dog ran.", "b": "No rights, none.", "c": "By {holder} for all.", "d": "The cat sat."}
+    rules = [("L1", ["a", "b"]), ("L2", ["a"]), ("L3", ["c", "b", "c"]), ("L4", ["b"])]
+    own, r = L.Recogniser(known, rules, max_gap=1), random.Random(4)
+    bits = ["The cat sat; the dog ran.", "The cat\nsat; the\ndog ran.", "No rights, none.", "By Ann\nLee for all.", "By for all.", "the cat sat.", "Else.", "\n\n", "... ", "By Bob for", "all."]
+    patterns = {name: re.compile(re.sub(r"\{holder\}", r"\\S+(?: \\S+){0,15}", re.sub(r"[^a-z{} ]", "", text.lower()))) for name, text in known.items()}
+    for _ in range(300):
+        text = r.choice([" ", "\n"]).join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        pieces = [p for x in L.pieces_of(text) if (p := L.normalise(x))]
+        names, i = [], 0
+        while i < len(pieces):
+            fits = [(j, name) for j in range(i + 1, len(pieces) + 1) for name, pattern in patterns.items() if pattern.fullmatch(" ".join(pieces[i:j]))]
+            exact = [x for x in fits if x[1] != "c"]
+            j, name = exact[-1] if exact else fits[0] if fits else (i + 1, None)
+            names.append(name)
+            i = j
+        assert [x[1] for x in own.sentences(text)] == (names if any(names) else [x[1] for x in own.sentences(text)]), text
+        places, found = [i for i, name in enumerate(names) if name], []
+        while places:
+            rule = next((rule for rule in sorted(rules, key=lambda x: -len(x[1])) if [names[p] for p in places[: len(rule[1])]] == rule[1] and all(b - a <= 2 for a, b in itertools.pairwise(places[: len(rule[1])]))), None)
+            found += [rule[0]] if rule else []
+            places = places[len(rule[1]) if rule else 1 :]
+        assert [x[0] for x in own.licences(text)] == found, text
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "Licensed under the MIT License."), (1, "Licensed under the MIT License."), (None, None)]
+    got = L.find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(len(r.found) for r in got) == [0, 1, 1]

@@ -3,14 +3,18 @@
 A text is the average of the embeddings of its hashed subwords (byte 2- to 4-grams inside words, with
 a blank on either side of a word, and whole words); a linear layer and softmax give the languages.
 Embeddings and layer are trained here by stochastic gradient descent in numpy, on a bounded sample
-of labelled rows: at most `per_language` rows for each of at most `max_languages` languages, chosen
-by a hash of their ids. Executors turn the sampled texts, whole, into sparse subword counts; the
-driver only sees those counts (at most BUCKETS each).
-
-A fifth of the sample is set aside to calibrate: a temperature of at least 1 makes the top probability
-honest, and the rejection threshold is the score that `reject_rate` of the set-aside rows, but no score
-over `reject_below`, falls under. Subwords never seen in training count as zero, so a text of unknown
-subwords has a score near chance and is rejected. Prediction reads whole texts. As averaging and the linear layer commute,
+of labelled rows: about `per_language` rows of each language, fewer where there are over `sample_rows`
+in all, chosen by a hash of their ids. Executors turn the sampled texts, whole, into sparse subword
+counts; the driver only sees the FEATURES most frequent subwords of each (16 kB a row, so at most
+330 MB in all with the defaults).
+
+A fifth of the sample is set aside to calibrate. A temperature of at least 1 makes the top probability
+honest. A text is rejected for either of two reasons. Its score is too near chance: `margin` of the way
+from 1/languages to 1, or the score that `reject_rate` of the set-aside rows fall under (their least,
+where they are too few for that) if that is lower. Or too few of its subwords are known from training:
+less than half way from the share that any text has by hash collisions to the share of set-aside rows,
+or what `reject_rate` of them fall under if that is lower; this also works with one or two languages.
+Unknown subwords count as zero. Prediction reads whole texts. As averaging and the linear layer commute,
 executors get one table of BUCKETS x languages.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected; without
@@ -35,6 +39,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
+#: Subwords of a sampled text that training sees, the most frequent first.
+FEATURES = 2048
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -47,6 +53,11 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: np.ndarray  # which buckets were seen in training
+    least_known: float  # a smaller share of known subwords is rejected
+
+    def share_known(self, buckets: np.ndarray) -> float:
+        return float(np.count_nonzero(self.known[buckets])) / max(1, len(buckets))
 
     def logits(self, buckets: np.ndarray) -> np.ndarray:
         total, step = np.zeros(len(self.languages)), max(1, (1 << 18) // len(self.languages))
@@ -90,6 +101,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = [], []
         for buckets in subwords(batch.column(1)):
             own, counts = np.unique(buckets, return_counts=True)
+            most = np.argsort(-counts, kind="stable")[:FEATURES]
+            own, counts = own[most], counts[most]
             at.append(own.astype(np.int32).tobytes())
             n.append(counts.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "turn", "at", "n"])
@@ -101,19 +114,20 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     per_language: int = 300,
-    max_languages: int = 200,
+    sample_rows: int = 20_000,
     epochs: int = 12,
     reject_rate: float = 0.001,
-    reject_below: float = 0.35,
+    margin: float = 0.13,
     seed: int = 7,
 ) -> Model:
     """Train on a bounded sample of the labelled rows of docs."""
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("turn"))
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS, bool), 0.0)
+    per_language = max(2, min(per_language, sample_rows // len(languages)))
     below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, per_language / sizes[lang])])
     sample = labelled.filter(F.col("turn") < F.try_element_at(below, F.col("lang"))).select("lang", "text", "turn").limit(2 * per_language * len(languages))
     rows = sorted(sample.mapInArrow(_sparse, "lang string, turn double, at binary, n binary").collect(), key=lambda r: (r.turn, r.lang))
@@ -137,14 +151,21 @@ def fit(
             bias += 0.01 * rate * error.astype(np.float32)
             embed[at] += (rate * weight[:, None] * back).astype(np.float32)
     table = embed @ layer
-    table[np.bincount(np.concatenate([at for at, _, _ in used]), minlength=BUCKETS) == 0] = 0
+    known = np.bincount(np.concatenate([at for at, _, _ in used]), minlength=BUCKETS) > 0
+    table[~known] = 0
     raw = np.array([weight @ table[at] + bias for at, weight, _ in held])
     truth = np.array([y for _, _, y in held])
     heats = np.geomspace(1, 20, 60)
     loss = [-np.mean(np.log(np.maximum(_softmax(raw / heat)[np.arange(len(truth)), truth], 1e-12))) for heat in heats]
     heat = float(heats[int(np.argmin(loss))])
-    top = _softmax(raw / heat).max(axis=1)
-    return Model(languages, table.astype(np.float32), bias, heat, min(reject_below, float(np.quantile(top, reject_rate, method="lower"))))
+
+    def least(values: np.ndarray, most: float) -> float:
+        return min(most, float(np.quantile(values, reject_rate, method="lower")))
+
+    chance = 1 / len(languages)
+    threshold = least(_softmax(raw / heat).max(axis=1), chance + margin * (1 - chance)) if len(languages) > 1 else 0.0
+    shares = np.array([weight[known[at]].sum() for at, weight, _ in held])
+    return Model(languages, table.astype(np.float32), bias, heat, threshold, known, least(shares, float(known.mean() + np.median(shares)) / 2))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -156,16 +177,17 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_pylist()
-            best, scores = [], []
+            best, scores, rejected = [], [], []
             for has, buckets in zip(letters, subwords(batch.column(1)), strict=True):
                 if has and model.languages:
                     p = _softmax(model.logits(buckets))
                     best.append(model.languages[int(p.argmax())])
                     scores.append(float(p.max()))
+                    rejected.append(scores[-1] < model.threshold or model.share_known(buckets) < model.least_known)
                 else:
                     best.append(UNDETERMINED)
                     scores.append(0.0)
-            rejected = [lang == UNDETERMINED or score < model.threshold for lang, score in zip(best, scores, strict=True)]
+                    rejected.append(True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["id", "lang_pred", "score", "rejected"])
 
     return run

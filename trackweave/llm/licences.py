@@ -60,6 +60,12 @@ SENTENCES = {
     "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND {holder} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "isc-liability": "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "epl2-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "epl1-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "bsl-name": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will {holder} be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "gpl-hope-of": "This {project} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
 }
 
@@ -91,6 +97,11 @@ RULES = [
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]),
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
+    ("EPL-2.0", ["epl2-made"]),
+    ("EPL-1.0", ["epl1-made"]),
+    ("BSL-1.0", ["bsl-name"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
     ("proprietary", ["all-rights"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     *[
@@ -133,6 +144,10 @@ def _add_families() -> None:
         "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
         "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
         "Unlicense": ["Unlicense"],
+        "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License, version 1.0", "Eclipse Public License v1.0"],
+        "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "Eclipse Public License v2.0"],
+        "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+        "Zlib": ["zlib License"],
     }
     tags = [*named]
     hope = ("gpl-hope", "gpl-hope-of")
@@ -247,29 +262,29 @@ class Recogniser:
         low = text.lower()
         if not any(hint in low for hint in self.hints):
             return []
-        spans = [(m.start(), m.end()) for m in _PIECE.finditer(text) if m.end() > m.start()]
-        words: list[str | None] = [None] * len(spans)
+        pieces = [(words, *m.span()) for m in _PIECE.finditer(text) if m.end() > m.start() and (words := normalise(m[0]))]
         out, i = [], 0
-        while i < len(spans):
+        while i < len(pieces):
             name, end, joined, j = None, i + 1, "", i
-            while j < len(spans):
-                if words[j] is None:
-                    words[j] = normalise(text[slice(*spans[j])])
-                joined = f"{joined} {words[j]}".strip()
+            while j < len(pieces):
+                joined = f"{joined} {pieces[j][0]}" if joined else pieces[j][0]
                 own = self._name(joined)
                 if own and (name is None or joined in self.known):
                     name, end = own, j + 1
-                if joined and not (joined.split(" ", 1)[0] in self.openers and self._may_begin(joined)):
+                if not (joined.split(" ", 1)[0] in self.openers and self._may_begin(joined)):
                     break
                 j += 1
-            if name or words[i]:
-                out.append((len(out), name, spans[i][0], spans[end - 1][1]))
+            out.append((len(out), name, pieces[i][1], pieces[end - 1][2]))
             i = end
         return out
 
     def licences(self, text: str) -> list[tuple[str, list[str], int, int]]:
         """(licence, identifiers, start, end) in text order."""
-        found = [x for x in self.sentences(text) if x[1]]
+        return self.match(self.sentences(text))
+
+    def match(self, sentences: list[tuple[int, str | None, int, int]]) -> list[tuple[str, list[str], int, int]]:
+        """The licences that the sentences of a text state."""
+        found = [x for x in sentences if x[1]]
         out, i = [], 0
         while i < len(found):
             for licence, names in self.rules.get(found[i][1], ()):
@@ -309,9 +324,9 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             found, known = [], []
             for text in batch.column(1):
-                own = text.as_py() or ""
-                found.append([dict(zip(("licence", "sentences", "start", "end"), x, strict=True)) for x in recogniser.licences(own)])
-                known.append(sum(1 for x in recogniser.sentences(own) if x[1]))
+                own = recogniser.sentences(text.as_py() or "")
+                found.append([dict(zip(("licence", "sentences", "start", "end"), x, strict=True)) for x in recogniser.match(own)])
+                known.append(sum(1 for x in own if x[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND), pa.array(known, pa.int64())], names=["id", "found", "n_sentences"])
 
     kind = docs.schema[id_col].dataType.simpleString()
