@@ -1,6 +1,12 @@
 import html
+import itertools
+import math
 import random
 import re
+import time
+
+import numpy as np
+import pytest
 
 from trackweave.llm import html_text as H
 
@@ -49,3 +55,66 @@ def test_real_pages(spark):
         blocks = re.sub(r"</?b>", "", re.sub(r"<(?:/?(?:p|h1)|br)>", "\n", found[1])).split("\n")
         assert got[r.page_id].text == " ".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
     assert H.extract_pages(pages.limit(0)).count() == 0
+
+
+LOST = [
+    ("<article><h1>T t</h1><p title=don't>One one one.</p><p class='x'>Two two two.</p><p>Three isn't.</p></article>", "T t One one one. Two two two. Three isn't."),
+    ("<!--><article><h1>T t</h1><p>One one one, two two.</p></article>", "T t One one one, two two."),
+    ("<!---><article><h1>T t</h1><p>One<!-- a > b --> one --> one, two<!-- x --!> two.</p></article>", "T t One one --> one, two two."),
+    ("<article><h1>T t</h1><p>a < b and c <3 d, w<img src=x>ord </>end <?x ?>here.</p></article>", "T t a < b and c <3 d, word end here."),
+    ("<article><h1>T t</h1><p>One one one.</p><p title=\"open>Two two two.</p><p>Three three.</p></article>", "T t One one one. Two two two. Three three."),
+    ("<article><h1>T t</h1><p/class=x data-a = 'q>' b=c/d>One one one.<P\nid=y>Two two two.</article>", "T t One one one. Two two two."),
+]
+
+
+def test_markup_that_browsers_take():
+    forest = H.train()
+    for page, want in LOST:
+        assert H.extract(page, forest) == want, page
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a "', "<a x='", '<a x="\'', "<!--", "<p>", "</b>", "<b><p>x</p>", "<li>a", "<", "&am", "<div></span>", "<script>", "<p><div>", "<td>x"])
+def test_time_is_linear(piece):
+    """Pages of one piece over and over take time in proportion to their length."""
+    seconds = []
+    for n in (10_000, 80_000):
+        page = "<article>" + piece * (n // len(piece))
+        begun = time.perf_counter()
+        H.features(H.nodes_of(H.parse(page)))
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 0.3 + 24 * seconds[0], seconds
+
+
+def test_decoding_is_the_best_of_all(spark):
+    """On small trees the labelling found has the highest score of all that never go back."""
+    rng, forest = random.Random(9), H.train()
+    for _ in range(60):
+        inner = lambda depth: "".join(rng.choice(["<p>", "<div>", "<b>", "<form>", "<div class=ad>"]) + "x" * rng.randint(0, 30) + (inner(depth - 1) if depth and rng.random() < 0.6 else "") + rng.choice(["</p>", "</div>", "</b>"]) for _ in range(rng.randint(1, 2)))  # noqa: E731, B023
+        nodes = H.nodes_of(H.parse(inner(2)))[:9]
+        number = {id(n): i for i, n in enumerate(nodes)}
+        up = [number[id(n.parent)] if n.parent else None for n in nodes]
+        logits = forest.logits(H.features(nodes)) + np.array([rng.gauss(0, 3) for _ in nodes])
+
+        def score(labels):
+            total = 0.0
+            for i, (node, label) in enumerate(zip(nodes, labels, strict=True)):  # noqa: B023
+                above = labels[up[i]] if up[i] is not None else 0  # noqa: B023
+                if label < above:
+                    return -math.inf
+                weight = 0.05 + math.log1p(sum(len(x.strip()) for x in node.parts if isinstance(x, str)))
+                own = max(-8, min(8, logits[i])) * weight if label == 1 else 0.0  # noqa: B023
+                if node.tag in H.INLINE and not node.groups and label == 1:
+                    own = 0.0
+                if node.tag in H.NEVER and label == 1:
+                    own = -1e9
+                total += own - (0.1 if above and label != above else 0.0)
+            return total
+
+        best = max(score(x) for x in itertools.product(range(3), repeat=len(nodes)))
+        assert math.isclose(score(H.decode(nodes, logits).tolist()), best, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", "<p>Some text here.</p>", "x", 3)] * 2
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, id long")).collect()
+    assert len(got) == 2 and got[0].asDict() == got[1].asDict()

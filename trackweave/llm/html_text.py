@@ -10,14 +10,14 @@ dynamic programming over the tree.
 
 The trees are trained on pages drawn from a seeded grammar of page parts (articles in many kinds of
 containers, menus, headers, sidebars, notices, adverts, forms, comments), as no labelled pages are
-given; the number of pages is a parameter and the training takes a few seconds on the driver.
+given; the number of pages is a parameter and the training takes about twenty seconds on the driver.
 
 Text inside the article is joined by block: character references are decoded, white space inside a
 block becomes one space, blocks are trimmed and joined by one space in page order.
 
 Defined results: a null or empty html and a page without article text give an empty text; unclosed,
-stray and cut-off tags are read as browsers do, as far as text is concerned; repeated rows are each
-given; an empty table gives an empty result; other columns are not looked at.
+stray and cut-off tags, quotes and comments are read as browsers do, as far as text is concerned, but for
+a quote that is never closed, which ends at once; repeated rows are each given; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ from . import boosting
 # Fixed values of HTML: elements without content, raw text, blocks, and tags that end an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark picture q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_PARAGRAPH, _LISTS = {"p"}, frozenset("ul ol dl table select menu".split())
 NEVER = frozenset("script style noscript template iframe head title form select button textarea input svg math object canvas dialog".split())
 
 # Words in class, id and role attributes, by what they stand for.
@@ -66,8 +67,12 @@ _TAGS = {
 TAG_KINDS = tuple(_TAGS)
 _TAG_KIND = {tag: i for i, kind in enumerate(TAG_KINDS) for tag in _TAGS[kind]}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+#: An attribute as browsers read it; a value whose quote is never closed ends at once, so the tag ends at the next `>`.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
+_TAG_END = re.compile(r"[\s/]*(>|\Z)")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE) for tag in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -92,52 +97,76 @@ def _groups(value: str) -> int:
     return found | (1 << GROUPS.index(whole) if whole else 0)
 
 
-def _attribute_groups(attributes: str) -> int:
+def _attributes(page: str, at: int) -> tuple[int, int]:
+    """The token groups of a tag's class, id and role, from where its name ends, and where the tag ends."""
     found = 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        found |= _groups(m[2] or m[3] or m[4] or "")
-    return found
+    while not (end := _TAG_END.match(page, at)):
+        m = _ATTRIBUTE.match(page, at)
+        if m[1].lower() in ("class", "id", "role"):
+            found |= _groups(m[2] or m[3] or m[4] or "")
+        at = m.end()
+    return found, end.end()
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page; text stays undecoded."""
+    """The element tree of a page; text stays undecoded. The time is linear in the page's length."""
     root = Node("html", 0, None)
-    here, at = root, 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at = m.end()
+    here, at, text_from = root, 0, 0
+    open_: dict[str, int] = {}
+
+    def close(top: Node) -> Node:
+        """Close the open elements up to `top`."""
+        node = here
+        while node is not top.parent:
+            open_[node.tag] -= 1
+            node = node.parent
+        return node
+
+    while m := _MARKUP.search(page, at):
+        if m.start() > text_from:
+            here.parts.append(page[text_from : m.start()])
         if m[2] is None:
+            if not m[3]:
+                at = page.find(">", m.end()) + 1 or len(page)
+            elif page.startswith((">", "->"), m.end()):
+                at = page.index(">", m.end()) + 1
+            else:
+                end = _COMMENT_END.search(page, m.end())
+                at = end.end() if end else len(page)
+            text_from = at
             continue
         tag = m[2].lower()
+        groups, at = _attributes(page, m.end())
+        text_from = at
         if m[1]:
-            top = here
-            while top is not root and top.tag != tag:
-                top = top.parent
-            if top is not root:
-                here = top.parent
+            if open_.get(tag):
+                top = here
+                while top.tag != tag:
+                    top = top.parent
+                here = close(top)
             continue
         if tag in ("html", "body"):
-            root.groups |= _attribute_groups(m[3]) if tag == "body" else 0
+            root.groups |= groups if tag == "body" else 0
             continue
-        closes = ITEMS.get(tag)
-        if closes or tag in ENDS_PARAGRAPH:
+        closes = ITEMS.get(tag) or (_PARAGRAPH if tag in ENDS_PARAGRAPH else None)
+        if closes and any(map(open_.get, closes)):
             top = here
-            while top is not root and top.tag not in (closes or {"p"}) and (top.tag in INLINE or closes and top.tag not in ("ul", "ol", "dl", "table", "select", "menu")):
+            while top is not root and top.tag not in closes and (top.tag in INLINE or closes is not _PARAGRAPH and top.tag not in _LISTS):
                 top = top.parent
-            if top.tag in (closes or {"p"}):
-                here = top.parent
-        node = Node(tag, _attribute_groups(m[3]) if m[3] else 0, here)
+            if top.tag in closes:
+                here = close(top)
+        node = Node(tag, groups, here)
         here.parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.IGNORECASE).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             if tag == "textarea" or tag == "title":
                 node.parts.append(page[at : end.start()])
-            at = end.end()
+            at = text_from = end.end()
         elif tag not in VOID:
+            open_[tag] = open_.get(tag, 0) + 1
             here = node
-    if at < len(page):
-        here.parts.append(page[at:])
+    if text_from < len(page):
+        here.parts.append(page[text_from:])
     return root
 
 
@@ -273,8 +302,14 @@ def main_text(nodes: list[Node], labels: np.ndarray) -> str:
 # ---- training pages ---------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=1)
+def _vocabulary() -> list[str]:
+    rng = random.Random(11)
+    return ["".join(rng.choices("aeioulnrstdk", k=rng.randint(2, 9))) for _ in range(3000)]
+
+
 def _sentence(rng: random.Random, least: int, most: int) -> str:
-    words = ["".join(rng.choice("aeioulnrstdk") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(least, most))]
+    words = rng.choices(_vocabulary(), k=rng.randint(least, most))
     return " ".join(w + ("," if rng.random() < 0.08 else "") for w in words).capitalize() + rng.choice(["."] * 9 + ["", "!"])
 
 
@@ -332,7 +367,7 @@ def training_page(rng: random.Random) -> str:
     """A page of the grammar; `x-main` and `x-junk` wrap what is and is not article text, and are taken out again."""
     body = [f"<h1>{_sentence(rng, 2, 12)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.randint(1, 14)):
-        body.append(rng.choice([f"<p>{_prose(rng)}</p>"] * 8 + [f"<p><b>{_prose(rng)}<br>", f"<h2>{_sentence(rng, 2, 8)}</h2>", f"<ul>{''.join(f'<li>{_prose(rng, 3, 25)}</li>' for _ in range(rng.randint(1, 5)))}</ul>", f"<blockquote>{_prose(rng)}</blockquote>", f"<div>{_prose(rng)}</div>", f"<table><tr><td>{_sentence(rng, 1, 5)}<td>{_sentence(rng, 1, 5)}</table>", f"<pre>{_prose(rng)}</pre>", f"<p>{_prose(rng)} <a href='/x'>{_sentence(rng, 1, 4)}</a> {_prose(rng)}</p>"]))
+        body.append(rng.choice([f"<p>{_prose(rng)}</p>"] * 8 + [f"<p>{_sentence(rng, 1, 6)}</p>", f"<p><b>{_prose(rng)}<br>", f"<p><b>{_prose(rng)}<br><p>{_sentence(rng, 1, 6)}</p>", f"<h2>{_sentence(rng, 2, 8)}</h2>", f"<ul>{''.join(f'<li>{_prose(rng, 3, 25)}</li>' for _ in range(rng.randint(1, 5)))}</ul>", f"<blockquote>{_prose(rng)}</blockquote>", f"<div>{_prose(rng)}</div>", f"<table><tr><td>{_sentence(rng, 1, 5)}<td>{_sentence(rng, 1, 5)}</table>", f"<pre>{_prose(rng)}</pre>", f"<p>{_prose(rng)} <a href='/x'>{_sentence(rng, 1, 4)}</a> {_prose(rng)}</p>"]))
         if rng.random() < 0.15:
             body.append(_junk(rng, ["ad", "ad", "side", "share", "notice", "form", "nav"]))
     if rng.random() < 0.35:
@@ -379,7 +414,7 @@ def _labelled(page: str) -> tuple[list[Node], np.ndarray]:
 
 
 @functools.lru_cache(maxsize=4)
-def train(pages: int = 600, seed: int = 5) -> boosting.Forest:
+def train(pages: int = 800, seed: int = 5) -> boosting.Forest:
     rng, x, y, weight = random.Random(seed), [], [], []
     for _ in range(pages):
         nodes, labels = _labelled(training_page(rng))

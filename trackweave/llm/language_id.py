@@ -5,8 +5,8 @@ a blank on either side of a word, and whole words); a linear layer and softmax g
 Embeddings and layer are trained here by stochastic gradient descent in numpy, on a bounded sample
 of labelled rows: about `per_language` rows of each language, fewer where there are over `sample_rows`
 in all, chosen by a hash of their ids. Executors turn the sampled texts, whole, into sparse subword
-counts; the driver only sees the FEATURES most frequent subwords of each (16 kB a row, so at most
-330 MB in all with the defaults).
+counts; the driver only sees the FEATURES most frequent subwords of each (16 kB a row, so about 330 MB
+in all with the defaults).
 
 A fifth of the sample is set aside to calibrate. A temperature of at least 1 makes the top probability
 honest. A text is rejected for either of two reasons. Its score is too near chance: `margin` of the way
@@ -15,7 +15,7 @@ where they are too few for that) if that is lower. Or too few of its subwords ar
 less than half way from the share that any text has by hash collisions to the share of set-aside rows,
 or what `reject_rate` of them fall under if that is lower; this also works with one or two languages.
 Unknown subwords count as zero. Prediction reads whole texts. As averaging and the linear layer commute,
-executors get one table of BUCKETS x languages.
+executors get one table of BUCKETS x languages (1 MB a language).
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected; without
 any labelled row everything is `und`; rows with null labels are predicted but not learned from;
