@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import time
 
 from trackweave.llm import secrets as S
 
@@ -58,19 +60,28 @@ def test_cheapest_segmentation():
                 ways = [char * (b - a)]
                 word = S._word_cost(part, ranks) if b - a > 1 else None
                 ways += [word] if word is not None else []
-                if b - a >= 3 and all(x + y in S._STEPS for x, y in itertools.pairwise(part.lower())):
+                step = [x + y in S._STEPS for x, y in itertools.pairwise(value.lower())]
+                if b - a >= 3 and all(step[a : b - 1]) and not (a and step[a - 1] and b < n and step[b - 1]):
                     ways.append(math.log10(40 * (b - a)))
                 if S._DATE.fullmatch(part) and any(m.span() == (a, b) for m in S._DATE.finditer(value)):
                     ways.append(math.log10(365 * 60 if b - a > 4 else 60))
                 for unit in range(1, (b - a) // 2 + 1):
-                    if (b - a) % unit == 0 and part == part[:unit] * ((b - a) // unit):
-                        w = S._word_cost(part[:unit], ranks)
+                    word_ = part[:unit]
+                    if (b - a) % unit or part != word_ * ((b - a) // unit) or any(unit % d == 0 and word_ == word_[:d] * (unit // d) for d in range(1, unit)):
+                        continue
+                    low, high = a, b
+                    while low and value[low - 1] == value[low - 1 + unit]:
+                        low -= 1
+                    while high < n and value[high] == value[high - unit]:
+                        high += 1
+                    if a - low < unit or high - b < unit:
+                        w = S._word_cost(word_, ranks)
                         ways.append(min(char * unit, w if w is not None else math.inf) + math.log10((b - a) // unit))
                 cost += min(ways) + S._KIND_COST
             best = min(best, cost)
         return best
 
-    for value in ["pass", "Pass1word", "aaaa", "ababab", "qwer12", "19991231x", "xyPassxy", "dr4gonqaz", "12341234", "Zq9$kk", "passpass", "a"]:
+    for value in ["pass", "Pass1word", "aaaa", "ababab", "qwer12", "19991231x", "xyPassxy", "dr4gonqaz", "12341234", "Zq9$kk", "passpass", "a", "aqwertyuip", "xababababy", "aabaabaab", "q1a1a1a1az", "pqwerwer1", "asdfdsasdf"]:
         assert math.isclose(S.segment(value, ranks)[0], brute(value), rel_tol=1e-9), value
 
 
@@ -81,3 +92,68 @@ def test_costs_rank():
     assert cost("x" * 100_000) < 10 and S.segment("", ranks) == (0.0, [])
     kinds = [s[0] for s in S.segment("dragon19991231qwertyzzzzzz", ranks)[1]]
     assert kinds == ["word", "date", "walk", "repeat"] or "word" in kinds and "date" in kinds
+
+
+def test_repeats_are_all_maximal_ones():
+    r = random.Random(6)
+    for _ in range(3000):
+        value = "".join(r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 22)))
+        want = set()
+        for period in range(1, len(value) // 2 + 1):
+            agree = [value[i] == value[i + period] for i in range(len(value) - period)] + [False]
+            start = None
+            for i, same in enumerate(agree):
+                if same and start is None:
+                    start = i
+                if not same and start is not None:
+                    unit = value[start : start + period]
+                    if i - start >= period and not any(period % d == 0 and unit == unit[:d] * (period // d) for d in range(1, period)):
+                        want.add((start, i + period, period))
+                    start = None
+        assert set(S.repeats(value)) == want, value
+
+
+def test_time_is_linear():
+    ranks = S.rank_words()
+    for piece in ("x", "qwertyuiop", "ab", "abaab", "qwertyuiopoiuytrew", "zq7"):
+        begun = time.perf_counter()
+        S.segment(piece * (20_000 // len(piece)), ranks)
+        assert time.perf_counter() - begun < 20, piece
+
+
+#: Text, and whether its credential value is a secret.
+LABELLED = [
+    ("password = required", False),
+    ("token: configuration", False),
+    ("the compass: northwest-by-north", False),
+    ("bypass: through-the-hills-7", False),
+    ("pass: password123", False),
+    ("password: xxxxxxxxxxxxxxxxxxxxxxxx", False),
+    ("secret=qwertyuiop", False),
+    ("pwd: 1234567890", False),
+    ("token = example", False),
+    ("password: 01.02.1999", False),
+    ("password: changeme", False),
+    ("secret: the market opens", False),
+    ("token: markets", False),
+    ("pass = xK9$mQ2!vLr8", True),
+    ("dbPass: 'tR7#pLq2Zw'", True),
+    ("my_pwd => \"9fK!2mVx0q\"", True),
+    ("Authorization: Bearer q8Zr2LmX77tYp0", True),
+    ("mysql://root:Vb4!kZ81qq@db/x", True),
+    ("client_secret = 'hG5tR4eW3qA2sD1f'", True),
+    ("signing-key: Zx81Kq77Lm20Pd", True),
+    ("password: kitten-Qz7!opal4", True),
+]
+
+
+def test_precision_and_recall(spark):
+    """Labelled values by a dictionary learned from the documents themselves; values of random characters teach it nothing."""
+    prose = ["The market opens. Markets, and markets again (market) \"opens\"."] * 30 + ["x9market kjhgfd7 a_opens zzzq=ytrewq"] * 50
+    docs = documents(spark, [text for text, _ in LABELLED] + prose)
+    words = S.frequent_words(docs)
+    assert {"market", "markets", "opens"} <= set(words) and not {"kjhgfd", "ytrewq", "zzzq"} & set(words)
+    assert S.frequent_words(docs, most=2) == words[:2]
+    got = {r.doc_id: [x for x in r.spans if x.kind == "guess"] for r in S.find_secrets(docs, words=[*S.WORDS, *words]).collect()}
+    wrong = [text for i, (text, secret) in enumerate(LABELLED) if bool(got[i]) != secret]
+    assert wrong == [] and not any(got[i] for i in range(len(LABELLED), len(LABELLED) + len(prose)))

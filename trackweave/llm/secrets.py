@@ -3,8 +3,16 @@
 The guess cost of a value is the cheapest segmentation into dictionary words, dates, repeats,
 keyboard walks and sequences, and brute-force spans, found by dynamic programming over the value; it
 is the decimal logarithm of the guesses an informed attacker needs. Values of at least `MIN_LENGTH`
-characters that cost `min_cost` or more are reported; placeholders and plain words cost less. The
-run time is linear in the value's length, so values are judged whole, however long.
+characters that cost `min_cost` or more are reported; placeholders and plain words cost less.
+
+A walk or a repeat may be any part of a maximal one that begins or ends with it (a repeat: in its first
+or last period), and brute-force spans and words are any; so values are judged whole, however long, in
+time that grows with their length times the longest dictionary word, and with the maximal repeats, whose
+lengths add up to little more. No length of a walk, a unit or a value is left out.
+
+The dictionary is learned: the `DICTIONARY` most frequent words of all documents, counted once per
+document with Spark and ranked behind the built-in credential words. Runs of letters count that stand
+free, next to no digit, sign or letter, so parts of random values are not learned.
 
 Base kinds (never changed by the method): assign, access, hex. Added kind: guess, the span of a
 credential value. Positions are code points, ends exclusive.
@@ -17,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +34,8 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LENGTH = 6
 MIN_COST = 6.0
+#: Words learned from the documents; this bounds what the driver gathers and tasks are sent.
+DICTIONARY = 30_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -33,8 +43,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+#: Short context words count at the start of a word, or as the last part of a name in camel case.
+_START = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access|secret|signing)[_-]?key)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
+    rf"""(?:{_START}(?:pass|pwd|auth|token|credentials?|secret)|passw(?:or)?d|passphrase|secret|token|api[_-]?key|authorization|(?:private|access|secret|signing)[_-]?key)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|(?!bearer\b)([^\s"',;]+))"""
     r"""|\bbearer[\x20\t]+([A-Za-z0-9._~+/=-]+)"""
     r"""|://[^/\s:@]+:([^/\s@]+)@""",
     re.IGNORECASE | re.ASCII,
@@ -49,6 +61,7 @@ WORDS = (
     "shadow superman batman michael jordan daniel charlie thomas summer winter spring autumn monday friday january company "
     "office internet computer samsung google apple orange banana cookie pepper cheese coffee flower freedom whatever starwars "
     "ninja trustno mustang access hunter ranger soccer hockey tigger maggie ginger jessica ashley nicole the and for with this "
+    "required optional configuration authentication authorization enabled disabled username email missing invalid expired unknown change nothing special "
     "that from have not are was you all can her his one our out day get has him how man new now old see two way who its say she use"
 ).split()
 
@@ -58,7 +71,6 @@ WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcv
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|[12]\d|3[01])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)")
 _KIND_COST = math.log10(5)
-_LONGEST_UNIT = 16
 
 
 def _steps() -> set[str]:
@@ -68,11 +80,18 @@ def _steps() -> set[str]:
 _STEPS = _steps()
 
 
-def rank_words(words: tuple[str, ...] | list[str] = tuple(WORDS)) -> dict[str, int]:
+class Ranks(dict):
+    """Words with their ranks, and the length of the longest."""
+
+    longest = 0
+
+
+def rank_words(words: tuple[str, ...] | list[str] = tuple(WORDS)) -> Ranks:
     """Words with their ranks, the most frequent first; pass a longer list to judge by a richer dictionary."""
-    out: dict[str, int] = {}
+    out = Ranks()
     for word in words:
         out.setdefault(word.lower(), len(out) + 1)
+    out.longest = max(map(len, out), default=0)
     return out
 
 
@@ -83,7 +102,7 @@ def _alphabet(value: str) -> int:
     return size + 33 * any(c < "\x7f" and not c.isalnum() for c in value) + 100 * any(c >= "\x7f" for c in value)
 
 
-def _word_cost(part: str, ranks: Mapping[str, int]) -> float | None:
+def _word_cost(part: str, ranks: Ranks) -> float | None:
     lower = part.lower()
     rank, twist = ranks.get(lower), 1
     if rank is None:
@@ -94,49 +113,121 @@ def _word_cost(part: str, ranks: Mapping[str, int]) -> float | None:
     return math.log10(rank * twist * capital + 1)
 
 
-def segment(value: str, ranks: Mapping[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
+_MODULUS = (1 << 61) - 1
+
+
+class _Common:
+    """Lengths of common prefixes of suffixes of a string, in logarithmic time by hashes."""
+
+    def __init__(self, value: str):
+        self.value, self.hashes, self.powers = value, [0], [1]
+        for c in value:
+            self.hashes.append((self.hashes[-1] * 1_000_003 + ord(c) + 1) % _MODULUS)
+            self.powers.append(self.powers[-1] * 1_000_003 % _MODULUS)
+
+    def ahead(self, a: int, b: int) -> int:
+        """How many characters from a and from b (a < b) on agree."""
+        low, high = 0, len(self.value) - b
+        if not high or self.value[a] != self.value[b]:
+            return 0
+        while low < high:
+            n = (low + high + 1) // 2
+            same = (self.hashes[a + n] - self.hashes[a] * self.powers[n] - self.hashes[b + n] + self.hashes[b] * self.powers[n]) % _MODULUS == 0
+            low, high = (n, high) if same else (low, n - 1)
+        return low
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """All maximal repeats as (start, end, period): at least two periods long, and neither end can be moved out.
+
+    Every one has the period of a longest Lyndon word at some place of it, for one of the two orders of
+    characters; there are fewer than characters, so their number and the search are nearly linear.
+    """
+    n, found = len(value), set()
+    ahead, back = _Common(value), _Common(value[::-1])
+    for sign in (1, -1):
+        ends: list[int] = []  # ends of the Lyndon words that follow, the nearest last
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while ends and (j < n):
+                k = ends[-1]
+                same = ahead.ahead(i, j)
+                # the word from i swallows the one from j where it is less
+                less = j + same < n and sign * (ord(value[i + same]) - ord(value[j + same])) < 0
+                if not less:
+                    break
+                j = k
+                ends.pop()
+            ends.append(j)
+            period = j - i
+            start, end = i, j
+            if j < n:
+                end = j + ahead.ahead(i, j)
+            if i:
+                start = i - back.ahead(n - j, n - i)
+            if end - start >= 2 * period:
+                found.add((start, end, period))
+    return sorted(found)
+
+
+def _ways(value: str, lower: str, brute: float, ranks: Ranks) -> Iterator[tuple[int, str, int, float]]:
+    """Walks, dates and repeats of a value as (end, kind, start, cost)."""
+    n, longest = len(value), ranks.longest
+    for found in _DATE.finditer(value):
+        yield found.end(), "date", found.start(), math.log10(365 * 60 if found.end() - found.start() > 4 else 60)
+    start = 0
+    for i in range(1, n + 1):
+        if i < n and lower[i - 1 : i + 1] in _STEPS:
+            continue
+        for size in range(3, i - start + 1):
+            yield start + size, "walk", start, math.log10(40 * size)
+            if size < i - start:
+                yield i, "walk", i - size, math.log10(40 * size)
+        start = i
+    for start, end, period in repeats(value):
+        unit: dict[int, float] = {}
+
+        def cost(a: int, times: int) -> float:
+            phase = (a - start) % period  # noqa: B023
+            if phase not in unit:  # noqa: B023
+                word = _word_cost(value[a : a + period], ranks) if period <= longest else None  # noqa: B023
+                unit[phase] = min(brute * period, math.inf if word is None else word)  # noqa: B023
+            return unit[phase] + math.log10(times)  # noqa: B023
+
+        for a in range(start, min(start + period, end - 2 * period + 1)):
+            for times in range(2, (end - a) // period + 1):
+                yield a + times * period, "repeat", a, cost(a, times)
+        for b in range(end, max(end - period, start + 2 * period - 1), -1):
+            for times in range(2, (b - start) // period + 1):
+                yield b, "repeat", b - times * period, cost(b - times * period, times)
+
+
+def segment(value: str, ranks: Ranks) -> tuple[float, list[tuple[str, int, int]]]:
     """(cost, segments): the cheapest segmentation of a value, segments as (kind, start, end)."""
     n, brute = len(value), math.log10(max(2, _alphabet(value)))
     best, how = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
     brute_end = [math.inf] * (n + 1)  # cheapest way to i that ends in a brute-force span, and its start
     brute_from = [0] * (n + 1)
-    longest = max(map(len, ranks), default=0)
-    walk, date_ends = 1, {}
-    for found in _DATE.finditer(value):
-        date_ends.setdefault(found.end(), []).append(found.start())
-    repeated = [0] * (_LONGEST_UNIT + 1)  # for each unit length, how many characters up to here repeat those one unit before
+    longest = ranks.longest
     lower = value.lower()
     if len(lower) != n:
         lower = value
+    ways: dict[int, list[tuple[str, int, float]]] = {}
+    for end, kind, start, cost in _ways(value, lower, brute, ranks):
+        ways.setdefault(end, []).append((kind, start, cost))
     for i in range(1, n + 1):
-
-        def offer(kind: str, start: int, cost: float) -> None:
-            if best[start] + cost + _KIND_COST < best[i]:
-                best[i], how[i] = best[start] + cost + _KIND_COST, (kind, start)
-
         if best[i - 1] + _KIND_COST < brute_end[i - 1]:
             brute_end[i], brute_from[i] = best[i - 1] + _KIND_COST + brute, i - 1
         else:
             brute_end[i], brute_from[i] = brute_end[i - 1] + brute, brute_from[i - 1]
-        if brute_end[i] < best[i]:
-            best[i], how[i] = brute_end[i], ("brute", brute_from[i])
+        best[i], how[i] = brute_end[i], ("brute", brute_from[i])
         for size in range(2, min(longest, i) + 1):
             cost = _word_cost(value[i - size : i], ranks)
-            if cost is not None:
-                offer("word", i - size, cost)
-        for start in date_ends.get(i, ()):
-            offer("date", start, math.log10(365 * 60 if i - start > 4 else 60))
-        walk = walk + 1 if i > 1 and lower[i - 2 : i] in _STEPS else 1
-        for size in range(3, min(walk, 64) + 1):
-            offer("walk", i - size, math.log10(40 * size))
-        if walk > 64:
-            offer("walk", i - walk, math.log10(40 * walk))
-        for unit in range(1, min(_LONGEST_UNIT, i - 1) + 1):
-            repeated[unit] = repeated[unit] + 1 if value[i - 1] == value[i - 1 - unit] else 0
-            times = repeated[unit] // unit + 1
-            if times >= 2 and repeated[unit] % unit == 0:
-                start = i - unit * times
-                offer("repeat", start, min(brute * unit, _word_cost(value[start : start + unit], ranks) or math.inf) + math.log10(times))
+            if cost is not None and best[i - size] + cost + _KIND_COST < best[i]:
+                best[i], how[i] = best[i - size] + cost + _KIND_COST, ("word", i - size)
+        for kind, start, cost in ways.get(i, ()):
+            if best[start] + cost + _KIND_COST < best[i]:
+                best[i], how[i] = best[start] + cost + _KIND_COST, (kind, start)
     segments, i = [], n
     while i:
         kind, start = how[i]
@@ -145,7 +236,7 @@ def segment(value: str, ranks: Mapping[str, int]) -> tuple[float, list[tuple[str
     return best[n], segments[::-1]
 
 
-def scan(text: str, ranks: Mapping[str, int], min_cost: float = MIN_COST) -> list[tuple[str, int, int, float]]:
+def scan(text: str, ranks: Ranks, min_cost: float = MIN_COST) -> list[tuple[str, int, int, float]]:
     """All spans of a text as (kind, start, end, cost), by start and then kind; cost is 0 for base kinds."""
     found: list[tuple[str, int, int, float]] = []
     low = text.lower()
@@ -171,7 +262,14 @@ def join_spans(spans: list[tuple[str, int, int, float]]) -> str:
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = tuple(WORDS), min_cost: float = MIN_COST) -> DataFrame:
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
+    """The most frequent free-standing words of three letters or more, lower case, by the number of documents they are in."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![^\s(\"'])(\p{L}{3,24})(?=[.,;:!?)\"']*(?:\s|$))"), F.lit(1)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] | list[str] = tuple(WORDS), min_cost: float = MIN_COST) -> DataFrame:
     """One row per document: id, spans (array of kind, start, end, cost)."""
     ranks = rank_words(words)
 
@@ -186,8 +284,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of find_secrets, with the highest guess cost."""
-    found = find_secrets(docs, id_col, text_col)
+    """Counts and digests of find_secrets by a dictionary of the documents' own words, with the highest guess cost."""
+    found = find_secrets(docs, id_col, text_col, [*WORDS, *frequent_words(docs, text_col)])
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
