@@ -5,19 +5,26 @@ from .helpers import documents, rng, words
 
 
 def brute(texts, least):
-    """The words of each text that lie in a run of `least` words that occurred earlier."""
-    seen, gone = set(), []
-    for text in texts:
+    """The words of each text in a run of `least` words that occurred in an earlier text, or ended before in the same one."""
+    first, gone = {}, []
+    for i, text in enumerate(texts):
         own, lost = (text or "").split(), set()
         for s in range(len(own) - least + 1):
-            run = tuple(own[s : s + least])
-            if run in seen:
+            at = first.setdefault(tuple(own[s : s + least]), (i, s))
+            if at[0] < i or at[1] + least <= s:
                 lost.update(range(s, s + least))
-            seen.add(run)
         gone.append(lost)
     return gone
 
 
+def test_a_run_that_overlaps_itself_stays_once(spark):
+    line = " ".join(f"w{i}" for i in range(25)) + "\n"
+    texts = [line * 4, "la " * 130, line * 3 + "end", "x " + line * 2]
+    got = {x.doc_id: x for x in X.drop_repeated_passages(documents(spark, texts)).collect()}
+    assert [got[i].words_removed for i in range(4)] == [len(x) for x in brute(texts, 50)] == [50, 80, 75, 50]
+    assert got[0].text.split() == (line * 2).split() and got[1].text.split() == ["la"] * 50
+
+
 def test_against_brute_force(spark):
     r = rng(7)
     passages = [words(r, r.randint(3, 40)).split() for _ in range(12)] + [["x"] * 30, ["é", "ü"] * 9]
@@ -30,7 +37,7 @@ def test_against_brute_force(spark):
             for w in r.choice([p, p[a:], p[:a], words(r, r.randint(0, 8)).split()]):
                 text += w + r.choice([" ", " ", " ", "\n", "\n\n", " ", " ", "\t"])
         texts.append(text)
-    texts += [None, "", " \n", "same words of a line " * 30, texts[3]]
+    texts += [None, "", " \n", "same words of a line " * 30, texts[3], "a b " * 40, "b a b b " * 20 + "a b " * 9]
     for least in (1, 8, 15):
         want = brute(texts, least)
         got = {x.doc_id: x for x in X.drop_repeated_passages(documents(spark, texts), min_words=least).collect()}

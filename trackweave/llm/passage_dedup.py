@@ -1,8 +1,9 @@
 """Passage deduplication: repeated passages of at least `min_words` words, wherever lines begin and end.
 
 A document is the sequence of its words (runs without white space, as `str.split` finds them). A word is
-deleted exactly if it lies in a run of `min_words` words that occurred earlier, in order of id and word; the
-first occurrence stays. Line breaks count as any white space.
+deleted exactly if it lies in a run of `min_words` words that occurred before: in a document of smaller id,
+or ended in the same one before it began, so a run that repeats into itself stays whole once. Line breaks
+count as any white space.
 
 Runs of `min_words` words are found by winnowing. The grams of a third of that length inside a run are hashed
 and the least one, the last of equal ones, owns the run. Runs with the same words have equal owners, so:
@@ -11,8 +12,9 @@ and the least one, the last of equal ones, owns the run. Runs with the same word
    for 18 words. Owners whose hash occurs once are dropped after pre-aggregation.
 2. Owners that agree in all words of their runs form a group; all but its first occurrence are repeats.
 3. Where one hash has several groups (edges of passages, mostly), the first of each group is taken apart into
-   its single runs, and a run that occurred before is a repeat. Others of a group need not be looked at: their
-   runs are repeats already, and the first one stands before them.
+   its single runs, and a run that occurred before is a repeat; so are those that overlap the first in its own
+   document, fewer than `min_words` in all. Others of a group need not be looked at: their runs are repeats
+   already, and the first one stands before them.
 
 Rows are only ever grouped with map-side aggregation and joined with their first occurrence, never with each
 other. Words are told apart by 64-bit hashes, runs by two such hashes.
@@ -142,15 +144,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = materialize(prints.join(often, "print"), "shared")
     groups = shared.groupBy("print", "key").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups, "groups")
-    place = F.struct("id", "start")
-    whole = shared.join(groups.where("n > 1").select("print", "key", "first"), ["print", "key"]).where(place > F.struct("first.id", "first.start")).select("id", "start", "end")
+    after = (F.col("id") > F.col("first.id")) | (F.col("start") >= F.col("first.start") + min_words)
+    repeated = shared.join(groups.where("n > 1").select("print", "key", "first"), ["print", "key"])
+    whole = repeated.where(after).select("id", "start", "end")
 
     several = groups.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    apart = groups.join(several, "print").select("print", "first.*").groupBy("id").agg(F.collect_list(F.struct("print", "start", "end")).alias("given"))
+    own = ["print", "id", "start", "end"]
+    firsts = groups.select("print", "first.*").union(repeated.where(~after & (F.col("start") > F.col("first.start"))).select(*own))
+    apart = firsts.join(several, "print").groupBy("id").agg(F.collect_list(F.struct("print", "start", "end")).alias("given"))
     single = rows.join(apart, "id").select("id", "text", "given").mapInArrow(_single_runs(min_words), f"print long, run long, id {kind}, start int")
     single = materialize(single, "single")
-    first = single.groupBy("print", "run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "run", "first")
-    part = single.join(first, ["print", "run"]).where(place > F.col("first")).select("id", "start", (F.col("start") + min_words).alias("end"))
+    first = single.groupBy("print", "run").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "run", "first")
+    part = single.join(first, ["print", "run"]).where(after).select("id", "start", (F.col("start") + min_words).alias("end"))
     return whole.union(part).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
@@ -201,3 +206,22 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     runs = repeated_passages(docs, id_col, text_col, min_words)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(runs, "id", "left").select("id", "text", "runs")
     return rows.mapInArrow(_without, f"id {kind}, text string, n_lines long, n_removed long, words_removed long").withColumnsRenamed({"id": id_col, "text": text_col})
+
+
+#: White space between words, as a class of both Java's and DuckDB's patterns.
+SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+ORACLE = rf"""
+with lines as (select doc_id, unnest(range(1, len(ls) + 1)) as li, ls from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) d),
+lw as (select doc_id, li, regexp_extract_all(ls[li], '[^{SPACE}]+') as ws from lines),
+word as materialized (select *, row_number() over (partition by doc_id order by li, k) as i from (select doc_id, li, unnest(range(1, len(ws) + 1)) as k, unnest(ws) as w from lw) x),
+seq as materialized (select doc_id, list(w order by i) as ws from word group by doc_id),
+run as materialized (select doc_id, i, md5(array_to_string(ws[i : i + {MIN_WORDS} - 1], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - {MIN_WORDS} + 2)) as i from seq) x),
+head as (select h, min((doc_id, i)) as f from run group by h having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + {MIN_WORDS})) as i from run join head using (h) where doc_id > f[1] or i >= f[2] + {MIN_WORDS}),
+line as (select doc_id, li, count(*) as n, count(g.i) as lost from word left join gone g using (doc_id, i) group by doc_id, li),
+per as (select doc_id, count(*) as n_lines, count(*) filter (where n = lost) as n_removed, sum(lost)::bigint as words_removed from line group by doc_id),
+rest as (select doc_id, string_agg(w, ' ' order by i) as words from word anti join gone using (doc_id, i) group by doc_id)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(words_removed, 0) as words_removed, sha256(coalesce(words, '')) as words_sha256
+from documents left join per using (doc_id) left join rest using (doc_id)
+"""

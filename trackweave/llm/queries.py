@@ -46,7 +46,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passage_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{passage_dedup.SPACE}]+", " "))
+    return found.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(words, 256).alias("words_sha256"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +89,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op7_line_dedup": passage_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
 }
