@@ -10,7 +10,7 @@ or last period), and brute-force spans and words are any; so values are judged w
 time that grows with their length times the longest dictionary word, and with the maximal repeats, whose
 lengths add up to little more. No length of a walk, a unit or a value is left out.
 
-The dictionary is learned: the `DICTIONARY` most frequent words of all documents, counted once per
+The dictionary is learned: up to `DICTIONARY` most frequent words of all documents, counted once per
 document with Spark and ranked behind the built-in credential words. Runs of letters count that stand
 free, next to no digit, sign or letter, so parts of random values are not learned.
 
@@ -28,9 +28,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LENGTH = 6
 MIN_COST = 6.0
@@ -263,10 +265,18 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
-    """The most frequent free-standing words of three letters or more, lower case, by the number of documents they are in."""
+    """The most frequent free-standing words of three letters or more, lower case, by the number of documents they are in.
+
+    At most `most` words: those that are in more documents than any left out, so equally frequent words
+    come or stay away together. The driver gathers these words only, whatever the number of partitions.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![^\s(\"'])(\p{L}{3,24})(?=[.,;:!?)\"']*(?:\s|$))"), F.lit(1)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = materialize(counts, "words")
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))  # a row for each frequency that occurs
+    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    chosen = counts.where(F.lit(False) if least is None else F.col("n") >= least).collect()
+    return [r.word for r in sorted(chosen, key=lambda r: (-r.n, r.word))]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] | list[str] = tuple(WORDS), min_cost: float = MIN_COST) -> DataFrame:
