@@ -108,9 +108,13 @@ def _owner_rows(min_words: int):
         for batch in batches:
             for top, _, data, _, starts, ends, first in _word_blocks(batch.column(1)):
                 prints, keys, row, start, end = owners(word_hashes(data, starts, ends), first, min_words)
+                order = np.lexsort((start, keys, row))
+                a, b = order[:-1], order[1:]
+                near = np.zeros(len(order), bool)  # an equal owner of the same document begins less than min_words before
+                near[b] = (row[a] == row[b]) & (keys[a] == keys[b]) & (start[b] - start[a] < min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(row + top)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    names=["print", "key", "id", "start", "end"],
+                    [pa.array(prints.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(row + top)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(near)],
+                    names=["print", "key", "id", "start", "end", "near"],
                 )
 
     return run
@@ -139,18 +143,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, runs): the repeated passages of each document that has any, as (start, end) among its words; they may overlap."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(_owner_rows(min_words), f"print long, key long, id {kind}, start int, end int"), "owners")
+    prints = materialize(rows.mapInArrow(_owner_rows(min_words), f"print long, key long, id {kind}, start int, end int, near boolean"), "owners")
     often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     shared = materialize(prints.join(often, "print"), "shared")
-    groups = shared.groupBy("print", "key").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = shared.groupBy("print", "key").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("near").alias("near"))
     groups = materialize(groups, "groups")
     after = (F.col("id") > F.col("first.id")) | (F.col("start") >= F.col("first.start") + min_words)
-    repeated = shared.join(groups.where("n > 1").select("print", "key", "first"), ["print", "key"])
-    whole = repeated.where(after).select("id", "start", "end")
+    whole = shared.join(groups.where("n > 1").select("print", "key", "first"), ["print", "key"]).where(after).select("id", "start", "end")
 
     several = groups.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    own = ["print", "id", "start", "end"]
-    firsts = groups.select("print", "first.*").union(repeated.where(~after & (F.col("start") > F.col("first.start"))).select(*own))
+    overlapping = shared.where("near").join(groups.where("near").select("print", "key", "first"), ["print", "key"]).where(~after & (F.col("start") > F.col("first.start")))
+    firsts = groups.select("print", "first.*").union(overlapping.select("print", "id", "start", "end"))
     apart = firsts.join(several, "print").groupBy("id").agg(F.collect_list(F.struct("print", "start", "end")).alias("given"))
     single = rows.join(apart, "id").select("id", "text", "given").mapInArrow(_single_runs(min_words), f"print long, run long, id {kind}, start int")
     single = materialize(single, "single")
