@@ -9,7 +9,7 @@ from ..steps import new_path, number_rows, shared_dir
 __all__ = ["materialize", "new_path", "number_rows", "shared_dir", "table"]
 
 #: Rows that a written step hands to a Python worker at once: texts and shingle sets are a few kB each, some far more.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at a time inside a task; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes whose words are hashed at once: some arrays of eight times as many bytes are made for them.
+SLICE_BYTES = 1 << 18
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -67,10 +69,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
+        have = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= BLOCK_BYTES:
             _powers[name] = have
     return have[:n]
 
@@ -89,11 +91,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _PRIME, len(data)), out=prefix[1:])
-    own = (prefix[ends] - prefix[starts]) * _power("down", _INVERSE, len(data) + 1)[starts]
-    return mix(own)
+    """A 64-bit hash of each word's bytes, the same wherever the word stands. Words are taken in slices of about SLICE_BYTES."""
+    out, first = np.zeros(len(starts), np.uint64), 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        part = data[base : ends[last - 1]]
+        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power("up", _PRIME, len(part)), out=prefix[1:])
+        a, b = starts[first:last] - base, ends[first:last] - base
+        out[first:last] = mix((prefix[b] - prefix[a]) * _power("down", _INVERSE, len(part) + 1)[a])
+        first = last
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
