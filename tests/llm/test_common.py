@@ -3,7 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackweave.llm import text_arrays as A
-from trackweave.llm.common import materialize, number_rows
+from trackweave.llm.common import join_counted, materialize, number_rows
 
 
 def test_numbers(spark):
@@ -19,6 +19,16 @@ def test_materialize_keeps_settings(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_join_counted(spark):
+    """A key of half of all rows, keys of one row, keys without a partner and repeated rows, as a plain join gives them."""
+    rows = spark.range(6000).select((F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))).alias("k"), (F.col("id") % 100).alias("x"))
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("most")).where("k % 3 = 0")
+    got = join_counted(rows, keyed, ["k"], rows.count())
+    assert got.columns == ["k", "x", "most"] and got.count() > 3000
+    assert sorted(got.collect()) == sorted(rows.join(keyed.drop("n"), "k").collect())
+    assert join_counted(rows.limit(0), keyed.limit(0), ["k"], 0).count() == 0
+
+
 def test_words_and_hashes():
     texts = ["a bb\tA", None, "", " x ", "bb", "é-é", "a" * 3_000_000 + " bb"]
     data, offsets = A.utf8(pa.array(texts))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..steps import new_path, number_rows, shared_dir
 
-__all__ = ["materialize", "new_path", "number_rows", "shared_dir", "table"]
+__all__ = ["join_counted", "materialize", "new_path", "number_rows", "shared_dir", "table"]
 
 #: Rows that a written step hands to a Python worker at once: texts and shingle sets are a few kB each, some far more.
 BATCH_ROWS = 250
@@ -27,3 +28,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key is hot when it holds at least this share of all rows, so there are at most as many hot keys as its inverse.
+HOT = 1e-3
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of rows with `keyed`, which has one row a key and the number `n` of the key's rows among `total`.
+
+    Hot keys are broadcast, at most 1 / HOT of them at any size, and their rows stay where they are; only
+    the others are shuffled, so no task reads all rows of a hot key.
+    """
+    hot = F.broadcast(keyed.where(F.col("n") >= HOT * total))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col("n") < HOT * total), on)
+    return rows.join(hot, on).unionByName(cold).drop("n")

@@ -17,7 +17,7 @@ and the least one, the last of equal ones, owns the run. Runs with the same word
    already, and the first one stands before them.
 
 Rows are only ever grouped with map-side aggregation and joined with their first occurrence, never with each
-other. Words are told apart by 64-bit hashes, runs by two such hashes.
+other; keys that hold a thousandth of all rows or more meet it by broadcast, so that no task gets all their rows. Words are told apart by 64-bit hashes, runs by two such hashes.
 
 A deleted passage takes one of the gaps around it along: the one with fewer line breaks, or the one after it
 where both have as many; at the start of a text the one after it, at its end the one before.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 from .text_arrays import NOT_SPACE, blocks, mix, range_hashes, utf8, word_bounds, word_hashes
 
 MIN_WORDS = 50
@@ -144,21 +144,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(_owner_rows(min_words), f"print long, key long, id {kind}, start int, end int, near boolean"), "owners")
-    often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    shared = materialize(prints.join(often, "print"), "shared")
+    often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(join_counted(prints, often, ["print"], prints.count()), "shared")
+    total = shared.count()
     groups = shared.groupBy("print", "key").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("near").alias("near"))
     groups = materialize(groups, "groups")
     after = (F.col("id") > F.col("first.id")) | (F.col("start") >= F.col("first.start") + min_words)
-    whole = shared.join(groups.where("n > 1").select("print", "key", "first"), ["print", "key"]).where(after).select("id", "start", "end")
+    whole = join_counted(shared, groups.where("n > 1").select("print", "key", "first", "n"), ["print", "key"], total).where(after).select("id", "start", "end")
 
     several = groups.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    overlapping = shared.where("near").join(groups.where("near").select("print", "key", "first"), ["print", "key"]).where(~after & (F.col("start") > F.col("first.start")))
+    overlapping = join_counted(shared.where("near"), groups.where("near").select("print", "key", "first", "n"), ["print", "key"], total).where(~after & (F.col("start") > F.col("first.start")))
     firsts = groups.select("print", "first.*").union(overlapping.select("print", "id", "start", "end"))
     apart = firsts.join(several, "print").groupBy("id").agg(F.collect_list(F.struct("print", "start", "end")).alias("given"))
     single = rows.join(apart, "id").select("id", "text", "given").mapInArrow(_single_runs(min_words), f"print long, run long, id {kind}, start int")
     single = materialize(single, "single")
-    first = single.groupBy("print", "run").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "run", "first")
-    part = single.join(first, ["print", "run"]).where(after).select("id", "start", (F.col("start") + min_words).alias("end"))
+    first = single.groupBy("print", "run").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = join_counted(single, first, ["print", "run"], single.count()).where(after).select("id", "start", (F.col("start") + min_words).alias("end"))
     return whole.union(part).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
