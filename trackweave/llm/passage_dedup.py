@@ -144,7 +144,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(_owner_rows(min_words), f"print long, key long, id {kind}, start int, end int, near boolean"), "owners")
-    often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = materialize(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = materialize(join_counted(prints, often, ["print"], prints.count()), "shared")
     total = shared.count()
     groups = shared.groupBy("print", "key").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("near").alias("near"))
@@ -158,7 +158,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = firsts.join(several, "print").groupBy("id").agg(F.collect_list(F.struct("print", "start", "end")).alias("given"))
     single = rows.join(apart, "id").select("id", "text", "given").mapInArrow(_single_runs(min_words), f"print long, run long, id {kind}, start int")
     single = materialize(single, "single")
-    first = single.groupBy("print", "run").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(single.groupBy("print", "run").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     part = join_counted(single, first, ["print", "run"], single.count()).where(after).select("id", "start", (F.col("start") + min_words).alias("end"))
     return whole.union(part).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
