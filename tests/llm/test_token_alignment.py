@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trackweave.llm import token_alignment as T
 
@@ -20,11 +21,13 @@ TEXTS = [
 def brute(texts):
     """Whole texts, one after another, byte by byte."""
     a_side, b_side = T._sides(A_FILE, B_FILE)
+    model = Tokenizer.from_file(A_FILE)
+    model.encode_special_tokens = True
     byte = lambda side, i: side.data[side.begin[i] : side.begin[i + 1]].tobytes()
     rows, counts = [], Counter()
     for text in texts:
         want = (" " + (text or "")).encode()
-        a = a_side.model.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = model.encode(" " + text, add_special_tokens=False).ids if text else []
         b = b_side.model.encode(text) if text else []
         if b"".join(byte(a_side, i) for i in a) != want or b"".join(byte(b_side, i) for i in b) != want:
             a, b = [], []

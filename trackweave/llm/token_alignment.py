@@ -11,10 +11,9 @@ the most frequent pairs, at most `MOST_PAIRS` of them at any size, are sent to t
 is left of a document's pairs, the rare ones, is joined by shuffle. So nothing sent grows with the data,
 and no key of the join holds more than a small share of the rows.
 
-Encoding is dealt over the distinct pieces of a block: a text is cut before each single space that
-follows no space and comes before a letter, digit or mark, where both tokenizers begin a token whatever stands around
-it (of the second this is checked against its vocabulary, else its texts are not cut). Results are
-those of whole texts (tested).
+For the second tokenizer a text is cut before each single space that stands between other characters, where it
+begins a token whatever comes next to it (checked against its vocabulary, else texts are not cut); pieces that
+a task has encoded are remembered, within a bound. Results are those of whole texts (tested).
 
 Defined results: null and empty texts, and texts whose tokens do not join to the text's bytes in either
 encoding, have no tokens: zeros, and an empty digest. Repeated rows and null ids are each returned. An
@@ -24,6 +23,8 @@ empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,16 +38,13 @@ from .common import materialize
 from .text_arrays import blocks, utf8
 
 #: Bytes of text aligned at a time; a longer text makes a block of its own.
-ALIGNED_BYTES = 1 << 20
+ALIGNED_BYTES = 1 << 21
+#: Pieces whose tokens a task remembers; they are forgotten when there are more.
+REMEMBERED = 1 << 18
 #: Pairs that are looked up in the tasks, about 17 bytes each.
 MOST_PAIRS = 1 << 20
 
 _SPACE = 0x20
-#: Bytes after a space that surely begin no white space: printable ASCII and the leads of blocks without white space.
-_SOLID = np.zeros(256, dtype=bool)
-_SOLID[0x21:0x7F] = _SOLID[0xC3:] = True
-_SOLID[[0xE1, 0xE2, 0xE3]] = False
-
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges of `data` one after another, and their offsets there."""
@@ -55,54 +53,86 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 
 class _Side:
-    """One tokenizer: ids of texts that begin with a space, the bytes of each id, and its decimal digits."""
+    """One tokenizer: the bytes of each id, and its decimal digits."""
 
     def __init__(self, pieces: list[bytes]):
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        # ids in decimal, up to seven digits, as the low bytes of a number
         digits = [b"%d" % i for i in range(len(pieces))]
         self.digit_sizes = np.array([len(d) for d in digits], dtype=np.int64)
-        self.digits = np.array(digits, dtype="S8").view(np.uint8).reshape(len(digits), 8)
+        self.digits = np.array(digits, dtype="S8").view("<u8")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def tokens(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all rows, texts that begin with a space, one after another, and each row's offsets there."""
         raise NotImplementedError
 
 
 class _ByteLevel(_Side):
+    """A byte-level BPE. Its file's merges stand in the order of their ids, so ids serve as ranks (checked)."""
+
+    #: How such tokenizers divide a text before merging; fixed.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        names = self.model.get_vocab(with_added_tokens=True)
-        # byte-level names write each byte as one printable character: printable ones as themselves, the others from U+0100 on
-        plain = [b for b in range(256) if chr(b) in set(ByteLevel.alphabet())]
+        import tiktoken
+
+        # byte-level names write each byte as one character: printable ones as themselves, the others from U+0100 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        pieces = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            pieces[i] = bytes(byte_of[c] for c in name)
-        self.cuts = True
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        special = {t["content"] for t in held["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in name): i for name, i in held["model"]["vocab"].items() if name not in special}
+        joined = [ranks["".join(m if isinstance(m, list) else m.split(" ")).translate({ord(c): b for c, b in byte_of.items()}).encode("latin-1")] for m in held["model"]["merges"]]
+        if joined != sorted(joined):
+            raise ValueError("the merges are not in the order of their ids")
+        self.model = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece
         super().__init__(pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def tokens(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, ids = data.tobytes(), [np.zeros(0, np.uint32)]
+        ids += [self.model.encode_to_numpy(text[x:y].decode(), disallowed_special=()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.concatenate(ids).astype(np.int64), np.cumsum([len(own) for own in ids])
 
 
 class _Pieces(_Side):
+    """A piece model with byte fallback. What a piece of text was encoded to is remembered within a bound."""
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        pieces = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         # texts may be cut before a space after another character if no piece crosses such a place
         self.cuts = not any("▁" in n.lstrip("▁") for i, n in enumerate(names) if not self.model.is_control(i))
-        super().__init__(pieces)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([t[1:] for t in texts], num_threads=1)  # the model adds the space
+        self.forget()
+        super().__init__([bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)])
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = {}, array("i"), array("q", [0])
+
+    def tokens(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cuts = _pieces_of(data, at) if self.cuts else np.unique(at)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        texts, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        found = np.array([self.known.get(t, -1) for t in texts], dtype=np.int64)
+        fresh = np.flatnonzero(found < 0)
+        found[fresh] = len(self.known) + np.arange(len(fresh))
+        new = [texts[i] for i in fresh.tolist()]
+        self.known.update(zip(new, found[fresh].tolist(), strict=True))
+        for own in self.model.encode([t[1:] for t in new], num_threads=1):  # the model adds the space
+            self.ids.extend(own)
+            self.ends.append(len(self.ids))
+        ends = np.array(self.ends)[np.concatenate([found, found + 1])].reshape(2, -1)
+        ids, ends = _gather(np.array(self.ids, dtype=np.int64), ends[0][which], (ends[1] - ends[0])[which])
+        return ids, ends[np.searchsorted(cuts, at)]
 
 
 @lru_cache(maxsize=2)
@@ -120,29 +150,15 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, at
 
 
-def _pieces_of(data: np.ndarray, at: np.ndarray, cut: bool) -> np.ndarray:
+def _pieces_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Offsets of the pieces that are encoded apart; rows' offsets are among them."""
-    if not cut:
-        return np.unique(at)
     inner = np.zeros(len(data) + 1, dtype=bool)
     if len(data) > 2:
-        inner[1:-2] = (data[1:-1] == _SPACE) & (data[:-2] != _SPACE) & _SOLID[data[2:]]
+        inner[1:-2] = (data[1:-1] == _SPACE) & (data[:-2] != _SPACE) & (data[2:] != _SPACE)
     inner[at] = True
     return np.flatnonzero(inner)
 
 
-def _tokens(side: _Side, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all rows one after another, and each row's offsets there."""
-    cuts = _pieces_of(data, at, side.cuts)
-    pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    ids = side.encode(pieces.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter((i for own in ids for i in own), dtype=np.int64, count=int(sizes.sum()))
-    which = pieces.indices.to_numpy()
-    out, ends = _gather(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
-    return out, ends[np.searchsorted(cuts, at)]
-
-
 def _joins(side: _Side, ids: np.ndarray, tokens_at: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each row, whether its tokens' bytes are the row's bytes."""
     ends = np.concatenate([[0], np.cumsum(side.sizes[ids])])
@@ -174,9 +190,12 @@ def _frame(side: _Side, name: str, ids: np.ndarray, tokens_at: np.ndarray, at: n
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """All pairs (a, b) of tokens that share a byte, in order: each start is looked up among the other side's, and the finds are united."""
-    to_b = pd.merge_asof(a, b, on="start", by="document")
-    to_a = pd.merge_asof(b, a, on="start", by="document")
+    """All pairs (a, b) of tokens that share a byte, in order: each start is looked up among the other side's, and the finds are united.
+
+    A start is a place in the block, so it names its document too, and a document's first start is on both sides.
+    """
+    a, b = a[["start", "a"]], b[["start", "b"]]
+    to_b, to_a = pd.merge_asof(a, b, on="start"), pd.merge_asof(b, a, on="start")
     # a start that both sides have is found in both directions
     places = np.concatenate([to_b["a"].to_numpy() * len(b) + to_b["b"].to_numpy(), to_a["a"].to_numpy() * len(b) + to_a["b"].to_numpy()])
     places.sort()
@@ -185,12 +204,9 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 
 
 def _written(side: _Side, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(width 9 bytes of digits and the mark behind them, used bytes) of each token."""
+    """(digits and the mark behind them in the low bytes, used bytes) of each token."""
     sizes = side.digit_sizes[ids]
-    out = np.zeros((len(ids), 9), dtype=np.uint8)
-    out[:, :8] = side.digits[ids]
-    out[np.arange(len(ids)), sizes] = marks
-    return out, sizes + 1
+    return side.digits[ids] | (marks.astype(np.uint64) << (8 * sizes).astype(np.uint64)), sizes + 1
 
 
 def _digests(sides: tuple[_Side, _Side], a: pd.DataFrame, b: pd.DataFrame, a_last: np.ndarray, b_last: np.ndarray, n: int) -> list[str]:
@@ -202,9 +218,10 @@ def _digests(sides: tuple[_Side, _Side], a: pd.DataFrame, b: pd.DataFrame, a_las
     order = np.argsort(np.concatenate([groups_a * 2, groups_b * 2 + 1]), kind="stable")
     text, size = np.concatenate([text_a, text_b])[order], np.concatenate([size_a, size_b])[order]
     document = np.concatenate([a["document"].to_numpy(), b["document"].to_numpy()])[order]
-    flat = text[np.arange(9) < size[:, None]].tobytes()
-    ends = np.cumsum(np.bincount(document, weights=size, minlength=n).astype(np.int64))
-    starts = ends - np.bincount(document, weights=size, minlength=n).astype(np.int64)
+    flat = text.view(np.uint8).reshape(-1, 8)[np.arange(8) < size[:, None]].tobytes()
+    lengths = np.bincount(document, weights=size, minlength=n).astype(np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     return [hashlib.sha256(flat[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
@@ -212,7 +229,7 @@ def align_block(sides: tuple[_Side, _Side], data: np.ndarray, offsets: np.ndarra
     """Counts, digests, and distinct linked pairs (code a * size of b + b, times) per row of a block of texts."""
     n = len(offsets) - 1
     text, at = _spaced(data, offsets)
-    encoded = [_tokens(side, text, at) for side in sides]
+    encoded = [side.tokens(text, at) for side in sides]
     good = np.diff(at) > 0
     for side, (ids, tokens_at) in zip(sides, encoded, strict=True):
         good &= _joins(side, ids, tokens_at, text, at)
@@ -225,21 +242,17 @@ def align_block(sides: tuple[_Side, _Side], data: np.ndarray, offsets: np.ndarra
     a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
     a_last[la] = b_last[lb] = True
     per = lambda x: np.bincount(x, minlength=n).astype(np.int64)
-    code = a["a_id"].to_numpy()[la] * len(sides[1].sizes) + b["b_id"].to_numpy()[lb]
-    order = np.lexsort((code, document[la]))
-    code, owner = code[order], document[la][order]
-    fresh = np.ones(len(code), bool)
-    fresh[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-    begin = np.flatnonzero(fresh)
+    codes = len(sides[0].sizes) * len(sides[1].sizes)
+    keys, times = np.unique(document[la] * codes + a["a_id"].to_numpy()[la] * len(sides[1].sizes) + b["b_id"].to_numpy()[lb], return_counts=True)
     return {
         "n_a": per(document),
         "n_b": per(b["document"].to_numpy()),
         # a group ends where tokens of both sides do
         "n_groups": np.bincount(document, weights=a_last, minlength=n).astype(np.int64),
-        "n_links": per(owner),
+        "n_links": per(document[la]),
         "n_overlaps": per(document[over["a"].to_numpy()]),
         "groups_sha256": _digests(sides, a, b, a_last, b_last, n),
-        "pairs": (np.concatenate([[0], np.cumsum(per(owner[begin]))]), code[begin], np.diff(np.append(begin, len(code)))),
+        "pairs": (np.concatenate([[0], np.cumsum(per(keys // codes))]), keys % codes, times),
     }
 
 
