@@ -14,11 +14,11 @@ BATCH_ROWS = 250
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write a step to the shared folder and read it back: its lineage ends there and it survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_ROWS)
+    spark.conf.set(_BATCH, batch_rows)
     try:
         df.write.parquet(path)
     finally:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, licences, mixing, near_dedup, passage_dedup, secrets, token_alignment, warc
+from . import collocations, decontaminate, exact_dedup, html_text, language_id, licences, mixing, near_dedup, passage_dedup, secrets, token_alignment, warc
 from .common import new_path, table
 
 
@@ -71,6 +71,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
+
+
 #: The folder of the tokenizers' files, the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_licence_scan": op9_licence_scan,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -100,4 +105,5 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": passage_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
