@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, exact_dedup, html_text, language_id, licences, mixing, near_dedup, passage_dedup, secrets, token_alignment, warc
+from . import collocations, decontaminate, exact_dedup, html_text, language_id, licences, mixing, near_dedup, ngram_join, passage_dedup, secrets, token_alignment, warc
 from .common import new_path, table
 
 
@@ -75,6 +75,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=4, per_cent=85)
+
+
 #: The folder of the tokenizers' files, the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
+    "op12_ngram_join": op12_ngram_join,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -106,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": passage_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_ngram_join": ngram_join.ORACLE,
 }
