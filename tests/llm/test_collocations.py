@@ -48,13 +48,13 @@ def _texts(seed, n=120):
     return [("".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", " \x0b"]) for _ in range(r.randint(0, 80))), r.choice(["en", "de", None, "a b", "A\x01", ""])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("budget", [5, 60, 500_000])
-def test_against_counting(spark, monkeypatch, budget):
-    """With budgets that draw prefixes out to five words, to fewer, and not at all."""
-    monkeypatch.setattr(C, "SUFFIXES", budget)
-    rows = _texts(budget) + [("go go go go go go go go " * 20, "en"), (None, "en"), ("", None), ("...", "de"), ("one", "xx")]
+@pytest.mark.parametrize(("groups", "common"), [(1000, 3), (60, C.COMMON), (1, 0)])
+def test_against_counting(spark, monkeypatch, groups, common):
+    """With budgets that draw prefixes out to five words, to fewer, and not at all; with all words in codes, a few, and none."""
+    monkeypatch.setattr(C, "COMMON", common)
+    rows = _texts(groups) + [("go go go go go go go go " * 20, "en"), (None, "en"), ("", None), ("...", "de"), ("one", "xx")]
     docs = documents(spark, [(t, lang, "s") for t, lang in rows])
-    assert _rows(C.collocations(docs, least=4, best=25)) == brute(rows, 4, 25)
+    assert _rows(C.collocations(docs, least=4, best=25, groups=groups)) == brute(rows, 4, 25)
 
 
 def test_edges_of_batches(spark):

@@ -4,12 +4,11 @@ A text is lower-cased (A-Z), split into pieces at `[.,;:!?\\x0A-\\x0D]`, and tho
 place in a piece begins a suffix of at most `DEPTH` words, and a phrase occurs as often as suffixes
 begin with it. The subtrees of suffixes are built apart, after vertical partitioning:
 
-1. Words are counted per language. A suffix is cut at its first word that is surely rare, which a
-   bitmap of fixed size tells (what it cannot tell costs time only).
+1. Words are counted per language. The `COMMON` most frequent ones get codes of two bytes; others are spelled out.
 2. A prefix of one word with more suffixes than the budget is drawn out by a word, its longer prefixes
    are counted in another pass, and so on, until no prefix is over the budget or all words are
-   used. The budget is `SUFFIXES`, or a `MOST_GROUPS`-th of all words if that is more, so there are never more
-   than `MOST_GROUPS` such prefixes of a length, and just their hashes are sent to the tasks.
+   used. The budget is a `groups`-th of all words, so at most `groups` prefixes of a length are over it,
+   and just their hashes are sent to the tasks.
 3. All other prefixes are dealt into `BUCKETS` buckets whose loads are known, and buckets are
    packed into groups up to the budget.
 4. Each group's suffixes, added up within each block of texts first, are sorted by Spark and read
@@ -17,8 +16,8 @@ begin with it. The subtrees of suffixes are built apart, after vertical partitio
    No task holds a group. Nodes that may go on elsewhere (above a group's prefixes, or at the edge of a batch)
    are added up at the end; others below the least count are dropped at once.
 
-A phrase of a frequent prefix that fills a group and more (five equal words repeated) is a few
-leaves, as each block adds its own up first.
+Five words that fill a group and more are a few leaves, as each block adds its own up first. With more data than a
+thousand tasks can sort, give more groups.
 
 Scores are exact: decimals of 38 digits. Of a candidate only phrases that are one word longer are
 tried for containing it, as an occurrence of a longer one is also one of those.
@@ -42,12 +41,14 @@ from .text_arrays import LOWER, blocks, mix, utf8
 
 #: Words of the longest phrase.
 DEPTH = 5
-#: Suffixes that a group is filled up to, the most groups that the budget is stretched for, and the buckets that are packed.
-SUFFIXES = 500_000
-MOST_GROUPS = 100_000
+#: Groups that suffixes are dealt into, and the buckets that are packed into them.
+GROUPS = 1024
 BUCKETS = 1 << 17
-#: Bits of the map of words that may be frequent.
-BITS = 1 << 22
+#: Words with codes of two bytes, and the byte that begins a word that is spelled out; such words end with a zero.
+COMMON = 254 * 256
+SPELLED = 254
+#: Distinct prefixes that a task adds up before it hands them on.
+HELD = 1 << 20
 #: Bytes of text that are added up together.
 BLOCK_BYTES = 1 << 22
 #: Rows handed to a Python worker at once, texts or suffixes; Spark bounds their bytes.
@@ -63,7 +64,7 @@ _BLANK[[0x20, 9]] = True
 
 _SEPARATOR = pa.scalar(" ", pa.large_string())
 
-#: Characters below the space and DEL sort before or among the blanks of a phrase; inside, they are written as DEL and a sign.
+#: Control characters, a zero that ends a spelled word among them, are written as DEL and a sign inside.
 _ESCAPED = {c: f"\x7f{sign}" for c, sign in zip([*range(0, 9), *range(14, 32), 0x7F], "abcdefghijklmnopqrstuvwxyz0~", strict=True)}
 #: In the name of a language blanks and line ends are written so too.
 _ESCAPED_NAME = _ESCAPED | {c: f"\x7f{sign}" for c, sign in zip([0x20, *range(9, 14)], "123456", strict=True)}
@@ -129,18 +130,24 @@ class Suffixes:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place], out=prefix[1:])
         return mix(prefix[at[1:]] - prefix[at[:-1]])
 
-    def cut_rare(self, frequent: np.ndarray) -> None:
-        """End suffixes before the first word that is not in the bitmap; those of such words are empty."""
-        keep = frequent[(self.hash & np.uint64(BITS - 1)).astype(np.int64)][self.word]
-        stops = np.append(np.flatnonzero(~keep), len(keep))
-        self.left = np.minimum(self.left, stops[np.searchsorted(stops, np.arange(len(keep)))] - np.arange(len(keep)))
+    def codes(self, vocabulary: tuple[np.ndarray, pa.Array]) -> pa.Array:
+        """The code of each distinct word: no code begins another."""
+        hashes, spelled = vocabulary
+        own = pc.binary_join_element_wise(pa.array(self.langs, pa.large_string()).take(pa.array(self.of_lang)), self.text, _SEPARATOR)
+        at = np.minimum(np.searchsorted(hashes, self.hash), max(0, len(hashes) - 1))
+        common = np.zeros(len(own), bool)
+        if len(hashes):
+            common = (hashes[at] == self.hash) & pc.equal(spelled.take(pa.array(at)), own).to_numpy(zero_copy_only=False)
+        short = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.arange(len(own) + 1) * 2), pa.py_buffer(at.astype(">u2"))])
+        long = pc.binary_join_element_wise(pa.scalar(bytes([SPELLED]), pa.large_binary()), own.cast(pa.large_binary()), pa.scalar(b"\0", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        return pc.if_else(pa.array(common), short, long)
 
     def prefix_hashes(self, depth: int) -> np.ndarray:
         """For each place the hash of its suffix's first words, at most `depth`; with fewer, of those and an end."""
         out = self.hash[self.word]
         for j in range(1, depth):
             nxt = np.zeros(len(out), dtype=np.uint64)
-            nxt[: len(out) - j] = self.hash[self.word[j:]]
+            nxt[: max(0, len(out) - j)] = self.hash[self.word[j:]]
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(self.left > j, nxt, np.uint64(j)))
         return out
 
@@ -163,10 +170,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Partition:
-    """Which group a suffix belongs to: hashes of prefixes over the budget by length, the group of each bucket, and the bitmap."""
+    """Which group a suffix belongs to: hashes of prefixes over the budget by length, and the group of each bucket."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.frequent, self.over, self.groups = frequent, [], None
+    def __init__(self):
+        self.over, self.groups = [], None
 
     def prefixes(self, own: Suffixes) -> tuple[np.ndarray, np.ndarray]:
         """(hash, words) of the prefix of each place: one word, or one more for every step that is over the budget."""
@@ -186,72 +193,100 @@ def _count_prefixes(partition, depth: int):
     """(hash, n) of the prefixes of `depth` words that were drawn out last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for own in _blocks(batch):
-                own.cut_rare(partition.value.frequent)
                 key, depths = partition.value.prefixes(own)
-                keys, n = np.unique(key[(depths == depth) & (own.left > 1)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+                more, times = np.unique(key[(depths == depth) & (own.left > 1)], return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n, times]), minlength=len(keys)).astype(np.int64)
+                if len(keys) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+                    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     return run
 
 
-def _emit_suffixes(partition):
-    """(group, depth of the prefix, suffix, n): suffixes of two words and more, `lang word word ...`, added up by block."""
+def _emit_suffixes(shared):
+    """(place, suffix, n): suffixes of two words and more in codes, added up by block; place is the group and the prefix's depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, vocabulary = shared.value
         for batch in batches:
             for own in _blocks(batch):
-                own.cut_rare(partition.value.frequent)
                 size = np.minimum(own.left, DEPTH)
                 places = np.flatnonzero(size > 1)
                 # equal suffixes get equal numbers, one word after another
-                number, vocabulary = own.word[places].astype(np.int64), len(own.text) + 1
+                number, words = own.word[places].astype(np.int64), len(own.text) + 1
                 for j in range(1, DEPTH):
                     after = np.where(size[places] > j, own.word[np.minimum(places + j, len(own.word) - 1)] + 1, 0)
-                    number = np.unique(number * vocabulary + after, return_inverse=True)[1]
+                    number = np.unique(number * words + after, return_inverse=True)[1]
                 _, first, n = np.unique(number, return_index=True, return_counts=True)
                 first = places[first]
-                key, depth = partition.value.prefixes(own)
-                spelled = pc.binary_join_element_wise(pa.array(own.langs, pa.large_string()).take(pa.array(own.of_lang[own.word[first]])), *_spelled(own, first, size[first]), _SEPARATOR, null_handling="skip")
-                groups = partition.value.groups[_bucket(key[first])]
-                yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(depth[first].astype(np.int8)), spelled.cast(pa.string()), pa.array(n)], names=["group", "drawn", "suffix", "n"])
+                key, depth = partition.prefixes(own)
+                codes = own.codes(vocabulary)
+                parts = [codes.take(pa.array(own.word[np.minimum(first + j, len(own.word) - 1)], mask=size[first] <= j)) for j in range(DEPTH)]
+                suffix = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()), null_handling="skip").cast(pa.binary())
+                place = partition.groups[_bucket(key[first])] * 8 + depth[first]
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), suffix, pa.array(n.astype(np.int32))], names=["place", "suffix", "n"])
 
     return run
 
 
-def _spelled(own: Suffixes, first: np.ndarray, size: np.ndarray) -> list[pa.Array]:
-    return [own.text.take(pa.array(own.word[np.minimum(first + j, len(own.word) - 1)], mask=size <= j)) for j in range(DEPTH)]
-
-
-def _subtrees(least: int):
+def _word_ends(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each depth the end of that many codes of each row; past its last code, -1."""
+    zeros, begin, ends = np.append(np.flatnonzero(data == 0), len(data)), at[:-1].copy(), []
+    for _ in range(DEPTH):
+        live = (begin >= 0) & (begin < at[1:])
+        here = np.where(live, begin, 0)
+        spelled = live & (data[here] == SPELLED) if len(data) else live
+        begin = np.where(live, np.where(spelled, zeros[np.searchsorted(zeros, here)] + 1, here + 2), -1)
+        ends.append(begin)
+    return ends
+
+
+def _phrase(code: bytes, vocabulary: pa.Array) -> str:
+    """`lang word word ...` of a code."""
+    words, at = [], 0
+    while at < len(code):
+        if code[at] == SPELLED:
+            end = code.index(0, at)
+            words.append(code[at + 1 : end].decode())
+            at = end + 1
+        else:
+            words.append(vocabulary[code[at] * 256 + code[at + 1]].as_py())
+            at += 2
+    return " ".join([words[0], *[w.split(" ", 1)[1] for w in words[1:]]])
+
+
+def _subtrees(shared, least: int):
     """(phrase, words, n) of the nodes of sorted suffixes; n is whole, or a part where the node may go on elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value[1][1]
         for batch in batches:
-            data, at = utf8(batch.column(1))
-            n, drawn = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            blanks = np.flatnonzero(data == 0x20)
-            begin = np.searchsorted(blanks, at[:-1])  # the blank after the language
-            words = np.searchsorted(blanks, at[1:]) - begin
-            for depth in range(2, DEPTH + 1):
-                rows = np.flatnonzero(words >= depth)
-                if not len(rows):
+            held = batch.column(1).cast(pa.large_binary())
+            at = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
+            data = np.frombuffer(held.buffers()[2], dtype=np.uint8)
+            n, drawn = batch.column(2).to_numpy().astype(np.int64), batch.column(0).to_numpy() % 8
+            for depth, ends in enumerate(_word_ends(data, at), 1):
+                rows = np.flatnonzero(ends >= 0)
+                if depth == 1 or not len(rows):
                     continue
-                after = begin[rows] + depth
-                ends = np.where(words[rows] == depth, at[1:][rows], blanks[np.minimum(after, len(blanks) - 1)])
-                sizes = ends - at[:-1][rows]
+                sizes = ends[rows] - at[:-1][rows]
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                held = data[np.repeat(at[:-1][rows] - offsets[:-1], sizes) + np.arange(offsets[-1])]
-                prefixes = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)])
+                own = data[np.repeat(at[:-1][rows] - offsets[:-1], sizes) + np.arange(offsets[-1])]
+                prefixes = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
                 fresh = np.ones(len(rows), bool)
                 fresh[1:] = pc.not_equal(prefixes[1:], prefixes[:-1]).to_numpy(zero_copy_only=False)
                 heads = np.flatnonzero(fresh)
                 total = np.add.reduceat(n[rows], heads)
                 part = np.maximum.reduceat(drawn[rows], heads) > depth
                 part[[0, -1]] = True
-                keep = part | (total >= least)
-                yield pa.RecordBatch.from_arrays([prefixes.take(pa.array(heads[keep])).cast(pa.string()), pa.array(np.full(int(keep.sum()), depth, np.int32)), pa.array(total[keep])], names=["phrase", "words", "n"])
+                keep = np.flatnonzero(part | (total >= least))
+                phrases = [_phrase(x, vocabulary) for x in prefixes.take(pa.array(heads[keep])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(np.full(len(keep), depth, np.int32)), pa.array(total[keep])], names=["phrase", "words", "n"])
 
     return run
 
@@ -272,14 +307,10 @@ def _collect(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     return [found.column(c).to_numpy() for c in columns]
 
 
-def _partitioned(texts: DataFrame, words: DataFrame, total: int, least: int) -> Partition:
-    spark = texts.sparkSession
-    frequent, loads = np.zeros(BITS, bool), np.zeros(BUCKETS, np.int64)
-    # bits, buckets and prefixes over the budget are bounded whatever the corpus
-    bits = words.filter(F.col("n") >= least).select(F.col("hash").bitwiseAND(BITS - 1).cast("int").alias("bit")).distinct()
-    frequent[_collect(bits, "bit")[0]] = True
-    partition, budget = Partition(frequent), max(SUFFIXES, -(-total // MOST_GROUPS))
-    counted, depth = words.filter(F.col("n") >= least).groupBy("hash").agg(F.sum("n").alias("n")), 1
+def _partitioned(texts: DataFrame, words: DataFrame, budget: int) -> Partition:
+    """Prefixes over the budget, length by length, and the groups of the rest: all bounded whatever the corpus."""
+    spark, loads, partition, depth = texts.sparkSession, np.zeros(BUCKETS, np.int64), Partition(), 1
+    counted = words.groupBy("hash").agg(F.sum("n").alias("n"))
     while True:
         bucket = F.shiftrightunsigned("hash", 40).bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
         fits = counted if depth == DEPTH else counted.filter(F.col("n") <= budget)
@@ -291,22 +322,29 @@ def _partitioned(texts: DataFrame, words: DataFrame, total: int, least: int) ->
         partition.over.append(over)
         depth += 1
         counted = texts.mapInArrow(_count_prefixes(spark.sparkContext.broadcast(partition), depth), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        counted = materialize(counted, f"prefixes-{depth}")
+        counted = materialize(counted, f"prefixes-{depth}", BATCH_ROWS)
     partition.groups = _packed(loads, budget)
     return partition
 
 
-def phrase_counts(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _common(words: DataFrame) -> tuple[np.ndarray, pa.Array]:
+    """Hashes, in order, and spellings `lang word` of the most frequent words; of words with one hash, one."""
+    top = words.orderBy(F.desc("n"), "hash").limit(COMMON).select("hash", F.concat_ws(" ", "lang", "word").alias("spelled")).toArrow()
+    hashes, first = np.unique(top.column("hash").to_numpy().view(np.uint64), return_index=True)
+    return hashes, top.column("spelled").combine_chunks().cast(pa.large_string()).take(pa.array(first))
+
+
+def phrase_counts(docs: DataFrame, least: int, groups: int = GROUPS, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all phrases of at most DEPTH words with f >= least, (lang, n)); control characters are escaped."""
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
     words = texts.mapInArrow(_count_words, "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
-    words = materialize(words, "words")
+    words = materialize(words, "words", BATCH_ROWS)
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    partition = _partitioned(texts, words, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least)
-    shared = docs.sparkSession.sparkContext.broadcast(partition)
-    suffixes = texts.mapInArrow(_emit_suffixes(shared), "group int, drawn byte, suffix string, n long")
-    leaves = suffixes.repartition(F.col("group")).sortWithinPartitions("suffix").select("drawn", "suffix", "n")
-    nodes = leaves.mapInArrow(_subtrees(least), "phrase string, words int, n long")
+    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast((_partitioned(texts, words, max(1, -(-total // groups))), _common(words)))
+    suffixes = texts.mapInArrow(_emit_suffixes(shared), "place int, suffix binary, n int")
+    leaves = suffixes.repartition(F.expr("place div 8")).sortWithinPartitions("suffix")
+    nodes = leaves.mapInArrow(_subtrees(shared, least), "phrase string, words int, n long")
     counts = nodes.groupBy("phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     lang = F.substring_index("phrase", " ", 1)
     counts = counts.select(lang.alias("lang"), F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "words", "f")
@@ -320,9 +358,9 @@ def exact_score() -> Column:
     return F.expr(f"(1000bd * {a} * {n}) div ({l} * {r})").cast("long")
 
 
-def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, groups: int = GROUPS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Each language's phrases by score: lang, rank, phrase, a, l, r, n, score; with `best`, its first ones only."""
-    counts, totals = phrase_counts(docs, least, lang_col, text_col)
+    counts, totals = phrase_counts(docs, least, groups, lang_col, text_col)
     candidates = counts.filter("words > 1").withColumn("w", F.split("phrase", " "))
     cut = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     sides = F.array(F.struct(F.lit("l").alias("side"), F.array_join(F.slice("w", 1, F.col("k")), " ").alias("part")), F.struct(F.lit("r").alias("side"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("part")))
