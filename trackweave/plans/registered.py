@@ -9,6 +9,7 @@ from ..functions import payload as P
 from ..operators import assemble as A
 from ..operators import audit as U
 from ..operators import filters, groups, metrics
+from ..operators import group_query as G
 from ..operators import route as R
 from ..options import TrackOptions
 from ..sources import logs, sinks
@@ -54,12 +55,42 @@ def tag_filter(spark, sf_dir):
     return filters.tag_filter(views.stored_log(spark, sf_dir), {"VCL_Log": "^track ", "Timestamp": "^Resp", "VSL": None}).select("group_vxid", "vxid", "tag", "payload")
 
 
-@query(sql.with_(then="select group_vxid, tx_seq, rec_seq, tag from rec where group_vxid in (select group_vxid from rec where side = 'c' and tag = 'VCL_Log' and payload like 'track key %')"))
+@query(sql.with_("keyed as (select distinct group_vxid from rec where side = 'c' and tag = 'VCL_Log' and payload like 'track key %')", then="select rec.group_vxid, tx_seq, rec_seq, tag from rec join keyed on rec.group_vxid = keyed.group_vxid"))
 def group_semi(spark, sf_dir):
     log = views.stored_log(spark, sf_dir)
     return filters.groups_with(log, log.where("side = 'c' and tag = 'VCL_Log' and payload like 'track key %'")).select("group_vxid", "tx_seq", "rec_seq", "tag")
 
 
+def _expressions():
+    track = G.record("vcl_log", "~", "^track ")
+    keyed, timed = G.record("VCL_Log", "~", "^track key ", side="c"), G.record("Timestamp", prefix="Resp")
+    return {
+        "tracked": track,
+        "no_key_but_timed": ~keyed & timed,
+        "slow": G.record("Timestamp", ">=", 1430000100.5, prefix="resp", field=1) | G.record("Timestamp", "<", 1430000050, prefix="Resp", field=1),
+        "status_f": G.record("VCL_Log", "eq", "track status=F"),
+        "neither": ~(keyed | timed),
+        "no_url_or_other": ~G.record("ReqURL", "!~", "^/index") & (G.record("VCL_Log", "ne", "other note") | ~track),
+    }
+
+
+@query(sql.with_(then="""select group_vxid, tracked, not keyed and timed as no_key_but_timed, slow, status_f, not (keyed or timed) as neither, not odd_url and (other or not tracked) as no_url_or_other from (
+  select group_vxid, bool_or(tag = 'VCL_Log' and payload like 'track %') as tracked, bool_or(side = 'c' and tag = 'VCL_Log' and payload like 'track key %') as keyed,
+    bool_or(tag = 'Timestamp' and payload like 'Resp:%') as timed,
+    coalesce(bool_or(at >= 1430000100.5 or at < 1430000050), false) as slow,
+    bool_or(tag = 'VCL_Log' and payload = 'track status=F') as status_f, bool_or(tag = 'ReqURL' and not starts_with(payload, '/index')) as odd_url, bool_or(tag = 'VCL_Log' and payload <> 'other note') as other
+  from (select *, case when tag = 'Timestamp' and payload like 'Resp:%' then try_cast(split_part(payload, ' ', 2) as double) end as at from rec) r group by group_vxid) f"""))
+def group_expressions(spark, sf_dir):
+    """Which of several queries are true of each group, in one grouping."""
+    return G.match_groups(views.stored_log(spark, sf_dir), _expressions())
+
+
+@query(sql.with_("flg as (select group_vxid, bool_or(side = 'c' and tag = 'VCL_Log' and payload like 'track key %') as keyed, bool_or(tag = 'Timestamp' and payload like 'Resp:%') as timed from rec group by group_vxid)", then="select rec.group_vxid, vxid, tx_seq, rec_seq, tag, payload from rec join flg on rec.group_vxid = flg.group_vxid where not keyed and timed"))
+def group_query(spark, sf_dir):
+    """All records of the groups with a response time and no key."""
+    return G.filter_groups(views.stored_log(spark, sf_dir), _expressions()["no_key_but_timed"]).select("group_vxid", "vxid", "tx_seq", "rec_seq", "tag", "payload")
+
+
 @query(sql.with_(sql.entries("(select * from rec union all select * from doc)"), then="select group_vxid, vxid, tx_seq, rec_seq, kind, sha256(body) as body_sha, octet_length(encode(body)) as bytes from ent where kind in ('data', 'key')"))
 def parse_entries(spark, sf_dir):
     log = views.stored_log(spark, sf_dir).drop("ts").unionByName(views.document_log(spark, sf_dir))
@@ -220,6 +251,57 @@ def text_log_scan(spark, sf_dir):
     return logs.read_text_log(spark, path)
 
 
+def _request_text(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame:
+    """The log as text, a row per request: its own paragraph and those of its subrequests, or of each transaction a paragraph alone.
+
+    The third subrequest and those after it stand each below the one before, a backend request below its request.
+    """
+    depth = F.when(F.col("tx_seq") <= 3, F.least(F.col("tx_seq"), F.lit(1))).otherwise(F.col("tx_seq") - 2) + 1
+    log = views.stored_log(spark, sf_dir).withColumn("depth", depth + F.when(F.col("side") == "b", 1).otherwise(0) if nested else F.lit(1))
+    mark = lambda c: F.when(F.col("depth") > 3, F.concat(F.lit(c), F.col("depth").cast("string"), F.lit(c if c == "*" else ""), F.lit(" "))).otherwise(F.rpad(F.repeat(F.lit(c), F.col("depth")), 4, " "))
+    kind = F.when(F.col("side") == "c", "Request ").otherwise("BeReq   ")
+    record = F.struct("rec_seq", F.concat(mark("-"), F.rpad("tag", 14, " "), F.lit(" "), "payload").alias("line"))
+    begin = F.concat(F.lit("-   Begin          "), F.when(F.col("side") == "b", F.concat(F.lit("bereq "), F.col("vxid").cast("string"), F.lit(" fetch"))).when(F.col("parent_vxid").isNull(), "req 1 rxreq").otherwise(F.concat(F.lit("req "), F.col("parent_vxid").cast("string"), F.lit(" esi"))))
+    head = F.concat(mark("*"), F.lit("<< "), kind, F.lit(" >> "), F.rpad(F.col("vxid").cast("string"), 10, " "))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(record)), lambda r: r["line"]), "\n")
+    transactions = log.groupBy("group_vxid", "vxid", "parent_vxid", "side", "tx_seq", "depth").agg(lines.alias("lines"))
+    text = F.concat(head, F.lit("\n"), *([] if nested else [begin, F.lit("\n")]), F.col("lines"), F.lit("\n"))
+    if not nested:
+        return transactions.select(text.alias("value"))
+    parts = transactions.groupBy("group_vxid").agg(F.array_sort(F.collect_list(F.struct("tx_seq", "depth", text.alias("text")))).alias("parts"))
+    return parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("value"))
+
+
+_TEXT_RECORDS = "select group_vxid, vxid, case side when 'b' then vxid else parent_vxid end as parent_vxid, tx_type, side, row_number() over (partition by vxid, side order by rec_seq) - 1 as rec_seq, tag, payload from rec"
+
+
+@query(sql.with_(then=_TEXT_RECORDS))
+def text_request_log(spark, sf_dir):
+    """A dump grouped by request, read back: the nesting gives group, parent and side."""
+    path = new_path(spark, "request-text")
+    _request_text(spark, sf_dir, nested=True).write.text(path)
+    return logs.read_request_log(spark, path).select("group_vxid", "vxid", "parent_vxid", "tx_type", "side", "rec_seq", "tag", "payload")
+
+
+@query(sql.with_(_STATES, then=sql.MESSAGES))
+def text_log_assemble(spark, sf_dir):
+    """Messages of a text dump: those of the table."""
+    path = new_path(spark, "request-text")
+    _request_text(spark, sf_dir, nested=True).write.text(path)
+    return A.assemble(logs.read_request_log(spark, path), TrackOptions(), _fallback())
+
+
+@query(sql.with_(_STATES, then=sql.MESSAGES))
+def text_log_resolved(spark, sf_dir):
+    """A dump of transactions without nesting: groups come from the parents that `Begin` names, their order from the vxids."""
+    path = new_path(spark, "flat-text")
+    _request_text(spark, sf_dir, nested=False).write.text(path)
+    log = logs.nested_by_begin(logs.read_request_log(spark, path)).where("side = 'c' and tag <> 'Begin'")
+    tx = groups.resolve_groups(log.select("group_vxid", "vxid", "parent_vxid").distinct()).select("vxid", "group_vxid")
+    placed = log.drop("group_vxid").join(tx, "vxid").withColumn("tx_seq", (F.col("vxid") - F.col("group_vxid")).cast("int"))
+    return A.assemble(placed, TrackOptions(), _fallback())
+
+
 @query(sql.with_(_STATES, then="select substr(key, 1, 8) as key, split_part(data, ':', 1) as data from msg"))
 def key_data_lines(spark, sf_dir):
     path = new_path(spark, "key-data")
