@@ -77,9 +77,9 @@ def _expressions():
 @query(sql.with_(then="""select group_vxid, tracked, not keyed and timed as no_key_but_timed, slow, status_f, not (keyed or timed) as neither, not odd_url and (other or not tracked) as no_url_or_other from (
   select group_vxid, bool_or(tag = 'VCL_Log' and payload like 'track %') as tracked, bool_or(side = 'c' and tag = 'VCL_Log' and payload like 'track key %') as keyed,
     bool_or(tag = 'Timestamp' and payload like 'Resp:%') as timed,
-    coalesce(bool_or(at >= 1430000100.5 or at < 1430000050), false) as slow,
+    coalesce(bool_or(moment >= 1430000100.5 or moment < 1430000050), false) as slow,
     bool_or(tag = 'VCL_Log' and payload = 'track status=F') as status_f, bool_or(tag = 'ReqURL' and not starts_with(payload, '/index')) as odd_url, bool_or(tag = 'VCL_Log' and payload <> 'other note') as other
-  from (select *, case when tag = 'Timestamp' and payload like 'Resp:%' then try_cast(split_part(payload, ' ', 2) as double) end as at from rec) r group by group_vxid) f"""))
+  from (select *, case when tag = 'Timestamp' and payload like 'Resp:%' then try_cast(split_part(payload, ' ', 2) as double) end as moment from rec) r group by group_vxid) f"""))
 def group_expressions(spark, sf_dir):
     """Which of several queries are true of each group, in one grouping."""
     return G.match_groups(views.stored_log(spark, sf_dir), _expressions())

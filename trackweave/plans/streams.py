@@ -13,6 +13,7 @@ from ..sources import logs, sinks
 from ..streaming import assemble as S
 from ..steps import new_path
 from ..streaming import monitor
+from ..streaming import track as T
 from . import registered as R
 from . import sql, views
 
@@ -169,6 +170,34 @@ def stream_limit(spark, sf_dir):
     return done.select("group_vxid", "complete_reason", F.size("records").cast("long").alias("records"))
 
 
+_SHARD = "('0x' || substr(md5(cast(group_vxid as varchar)), 1, 8))::ubigint % 4"
+_LAST = "lst as (select max((1430000000 + t.ok) * 1000 + case when t.tx_seq = 0 then case when t.ok % 7 <> 0 then 509 else 4 end else t.tx_seq * 10 + case when t.ok % 7 <> 0 then 9 else 0 end end) - 10000 as mark from tx t)"
+
+
+@R.query(sql.with_(
+    _ENDED,
+    _LAST,
+    f"shd as (select *, {_SHARD} as shard, ((1430000000 + ok) // 10 + 1) * 10000 as bucket_end from grps)",
+    # an open one is pushed out by whatever comes first after the third open one behind it
+    "nxt as (select ok, lead(ok, 3) over (partition by shard order by ok) as third from shd where not ended)",
+    "psh as (select n.ok, min(x.ok) as by_ok, min(x.bucket_end) as by_end from nxt n join shd g on g.ok = n.ok join shd x on x.shard = g.shard and x.ok > n.third group by n.ok)",
+    "rsn as (select s.*, case when bucket_end > mark then 'drain' when ended then 'end' when by_ok - s.ok < 120 and by_end <= mark then 'limit' when by_ok - s.ok < 120 then 'drain' when ((1430000000 + s.ok) * 1000 + 1 + 120000) // 10000 * 10000 + 10000 <= mark then 'timeout' else 'drain' end as complete_reason from shd s left join psh on psh.ok = s.ok, lst)",
+    "rcs as (select group_vxid, count(*) filter (where side = 'c' and tx_type = 'req' and tag in ('VCL_Log', 'Timestamp', 'VSL')) as n from rec group by 1)",
+    then="select group_vxid, complete_reason, n + case when ended then transactions else 0 end as records from rsn join rcs using (group_vxid)",
+))
+def stream_track(spark, sf_dir):
+    """Timeout and limit at once, four open requests in each of four shards; what is left at the end is drained."""
+    done, checkpoint = replay(spark, sf_dir, lambda log: T.track_requests(log, TrackOptions(tx_limit=16), shards=4, bucket=10), "ok % 7 <> 0")
+    return done.unionByName(T.drain_tracked(spark, checkpoint)).select("group_vxid", "complete_reason", F.size("records").cast("long").alias("records"))
+
+
+@R.query(sql.with_(R._STATES, then=sql.MESSAGES))
+def stream_track_messages(spark, sf_dir):
+    """However requests leave, each makes the message of the batch."""
+    done, checkpoint = replay(spark, sf_dir, lambda log: T.track_requests(log, TrackOptions(tx_limit=16), shards=4, bucket=10), "ok % 7 <> 0")
+    return _messages(done.unionByName(T.drain_tracked(spark, checkpoint)))
+
+
 @R.query(sql.with_("per as (select time_bucket(interval '1 hour', submit_ts) as interval_start, count(*) as messages, cast(sum(bytes) as bigint) as bytes from ev group by 1)", then="select interval_start, messages, bytes from per"))
 def stream_monitor(spark, sf_dir):
     """Deliveries as a stream, observed per batch, counted per hour."""

@@ -12,7 +12,7 @@ import heapq
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,17 +20,18 @@ from ..operators.assemble import group_state
 from ..operators.filters import client_requests
 from ..options import TrackOptions
 
-_RECORD = "vxid long, tx_type string, side string, tx_seq int, rec_seq int, tag string, payload string"
-COMPLETED = f"group_vxid long, complete_reason string, records array<struct<{_RECORD.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>"
+RECORD = "vxid long, tx_type string, side string, tx_seq int, rec_seq int, tag string, payload string"
+RECORDS = f"records array<struct<{RECORD.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>"
+COMPLETED = f"group_vxid long, complete_reason string, {RECORDS}"
 
 
-def _is_complete(group: int, records: list[tuple]) -> bool:
+def is_complete(group: int, records: list[tuple]) -> bool:
     seen, ended = {r[0] for r in records}, {r[0] for r in records if r[5] == "End"}
     return group in ended and seen <= ended
 
 
-def _completed(group: int, reason: str, records: list[tuple]) -> Row:
-    names = [field.split()[0] for field in _RECORD.split(", ")]
+def completed_row(group: int, reason: str, records: list[tuple]) -> Row:
+    names = [field.split()[0] for field in RECORD.split(", ")]
     rows = [Row(**dict(zip(names, r, strict=True))) for r in sorted(records, key=lambda r: (r[3], r[4]))]
     return Row(group_vxid=group, complete_reason=reason, records=rows)
 
@@ -41,7 +42,7 @@ class _Requests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getListState("recs", _RECORD)
+        self.records = handle.getListState("recs", RECORD)
         self.deadline = handle.getValueState("deadline", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
@@ -50,7 +51,7 @@ class _Requests(StatefulProcessor):
             fresh.append((r.vxid, r.tx_type, r.side, r.tx_seq, r.rec_seq, r.tag, r.payload))
             first = r.at_ms if first is None else min(first, r.at_ms)
         held = [tuple(x) for x in self.records.get()]
-        if _is_complete(key[0], held + fresh):
+        if is_complete(key[0], held + fresh):
             yield self._emit(key[0], "end", held + fresh)
             return
         self.records.appendList(fresh)
@@ -69,7 +70,7 @@ class _Requests(StatefulProcessor):
         if self.deadline.exists():
             self.handle.deleteTimer(self.deadline.get()[0])
             self.deadline.clear()
-        return _completed(group, reason, records)
+        return completed_row(group, reason, records)
 
     def close(self) -> None:
         pass
@@ -83,7 +84,7 @@ class _Limited(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getMapState("first", "group_vxid long", "at long")
-        self.open = handle.getMapState("open", "group_vxid long", f"records array<struct<{_RECORD.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>")
+        self.open = handle.getMapState("open", "group_vxid long", RECORDS)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         first = {k[0]: v[0] for k, v in self.first.iterator()}
@@ -103,13 +104,13 @@ class _Limited(StatefulProcessor):
                 heapq.heappush(oldest, (r.at_ms, r.group_vxid))
             records = records_of(r.group_vxid)
             records.append((r.vxid, r.tx_type, r.side, r.tx_seq, r.rec_seq, r.tag, r.payload))
-            if r.tag == "End" and _is_complete(r.group_vxid, records):
-                yield _completed(r.group_vxid, "end", records)
+            if r.tag == "End" and is_complete(r.group_vxid, records):
+                yield completed_row(r.group_vxid, "end", records)
                 del first[r.group_vxid], held[r.group_vxid]
             while len(first) > self.limit:
                 at, group = heapq.heappop(oldest)
                 if first.get(group) == at:
-                    yield _completed(group, "limit", records_of(group))
+                    yield completed_row(group, "limit", records_of(group))
                     del first[group], held[group]
         for group in stored - set(first):
             self.first.removeKey((group,))
@@ -122,11 +123,16 @@ class _Limited(StatefulProcessor):
         pass
 
 
-def _timed(stream: DataFrame, delay: str) -> DataFrame:
+def timed(stream: DataFrame, delay: str) -> DataFrame:
     rows = client_requests(stream).where("tag in ('VCL_Log', 'Timestamp', 'VSL', 'End') and ts is not null").withWatermark("ts", delay)
     return rows.withColumn("at_ms", F.unix_millis("ts"))
 
 
+def shard_of(shards: int) -> Column:
+    hashed = F.conv(F.substring(F.md5(F.col("group_vxid").cast("string")), 1, 8), 16, 10).cast("long")
+    return (hashed % shards).cast("int")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that processors with timers and several states need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -134,7 +140,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def complete_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), delay: str = "10 seconds") -> DataFrame:
     """Stream of complete requests (group_vxid, complete_reason, records), by end or timeout."""
-    return _timed(stream, delay).groupBy("group_vxid").transformWithState(_Requests(options.tx_timeout), COMPLETED, "append", "eventTime")
+    return timed(stream, delay).groupBy("group_vxid").transformWithState(_Requests(options.tx_timeout), COMPLETED, "append", "eventTime")
 
 
 def limit_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 32, delay: str = "10 seconds") -> DataFrame:
@@ -144,8 +150,7 @@ def limit_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), sh
     with one shard, an approximation that scales with more. A shard's share of a batch is put in order
     in one task's memory, so more shards or smaller batches bound it.
     """
-    hashed = F.conv(F.substring(F.md5(F.col("group_vxid").cast("string")), 1, 8), 16, 10).cast("long")
-    rows = _timed(stream, delay).withColumn("shard", (hashed % shards).cast("int"))
+    rows = timed(stream, delay).withColumn("shard", shard_of(shards))
     return rows.groupBy("shard").transformWithState(_Limited(max(1, options.tx_limit // shards)), COMPLETED, "append", "none")
 
 
@@ -160,8 +165,12 @@ def rules(completed: DataFrame, options: TrackOptions = TrackOptions()) -> DataF
 def drain(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Requests that are still open in a stream's state, as complete_requests gives them, with reason 'drain'. The stream must be stopped."""
     state = spark.read.format("statestore").option("stateVarName", "recs").load(checkpoint)
-    record = F.struct(*[F.col(f"list_element.{c.split()[0]}").alias(c.split()[0]) for c in _RECORD.split(", ")])
-    rows = state.select(F.col("key.group_vxid").alias("group_vxid"), record.alias("record"), F.col("record.tx_seq").alias("a"), F.col("record.rec_seq").alias("b"))
+    record = F.struct(*[F.col(f"list_element.{c.split()[0]}").alias(c.split()[0]) for c in RECORD.split(", ")])
+    return record_struct(state.select(F.col("key.group_vxid").alias("group_vxid"), record.alias("record")))
+
+
+def record_struct(rows: DataFrame) -> DataFrame:
+    """(group_vxid, record) rows as requests with reason 'drain'."""
     return rows.groupBy("group_vxid").agg(F.lit("drain").alias("complete_reason"), F.array_sort(F.collect_list("record"), lambda x, y: _by_place(x, y)).alias("records"))
 
 
