@@ -16,10 +16,11 @@ def _check(spark, texts, k=4, per_cent=85):
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
 
 
-@pytest.mark.parametrize("tile", [512, 3])
-def test_groups(spark, monkeypatch, tile):
-    """A large family around the threshold, small families, copies, shared passages and awkward texts; whole columns and small tiles."""
+@pytest.mark.parametrize(("narrow", "tile"), [(64, 512), (1000, 512), (2, 3)])
+def test_groups(spark, monkeypatch, narrow, tile):
+    """A large family around the threshold, small families, copies, shared passages and awkward texts; columns whole, in one and in many tiles."""
     monkeypatch.setattr(N, "TILE", tile)
+    monkeypatch.setattr(N, "NARROW", narrow)
     r = rng(14)
     base, other, passage = words(r, 160), words(r, 60), words(r, 30)
     texts = [edited(r, base, r.choice([0.005, 0.01, 0.02, 0.03, 0.05])) for _ in range(110)]

@@ -10,12 +10,14 @@ holds the overlap of every two documents. It is never made whole:
    multiplied with the lead of its column and size band first. It goes on with the lead that it overlaps most, and the
    pair is confirmed on the full sets. There is one pair a document, however many copies there are; the links
    found give components.
-3. The rest of the product is over columns whose documents lie in different components. A column's
-   rows are cut into tiles of at most `TILE`, so that a hot column is many small blocks. A block multiplies
-   documents outside the column's main component with all of its documents: pairs in one component, and pairs that
-   sizes rule out, add nothing; overlaps are added up inside the block, then over all blocks. A pair is discarded
-   when its overlap among the first columns and all that the larger rest could add, or all that follows the first
-   column it shares, is below what the sizes need. What is left is confirmed on the full sets.
+3. The rest of the product is over columns whose documents lie in different components, and there over
+   pairs of a document outside the column's main component with any other of the column, in another component
+   and of a size that can match. Columns of at most `NARROW` documents are multiplied together, and the
+   overlaps added up over all of them. A wider column is cut into tiles of at most `TILE` rows a side, however hot it
+   is; its rows bring the first columns that they share with anyone, so a block knows the whole overlap there of each of
+   its pairs. A pair is discarded when its overlap among the first columns, and all that the larger rest could
+   add, are below what the sizes need. So documents that have a common passage and little else leave
+   their block without a trace. What is left is confirmed on the full sets.
 
 Documents with equal sets are one row of the matrix, so copies are never multiplied with each other.
 
@@ -37,7 +39,8 @@ from .common import materialize
 from .components import connected_components
 from .near_dedup import SKETCH, SKETCH_BITS, _confirm, _sets, _shingle_blocks
 
-#: Rows of a column that one side of a block holds, and pairs that a block looks at together.
+#: Documents of a column that is not cut; rows of a wider one that one side of a block holds; pairs that are looked at together.
+NARROW = 64
 TILE = 512
 PAIRS = 1 << 20
 #: Ratio of a size band, in per cent: members of a band differ by at most as much.
@@ -84,12 +87,12 @@ def _profile(k: int, per_cent: int, counts):
     return run
 
 
-def _blocks_product(per_cent: int):
-    """(u, v, nu, nv, shared, least): overlaps of each block's loose rows with its other rows, sorted by column and tile."""
+def _narrow_product(per_cent: int):
+    """(u, v, nu, nv, shared, most): overlaps of each column's loose rows with its other rows; rows are sorted by column."""
 
     def multiply(own: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         fresh = np.ones(len(own["token"]), bool)
-        fresh[1:] = (own["token"][1:] != own["token"][:-1]) | (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])
+        fresh[1:] = own["token"][1:] != own["token"][:-1]
         block = np.cumsum(fresh)
         left, right = np.flatnonzero(own["left"]), np.flatnonzero(~own["left"])
         ids, doc = np.unique(own["doc"], return_inverse=True)
@@ -118,13 +121,13 @@ def _blocks_product(per_cent: int):
         return pa.RecordBatch.from_arrays(ends + rest, names=["u", "v", "nu", "nv", "shared", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("token", "a", "b", "left", "doc", "root", "loose", "size", "place"), None
+        names, held = ("token", "left", "doc", "root", "loose", "size", "place"), None
         for batch in batches:
             own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
             if held is not None:
                 own = {n: np.concatenate([held[n], own[n]]) for n in names}
-            # the last block may go on in the next batch
-            last = (own["token"] == own["token"][-1]) & (own["a"] == own["a"][-1]) & (own["b"] == own["b"][-1]) if len(own["token"]) else np.zeros(0, bool)
+            # the last column may go on in the next batch
+            last = own["token"] == own["token"][-1] if len(own["token"]) else np.zeros(0, bool)
             held = {n: x[last] for n, x in own.items()}
             done = multiply({n: x[~last] for n, x in own.items()}) if not last.all() else None
             if done is not None:
@@ -137,6 +140,50 @@ def _blocks_product(per_cent: int):
     return run
 
 
+def _tile(per_cent: int, block: pa.Table) -> pa.RecordBatch:
+    """The pairs of a block that its rows' first columns do not rule out."""
+    left = block.column("left").to_numpy()
+    size, loose = block.column("size").to_numpy().astype(np.int64), block.column("loose").to_numpy()
+    ids, doc = np.unique(block.column("doc").to_numpy(zero_copy_only=False), return_inverse=True)
+    root = np.unique(block.column("root").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    lists = block.column("columns").combine_chunks()
+    held, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    both = np.intersect1d(held[left[row]], held[~left[row]])
+    keep = np.isin(held, both)
+    at = np.searchsorted(both, held[keep])
+    matrix = np.zeros((len(lists), len(both)), dtype=np.float32)
+    matrix[row[keep], at] = 1
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    shared = matrix[x] @ matrix[y].T
+    outside = -(-per_cent * size // 100) - 1
+    nx, ny = size[x][:, None], size[y][None, :]
+    bound = shared + np.maximum(outside[x][:, None], outside[y][None, :])
+    good = (shared > 0) & ((100 + per_cent) * bound >= per_cent * (nx + ny)) & (100 * np.minimum(nx, ny) >= per_cent * np.maximum(nx, ny))
+    good &= (root[x][:, None] != root[y][None, :]) & (~loose[y][None, :] | (doc[x][:, None] < doc[y][None, :]))
+    i, j = np.nonzero(good)
+    u, v = doc[x[i]], doc[y[j]]
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.maximum(u, v)]), pa.array(ids[np.minimum(u, v)])], names=["u", "v"])
+
+
+def _tiles_product(per_cent: int):
+    """(u, v) of blocks of wide columns; rows are sorted by block, and a block is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            own = [held.column(c).to_numpy() for c in ("token", "a", "b")]
+            ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in own], axis=0)) + 1
+            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                yield _tile(per_cent, held.slice(begin, end - begin))
+            held = held.slice(int(ends[-1])) if len(ends) else held
+        if held is not None and held.num_rows:
+            yield _tile(per_cent, held)
+
+    return run
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per_cent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links)."""
     spark = docs.sparkSession
@@ -185,20 +232,27 @@ def _across(entries: DataFrame, roots: DataFrame, kind: str, per_cent: int) -> D
     labelled = materialize(entries.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("root", "id").alias("root"), "size", "place"), "labelled")
     counts = labelled.groupBy("token", "root").count()
     mixed = counts.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.max("count").alias("most")).filter("parts > 1")
-    mixed = mixed.select("token", "main", F.ceil(F.col("n") / TILE).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("high"))
-    open_ = labelled.join(mixed, "token").withColumn("loose", F.col("root") != F.col("main"))
-    tile = F.xxhash64("id")
-    # a loose row stands on the left of its tile in all blocks of its row of blocks; every row stands on the right of one in each
-    left = open_.filter("loose").select("*", F.pmod(tile, F.col("high")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("b"), F.lit(True).alias("left"))
-    right = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("a"), F.pmod(tile, F.col("wide")).cast("int").alias("b"), F.lit(False).alias("left"))
-    placed = left.unionByName(right).select("token", "a", "b", "left", F.col("id").alias("doc"), "root", "loose", "size", "place")
-    dealt = placed.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "left")
-    product = dealt.mapInArrow(_blocks_product(per_cent), f"u {kind}, v {kind}, nu int, nv int, shared int, most int")
-    total = product.groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("shared").alias("shared"), F.max("most").alias("most"))
-    outside = lambda n: n - (n - F.ceil(F.lit(per_cent) * n / 100) + 1)  # noqa: E731  shingles that do not come first
+    open_ = labelled.join(mixed.select("token", "main", "n", "most"), "token").withColumn("loose", F.col("root") != F.col("main")).withColumnRenamed("id", "doc")
+    open_ = materialize(open_.select("token", "doc", "root", "size", "place", "loose", "n", "most"), "open")
+
+    narrow = open_.filter(F.col("n") <= NARROW)
+    sides = narrow.select("*", F.explode(F.when(F.col("loose"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("left"))
+    dealt = sides.repartition("token").sortWithinPartitions("token").select("token", "left", "doc", "root", "loose", "size", "place")
+    total = dealt.mapInArrow(_narrow_product(per_cent), f"u {kind}, v {kind}, nu int, nv int, shared int, most int").groupBy("u", "v")
+    total = total.agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("shared").alias("shared"), F.max("most").alias("most"))
+    outside = lambda n: F.ceil(F.lit(per_cent) * n / 100) - 1  # noqa: E731  shingles that do not come first
     bound = F.least(F.col("most"), F.col("shared") + F.greatest(outside(F.col("nu")), outside(F.col("nv"))))
-    kept = total.filter(F.lit(100 + per_cent) * bound >= F.lit(per_cent) * (F.col("nu") + F.col("nv")))
-    return materialize(kept.select("u", "v"), "crossed", 20_000)
+    kept = total.filter(F.lit(100 + per_cent) * bound >= F.lit(per_cent) * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+    wide = open_.filter(F.col("n") > NARROW)
+    lists = labelled.join(wide.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("token").alias("columns"))
+    wide = wide.join(lists.withColumnRenamed("id", "doc"), "doc").withColumns({"cols": F.ceil(F.col("n") / TILE).cast("int"), "rows": F.ceil((F.col("n") - F.col("most")) / TILE).cast("int"), "tile": F.xxhash64("doc")})
+    # a loose row stands on the left of its tile in all blocks of its row of blocks; every row stands on the right of one in each
+    left = wide.filter("loose").select("*", F.pmod("tile", "rows").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("b"), F.lit(True).alias("left"))
+    right = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("a"), F.pmod("tile", "cols").cast("int").alias("b"), F.lit(False).alias("left"))
+    tiles = left.unionByName(right).select("token", "a", "b", "left", "doc", "root", "loose", "size", "columns").repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
+    crossed = kept.unionByName(tiles.mapInArrow(_tiles_product(per_cent), f"u {kind}, v {kind}")).distinct()
+    return materialize(crossed, "crossed", 4_000)
 
 
 #: Exact: linked sets share one of the shingles that come first, rarest before others, in both.
