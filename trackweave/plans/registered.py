@@ -12,7 +12,7 @@ from ..operators import filters, groups, metrics
 from ..operators import group_query as G
 from ..operators import route as R
 from ..options import TrackOptions
-from ..sources import logs, sinks
+from ..sources import logs, plugin, sinks
 from ..steps import new_path
 from . import sql, views
 
@@ -407,3 +407,12 @@ def sink_deliveries(spark, sf_dir):
     joined, _ = metrics.reconcile(routed, reports, "group_vxid")
     worker = F.concat(F.lit("w"), (F.expr("group_vxid div 64") % 20).cast("string"))
     return metrics.sink_counters(joined.withColumn("worker", worker), status="delivery_status")
+
+
+@query(sql.with_(_STATES, then="select key, data from msg"))
+def sink_format(spark, sf_dir):
+    """Messages through the sink's data source and back."""
+    plugin.register(spark)
+    path = new_path(spark, "sink")
+    _messages(spark, sf_dir).select("key", "data").write.format(plugin.FORMAT).mode("append").save(path)
+    return spark.read.format(plugin.FORMAT).load(path)

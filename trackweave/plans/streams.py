@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from ..operators.assemble import finish
 from ..options import TrackOptions
-from ..sources import logs, sinks
+from ..sources import ledger, logs, plugin, sinks
 from ..streaming import assemble as S
 from ..steps import new_path
-from ..streaming import monitor
+from ..streaming import levels, monitor
 from ..streaming import track as T
 from . import registered as R
 from . import sql, views
@@ -32,10 +36,10 @@ def event_log(spark: SparkSession, sf_dir: str, ended: str = "true") -> DataFram
 FILE_ROWS = 1_000_000
 
 
-def write_in_turn(log: DataFrame, path: str, least: int = 3) -> None:
+def write_in_turn(log: DataFrame, path: str, least: int = 3, order: str = "group_vxid") -> None:
     """Write a log as files of bounded size that a stream reads in order of time: dealt by range, then dated by name."""
     files = max(least, -(-log.count() // FILE_ROWS))
-    log.repartitionByRange(files, "group_vxid").sortWithinPartitions("ts").write.parquet(path)
+    log.repartitionByRange(files, order).sortWithinPartitions("ts" if "ts" in log.columns else order).write.parquet(path)
     spark = log.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -48,11 +52,16 @@ def write_in_turn(log: DataFrame, path: str, least: int = 3) -> None:
 
 def run(spark: SparkSession, source: str, make: Callable[[DataFrame], DataFrame], sink: Callable | None = None) -> tuple[DataFrame, str, list]:
     """Run a stream over the files of a log to their end: (its output, its checkpoint, its progress)."""
+    stream = make(logs.tail_log(spark, source))
+    return run_stream(spark, stream, sink)
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, sink: Callable | None = None) -> tuple[DataFrame, str, list]:
+    """Run a stream to the end of its source: (its output, its checkpoint, its progress)."""
     out, checkpoint = (new_path(spark, name) for name in ("stream-out", "stream-state"))
     before = spark.conf.get(_STATE, None)
     S.use_rocksdb(spark)
     try:
-        stream = make(logs.tail_log(spark, source))
         writer = sink(stream, out, checkpoint) if sink else stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
         handle = writer.trigger(availableNow=True).start()
         handle.awaitTermination()
@@ -65,6 +74,10 @@ def run(spark: SparkSession, source: str, make: Callable[[DataFrame], DataFrame]
     return done, checkpoint, handle.recentProgress
 
 
+def finish_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    return run_stream(spark, stream)[0]
+
+
 def replay(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], ended: str = "true", where: str = "true") -> tuple[DataFrame, str]:
     """Run a stream over (part of) the log to its end: (its output, its checkpoint)."""
     source = new_path(spark, "stream-log")
@@ -198,6 +211,120 @@ def stream_track_messages(spark, sf_dir):
     return _messages(done.unionByName(T.drain_tracked(spark, checkpoint)))
 
 
+@R.query(sql.with_(R._STATES, then="select key, data from msg"))
+def stream_sink_format(spark, sf_dir):
+    """Completed requests through the sink's data source, a commit a batch."""
+    plugin.register(spark)
+    source, path = new_path(spark, "stream-log"), new_path(spark, "sink")
+    write_in_turn(event_log(spark, sf_dir), source)
+    done, _, _ = run(spark, source, S.complete_requests)
+    messages, stored = _messages(done).select("key", "data"), new_path(spark, "messages")
+    messages.write.parquet(stored)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(stored)
+    stream.writeStream.format(plugin.FORMAT).option("path", path).option("checkpointLocation", new_path(spark, "sink-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format(plugin.FORMAT).load(path)
+
+
+class BreakingWriter:
+    """Notes what it sends in files of a folder; dies once, just after a message whose number a thousand divides."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def open(self):
+        self.system, self.root = plugin._folder(self.path)
+        self.system.create_dir(self.root, recursive=True)
+        self.file = self.system.open_output_stream(f"{self.root}/{uuid.uuid4().hex}.txt")
+
+    def send(self, data, key):
+        number = data.split("&", 1)[0][4:]
+        self.file.write(f"{number}\n".encode())
+        mark = f"{self.root}/_died"
+        if int(number) // 64 % 1000 == 0 and self.system.get_file_info(mark).type == fs.FileType.NotFound:
+            self.system.open_output_stream(mark).close()
+            raise ConnectionError("the writer died")
+        return 0
+
+    def reconnect(self):
+        return True
+
+    def close(self):
+        self.file.close()
+
+
+@R.query(sql.with_(R._STATES, then="select cast(xid as varchar) as xid, count(*) as times from msg group by 1"))
+def stream_ledger(spark, sf_dir):
+    """A writer that dies in the middle of a batch; the batch is tried again. How often each message was sent: once."""
+    source, path, checkpoint = (new_path(spark, name) for name in ("stream-log", "ledger", "ledger-state"))
+    write_in_turn(event_log(spark, sf_dir), source)
+    done, _, _ = run(spark, source, S.complete_requests)
+    messages, stored = _messages(done).select("xid", "key", "data"), new_path(spark, "messages")
+    messages.write.parquet(stored)
+    for _ in range(2):
+        stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(stored)
+        try:
+            ledger.write_batches_once(stream, lambda: BreakingWriter(f"{path}/sends"), path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        except StreamingQueryException as error:
+            if "the writer died" not in str(error):
+                raise
+    return spark.read.text(f"{path}/sends").groupBy(F.col("value").alias("xid")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@R.query(sql.with_(
+    "rep as (select xid, done_ts, status from ev where status <> 'failed')",
+    "edge as (select least((select max(submit_ts) from ev), (select max(done_ts) from rep)) - interval '10 seconds' as mark)",
+    "joined as (select ev.xid, ev.submit_ts, rep.status from ev left join rep on rep.xid = ev.xid and rep.done_ts >= ev.submit_ts and rep.done_ts <= ev.submit_ts + interval '20 minutes')",
+    then="select xid, submit_ts, coalesce(status, 'pending') as delivery_status from joined, edge where status is not null or submit_ts + interval '20 minutes' < mark",
+))
+def stream_reconcile(spark, sf_dir):
+    """Messages and reports as streams: reports later than 20 minutes, and missing ones, leave messages pending."""
+    ev = views.deliveries(spark, sf_dir)
+    sides = {"sent": ev.select("xid", "submit_ts"), "reports": ev.where("status <> 'failed'").select("xid", "done_ts", "status")}
+    found = {}
+    for name, at in (("sent", "submit_ts"), ("reports", "done_ts")):
+        path = new_path(spark, name)
+        write_in_turn(sides[name], path, order=at)
+        found[name] = spark.readStream.schema(sides[name].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    matched = metrics.reconcile_stream(found["sent"], found["reports"], within="20 minutes")
+    return finish_stream(spark, matched)
+
+
+@R.query(R.ORACLES["occupancy"].replace("select *, max(occ_hi_this)", "select * from (select *, max(occ_hi_this)") + ") q where interval_start + interval '1 hour' <= (select max(submit_ts) - interval '10 seconds' from ev)")
+def stream_occupancy(spark, sf_dir):
+    """Levels and marks of a stream: those of the batch, of all intervals that are closed."""
+    ev = views.deliveries(spark, sf_dir).select("submit_ts", "done_ts", "bytes")
+    path = new_path(spark, "deliveries")
+    write_in_turn(ev, path, order="submit_ts")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return finish_stream(spark, levels.occupancy_stream(stream, TrackOptions(monitor_interval=3600)))
+
+
+@R.query(sql.with_(
+    R._STATES,
+    sql.ROUTED,
+    "mrk as (select (max(1430000000 + group_vxid // 64) - 10) // 10 * 10 as upto from routed where reject_reason is null)",
+    then="select partition, place, group_vxid, key, value from (select *, row_number() over (partition by partition order by group_vxid) as place from routed where reject_reason is null) r, mrk where 1430000000 + group_vxid // 64 < upto",
+))
+def stream_ordered(spark, sf_dir):
+    """Messages that come in no order, within ten seconds, leave in that of the batch."""
+    routed = R.R.split_rejects(R._routed(spark, sf_dir))[0].withColumn("ts", F.timestamp_seconds(F.lit(1_430_000_000) + F.expr("group_vxid div 64")))
+    path = new_path(spark, "routed")
+    mixed = routed.withColumn("turn", F.col("ts") + F.make_dt_interval(secs=F.pmod(F.xxhash64("group_vxid"), F.lit(9)))).select("group_vxid", "key", "value", "partition", "ts", "turn")
+    write_in_turn(mixed, path, order="turn")
+    stream = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return finish_stream(spark, T.ordered_stream(stream, bucket=10))
+
+
+@R.query(sql.with_(
+    "opn as (select rec.* from rec where (group_vxid // 64) % 7 = 0 and side = 'c' and tx_type = 'req' and tag in ('VCL_Log', 'Timestamp', 'VSL'))",
+    then="select group_vxid, vxid, tx_type, side, cast(tx_seq as int) as tx_seq, cast(rec_seq as int) as rec_seq, tag, payload, make_timestamp(((1430000000 + group_vxid // 64) * 1000 + 1 + 1000000000) * 1000) as deadline from opn",
+))
+def state_dump(spark, sf_dir):
+    """All that the state holds at the end, field by field."""
+    _, checkpoint = replay(spark, sf_dir, lambda log: S.complete_requests(log, TrackOptions(tx_timeout=1e6)), "ok % 7 <> 0")
+    return S.dump_state(spark, checkpoint)
+
+
 @R.query(sql.with_("per as (select time_bucket(interval '1 hour', submit_ts) as interval_start, count(*) as messages, cast(sum(bytes) as bigint) as bytes from ev group by 1)", then="select interval_start, messages, bytes from per"))
 def stream_monitor(spark, sf_dir):
     """Deliveries as a stream, observed per batch, counted per hour."""

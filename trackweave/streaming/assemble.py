@@ -169,6 +169,23 @@ def drain(spark: SparkSession, checkpoint: str) -> DataFrame:
     return record_struct(state.select(F.col("key.group_vxid").alias("group_vxid"), record.alias("record")))
 
 
+def dump_state(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """All records that a stream of complete_requests holds, a row each with its request's deadline, as of now or of the end of a batch."""
+    read = lambda name: (spark.read.format("statestore").option("stateVarName", name) if batch is None else spark.read.format("statestore").option("stateVarName", name).option("batchId", batch)).load(checkpoint)
+    deadline = read("deadline").select(F.col("key.group_vxid").alias("group_vxid"), F.timestamp_millis("value.at").alias("deadline"))
+    return read("recs").select(F.col("key.group_vxid").alias("group_vxid"), "list_element.*").join(deadline, "group_vxid", "left")
+
+
+def state_changes(spark: SparkSession, checkpoint: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """What a stream of complete_requests opened and closed from batch to batch: group_vxid, batch, change ('opened', 'closed'), deadline.
+
+    Read from the change feed of the deadlines in state: only what changed is read, not the state.
+    """
+    feed = spark.read.format("statestore").option("stateVarName", "deadline").option("readChangeFeed", True).option("changeStartBatchId", first)
+    rows = (feed if last is None else feed.option("changeEndBatchId", last)).load(checkpoint)
+    return rows.select(F.col("key.group_vxid").alias("group_vxid"), F.col("batch_id").alias("batch"), F.when(F.col("change_type") == "delete", "closed").otherwise("opened").alias("change"), F.timestamp_millis("value.at").alias("deadline"))
+
+
 def record_struct(rows: DataFrame) -> DataFrame:
     """(group_vxid, record) rows as requests with reason 'drain'."""
     return rows.groupBy("group_vxid").agg(F.lit("drain").alias("complete_reason"), F.array_sort(F.collect_list("record"), lambda x, y: _by_place(x, y)).alias("records"))

@@ -27,23 +27,28 @@ from .assemble import COMPLETED, RECORD, RECORDS, completed_row, is_complete, re
 #: Rows that are held on their way to their buckets.
 HELD = 10_000
 
-_WAITING = f"rows array<struct<at_ms:long,group_vxid:long,{RECORD.replace(', ', ',').replace(' ', ':')}>>"
+_WAITING = f"at_ms long, group_vxid long, {RECORD}"
 
 
 class InTimeOrder(StatefulProcessor):
-    """Keeps rows by time bucket and hands each bucket on, in order, once the watermark has passed its end."""
+    """Keeps rows by time bucket and hands each bucket on, in order of its columns, once the watermark has passed its end.
 
-    def __init__(self, bucket_ms: int):
-        self.bucket_ms = bucket_ms
+    `columns` is DDL of what is kept of a row; the first is the time in ms.
+    """
+
+    def __init__(self, bucket_ms: int, columns: str):
+        self.bucket_ms, self.names = bucket_ms, [c.split()[0] for c in columns.split(", ")]
+        self.kept = f"rows array<struct<{columns.replace(', ', ',').replace(' ', ':')}>>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", _WAITING)
+        self.waiting = handle.getMapState("waiting", "bucket long", self.kept)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held, n = {}, 0
         for r in rows:
-            held.setdefault(r.at_ms // self.bucket_ms, []).append((r.at_ms, r.group_vxid, r.vxid, r.tx_type, r.side, r.tx_seq, r.rec_seq, r.tag, r.payload))
+            row = tuple(r[name] for name in self.names)
+            held.setdefault(row[0] // self.bucket_ms, []).append(row)
             n += 1
             if n == HELD:
                 self._keep(held)
@@ -68,6 +73,7 @@ class InTimeOrder(StatefulProcessor):
         if self.waiting.containsKey((bucket,)):
             rows = sorted(tuple(x) for x in self.waiting.getValue((bucket,))[0])
             self.waiting.removeKey((bucket,))
+        self.key = key[0]
         yield from self.take(rows, until)
 
     def take(self, rows: list[tuple], until: int) -> Iterator[Row]:
@@ -80,7 +86,7 @@ class InTimeOrder(StatefulProcessor):
 
 class _Requests(InTimeOrder):
     def __init__(self, bucket_ms: int, timeout: float, limit: int):
-        super().__init__(bucket_ms)
+        super().__init__(bucket_ms, _WAITING)
         self.timeout_ms, self.limit = int(timeout * 1000), limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -164,6 +170,31 @@ def track_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), sh
     return rows.groupBy("shard").transformWithState(processor, COMPLETED, "append", "eventTime")
 
 
+class _Placed(InTimeOrder):
+    """Numbers a partition's messages as their buckets are handed on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "place long")
+
+    def take(self, rows: list[tuple], until: int) -> Iterator[Row]:
+        place = self.last.get()[0] if self.last.exists() else 0
+        for _, group, key, value in rows:
+            place += 1
+            yield Row(partition=self.key, place=place, group_vxid=group, key=key, value=value)
+        self.last.update((place,))
+
+
+def ordered_stream(routed: DataFrame, at: str = "ts", bucket: float = 1.0, delay: str = "10 seconds") -> DataFrame:
+    """A stream of routed messages in sink order: partition, place (from 1), group_vxid, key, value.
+
+    Messages wait until the watermark has passed their bucket of `bucket` seconds, and then go in order of time and group. Rows behind
+    the watermark are dropped. A partition of the sink is in one task, as it has one order.
+    """
+    rows = routed.where(F.col(at).isNotNull() & F.col("partition").isNotNull()).withWatermark(at, delay).withColumn("at_ms", F.unix_millis(at))
+    return rows.groupBy("partition").transformWithState(_Placed(int(bucket * 1000), "at_ms long, group_vxid long, key string, value string"), "partition int, place long, group_vxid long, key string, value string", "append", "eventTime")
+
+
 def drain_tracked(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a stopped stream of track_requests still holds: records of open requests and those that wait for their bucket, by group, reason 'drain'."""
     read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
