@@ -5,9 +5,8 @@ place in a piece begins a suffix of at most `DEPTH` words, and a phrase occurs a
 begin with it. The subtrees of suffixes are built apart, after vertical partitioning:
 
 1. Words are counted per language. The `COMMON` most frequent ones get codes of two bytes; others are spelled out.
-2. A prefix of one word with more suffixes than the budget is drawn out by a word, its longer prefixes
-   are counted in another pass, and so on, until no prefix is over the budget or all words are
-   used. The budget is a `groups`-th of all words, so at most `groups` prefixes of a length are over it,
+2. A prefix of one word with more suffixes than the budget is drawn out to two words, its longer prefixes
+   are counted in another pass, and such a prefix that is over the budget still is drawn out to all its words. The budget is a `groups`-th of all words, so at most `groups` prefixes of a length are over it,
    and just their hashes are sent to the tasks.
 3. All other prefixes are dealt into `BUCKETS` buckets whose loads are known, and buckets are
    packed into groups up to the budget.
@@ -39,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import join_counted, materialize
 from .text_arrays import LOWER, blocks, mix, utf8
 
-#: Words of the longest phrase.
+#: Words of the longest phrase, and of the prefixes that are tried one after another.
 DEPTH = 5
+LENGTHS = (1, 2, DEPTH)
 #: Groups that suffixes are dealt into, and the buckets that are packed into them.
 GROUPS = 1024
 BUCKETS = 1 << 17
@@ -176,12 +176,12 @@ class Partition:
         self.over, self.groups = [], None
 
     def prefixes(self, own: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, words) of the prefix of each place: one word, or one more for every step that is over the budget."""
+        """(hash, words) of the prefix of each place: one word, or the next length for every step that is over the budget."""
         key, depth = own.prefix_hashes(1), np.ones(len(own.word), dtype=np.int64)
-        for i, over in enumerate(self.over, 1):
-            more = (depth == i) & np.isin(key, over)
-            key[more] = own.prefix_hashes(i + 1)[more]
-            depth[more] = i + 1
+        for over, length, longer in zip(self.over, LENGTHS, LENGTHS[1:], strict=False):
+            more = np.flatnonzero((depth == length) & np.isin(key, over))
+            key[more] = own.prefix_hashes(longer)[more]
+            depth[more] = longer
         return key, depth
 
 
@@ -309,20 +309,21 @@ def _collect(rows: DataFrame, *columns: str) -> list[np.ndarray]:
 
 def _partitioned(texts: DataFrame, words: DataFrame, budget: int) -> Partition:
     """Prefixes over the budget, length by length, and the groups of the rest: all bounded whatever the corpus."""
-    spark, loads, partition, depth = texts.sparkSession, np.zeros(BUCKETS, np.int64), Partition(), 1
+    spark, loads, partition, depth = texts.sparkSession, np.zeros(BUCKETS, np.int64), Partition(), 0
     counted = words.groupBy("hash").agg(F.sum("n").alias("n"))
     while True:
         bucket = F.shiftrightunsigned("hash", 40).bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
-        fits = counted if depth == DEPTH else counted.filter(F.col("n") <= budget)
+        last = depth == len(LENGTHS) - 1
+        fits = counted if last else counted.filter(F.col("n") <= budget)
         at, load = _collect(fits.groupBy(bucket).agg(F.sum("n").alias("n")), "bucket", "n")
         loads[at] += load
-        over = _collect(counted.filter(F.col("n") > budget), "hash")[0].view(np.uint64)
-        if depth == DEPTH or not len(over):
+        over = np.zeros(0, np.uint64) if last else _collect(counted.filter(F.col("n") > budget), "hash")[0].view(np.uint64)
+        if not len(over):
             break
         partition.over.append(over)
         depth += 1
-        counted = texts.mapInArrow(_count_prefixes(spark.sparkContext.broadcast(partition), depth), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        counted = materialize(counted, f"prefixes-{depth}", BATCH_ROWS)
+        counted = texts.mapInArrow(_count_prefixes(spark.sparkContext.broadcast(partition), LENGTHS[depth]), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        counted = materialize(counted, f"prefixes-{LENGTHS[depth]}", BATCH_ROWS)
     partition.groups = _packed(loads, budget)
     return partition
 
