@@ -24,9 +24,9 @@ _TEXTS: dict[str, Callable[[Column, str], Column]] = {"~": lambda c, x: c.rlike(
 
 @dataclass(frozen=True)
 class Query:
-    """Conditions on records, and how their flags make the truth of a group."""
+    """Conditions on records, made into columns when the query is applied, and how their flags make the truth of a group."""
 
-    conditions: tuple[Column, ...]
+    conditions: tuple[Callable[[], Column], ...]
     truth: Callable[[list[Column]], Column] = field(repr=False)
 
     def _with(self, other: Query, how: Callable[[Column, Column], Column]) -> Query:
@@ -47,21 +47,25 @@ def record(tag: str, compare: str | None = None, value: str | float | None = Non
     """A group has a record of the tag (in any case of letters) whose payload, or field of it, compares so; without a comparison, has one at all."""
     if compare is not None and compare not in _NUMBERS | _TEXTS:
         raise ValueError(f"no such comparison: {compare}")
-    holds, text = F.lower("tag") == tag.lower(), F.col("payload")
-    if side is not None:
-        holds = holds & (F.col("side") == side)
-    if prefix is not None:
-        holds = holds & F.startswith(F.lower("payload"), F.lit(f"{prefix.lower()}:"))
-        text = F.ltrim(F.substring(text, len(prefix) + 2, 2**31 - 1 - len(prefix)))
-    if field is not None:
-        text = F.get(F.split(F.trim(text), r"\s+"), F.lit(field - 1))
-    if compare in _NUMBERS:
-        holds = holds & _NUMBERS[compare](text.try_cast("double"), F.lit(float(value)))
-    elif compare is not None:
-        holds = holds & _TEXTS[compare](text, value)
-    elif field is not None:
-        holds = holds & text.isNotNull()
-    return Query((F.coalesce(holds, F.lit(False)),), lambda flags: flags[0])
+
+    def condition() -> Column:
+        holds, text = F.lower("tag") == tag.lower(), F.col("payload")
+        if side is not None:
+            holds = holds & (F.col("side") == side)
+        if prefix is not None:
+            holds = holds & F.startswith(F.lower("payload"), F.lit(f"{prefix.lower()}:"))
+            text = F.ltrim(F.expr(f"substring(payload, {len(prefix) + 2})"))
+        if field is not None:
+            text = F.get(F.split(F.trim(text), r"\s+"), F.lit(field - 1))
+        if compare in _NUMBERS:
+            holds = holds & _NUMBERS[compare](text.try_cast("double"), F.lit(float(value)))
+        elif compare is not None:
+            holds = holds & _TEXTS[compare](text, value)
+        elif field is not None:
+            holds = holds & text.isNotNull()
+        return F.coalesce(holds, F.lit(False))
+
+    return Query((condition,), lambda flags: flags[0])
 
 
 def _names(queries: list[Query]) -> list[list[str]]:
@@ -76,13 +80,13 @@ def filter_groups(log: DataFrame, query: Query) -> DataFrame:
     """All records of the groups for which the query is true."""
     group = Window.partitionBy("group_vxid")
     flags = _names([query])[0]
-    marked = log.where("group_vxid is not null").withColumns({n: F.max(c).over(group) for n, c in zip(flags, query.conditions, strict=True)})
+    marked = log.where("group_vxid is not null").withColumns({n: F.max(c()).over(group) for n, c in zip(flags, query.conditions, strict=True)})
     return marked.where(query.truth([F.col(n) for n in flags])).select(*log.columns)
 
 
 def match_groups(log: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """One row per group: group_vxid, and for each named query whether it is true."""
     names = _names(list(queries.values()))
-    flags = [F.bool_or(c).alias(n) for own, q in zip(names, queries.values(), strict=True) for n, c in zip(own, q.conditions, strict=True)]
+    flags = [F.bool_or(c()).alias(n) for own, q in zip(names, queries.values(), strict=True) for n, c in zip(own, q.conditions, strict=True)]
     rows = log.where("group_vxid is not null").groupBy("group_vxid").agg(*flags)
     return rows.select("group_vxid", *[q.truth([F.col(n) for n in own]).alias(name) for (name, q), own in zip(queries.items(), names, strict=True)])

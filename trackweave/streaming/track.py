@@ -36,8 +36,8 @@ class InTimeOrder(StatefulProcessor):
     `columns` is DDL of what is kept of a row; the first is the time in ms.
     """
 
-    def __init__(self, bucket_ms: int, columns: str):
-        self.bucket_ms, self.names = bucket_ms, [c.split()[0] for c in columns.split(", ")]
+    def __init__(self, bucket_ms: int, columns: str, held: int = HELD):
+        self.bucket_ms, self.names, self.held = bucket_ms, [c.split()[0] for c in columns.split(", ")], held
         self.kept = f"rows array<struct<{columns.replace(', ', ',').replace(' ', ':')}>>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -50,7 +50,7 @@ class InTimeOrder(StatefulProcessor):
             row = tuple(r[name] for name in self.names)
             held.setdefault(row[0] // self.bucket_ms, []).append(row)
             n += 1
-            if n == HELD:
+            if n == self.held:
                 self._keep(held)
                 held, n = {}, 0
         self._keep(held)
@@ -85,8 +85,8 @@ class InTimeOrder(StatefulProcessor):
 
 
 class _Requests(InTimeOrder):
-    def __init__(self, bucket_ms: int, timeout: float, limit: int):
-        super().__init__(bucket_ms, _WAITING)
+    def __init__(self, bucket_ms: int, timeout: float, limit: int, held: int):
+        super().__init__(bucket_ms, _WAITING, held)
         self.timeout_ms, self.limit = int(timeout * 1000), limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -159,14 +159,15 @@ class _Requests(InTimeOrder):
             self.handle.registerTimer(alarm)
 
 
-def track_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 32, bucket: float = 1.0, delay: str = "10 seconds") -> DataFrame:
+def track_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 32, bucket: float = 1.0, delay: str = "10 seconds", held: int = HELD) -> DataFrame:
     """Stream of complete requests (group_vxid, complete_reason, records): by 'end', 'timeout' or 'limit'.
 
     At most `tx_limit` requests are open, shared evenly by `shards` (hash of the group): exact with one, an
-    approximation that scales with more. `bucket` is in seconds; a bucket of a shard is held in memory.
+    approximation that scales with more. `bucket` is in seconds; a bucket of a shard is held in memory, and `held` rows
+    on their way there.
     """
     rows = timed(stream, delay).withColumn("shard", shard_of(shards))
-    processor = _Requests(int(bucket * 1000), options.tx_timeout, max(1, options.tx_limit // shards))
+    processor = _Requests(int(bucket * 1000), options.tx_timeout, max(1, options.tx_limit // shards), held)
     return rows.groupBy("shard").transformWithState(processor, COMPLETED, "append", "eventTime")
 
 
