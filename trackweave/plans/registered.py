@@ -331,6 +331,19 @@ def total_counters(spark, sf_dir):
     return metrics.total_counters(views.deliveries(spark, sf_dir))
 
 
+_STATES_OF = "wrk as (select worker, count(*) filter (where status = 'failed') as n from ev group by worker), fld as (select worker, done_ts, row_number() over (partition by worker order by done_ts) as turn from ev where status = 'failed'), sta as (select wrk.worker, least(n, 2) as restarts, n > 2 as abandoned, done_ts as abandoned_at from wrk left join fld on fld.worker = wrk.worker and turn = 3)"
+
+
+@query(sql.with_(_STATES_OF, then="select * from sta"))
+def worker_states(spark, sf_dir):
+    return metrics.worker_states(views.deliveries(spark, sf_dir), TrackOptions(thread_restarts=2))
+
+
+@query(sql.with_(_STATES_OF, then="select count(*) filter (where not abandoned) as active, count(*) filter (where abandoned) as abandoned, cast(sum(restarts) as bigint) as restarts, bool_and(abandoned) as all_abandoned from sta"))
+def pool_counters(spark, sf_dir):
+    return metrics.pool_counters(metrics.worker_states(views.deliveries(spark, sf_dir), TrackOptions(thread_restarts=2)))
+
+
 _KIND = "case event_type when 'error' then 'ioerr' when 'signup' then 'reacquire' when 'view' then 'overrun' else 'closed' end"
 
 

@@ -16,6 +16,8 @@ from ..options import TrackOptions
 from ..sources import ledger, logs, plugin, sinks
 from ..streaming import assemble as S
 from ..steps import new_path
+from ..streaming import follow as F_
+from ..streaming import groups as G
 from ..streaming import levels, monitor
 from ..streaming import track as T
 from . import registered as R
@@ -325,6 +327,74 @@ def state_dump(spark, sf_dir):
     return S.dump_state(spark, checkpoint)
 
 
+@R.query(sql.with_(then="select vxid, group_vxid from tx"))
+def stream_groups(spark, sf_dir):
+    """Groups of a live log, its transactions in no order: those of the batch."""
+    tx = views.stored_transactions(spark, sf_dir).select("vxid", "parent_vxid", F.xxhash64("vxid").alias("turn"))
+    path = new_path(spark, "transactions")
+    write_in_turn(tx, path, order="turn")
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return finish_stream(spark, G.resolve_stream(stream))
+
+
+@R.query(sql.with_(then="select group_vxid, vxid, cast(tx_seq as int) as tx_seq, cast(rec_seq as int) as rec_seq, side, tag, payload from rec"))
+def stream_grouped_log(spark, sf_dir):
+    """Records without a group, before and after their transactions are known, handed on with it."""
+    log = views.stored_log(spark, sf_dir).select("vxid", "parent_vxid", "side", "tx_seq", "rec_seq", "tag", "payload", F.xxhash64("vxid", "rec_seq").alias("turn"))
+    log = log.withColumns({c: F.col(c).cast("int") for c in ("tx_seq", "rec_seq")})
+    path = new_path(spark, "records")
+    write_in_turn(log, path, order="turn")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    groups = G.resolve_stream(stream.select("vxid", "parent_vxid"))
+    return finish_stream(spark, G.attach_groups(stream.drop("parent_vxid", "turn"), groups))
+
+
+@R.query(sql.with_(
+    R._STATES,
+    _ENDED,
+    "gap as (select max(ok) // 3 as a, max(ok) // 3 * 2 as b from grps)",
+    then=f"select m.*, case when ended then 'end' else 'drain' end as complete_reason, 1 as closed, 1 as ioerr, 1 as sink, 2 as reacquire from ({sql.MESSAGES}) m join grps using (group_vxid), gap where ok <= a or ok > b",
+))
+def stream_follow(spark, sf_dir):
+    """The log breaks twice and the sink once: the middle third is in a file that cannot be read, the next opening finds nothing, and a batch of the last third is handed over twice."""
+    options = TrackOptions(tx_timeout=1e9)
+    last = views.stored_transactions(spark, sf_dir).agg(F.max("ok")).first()[0]
+    log, out, state = event_log(spark, sf_dir, "ok % 7 <> 0"), new_path(spark, "followed"), new_path(spark, "follow-state")
+    logs_of = [new_path(spark, f"opening-{n}") for n in range(3)]
+    write_in_turn(log.where(f"group_vxid div 64 <= {last // 3}"), logs_of[0])
+    write_in_turn(log.where(f"group_vxid div 64 > {last // 3 * 2}"), logs_of[2])
+    broken, lost = f"{logs_of[0]}/part-broken.parquet", new_path(spark, "lost")
+    log.where(f"group_vxid div 64 > {last // 3} and group_vxid div 64 <= {last // 3 * 2}").select(F.to_json(F.struct("*")).alias("value")).write.text(lost)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = jvm.Path(lost).getFileSystem(conf)
+    part = next(s.getPath() for s in system.listStatus(jvm.Path(lost)) if s.getPath().getName().startswith("part-"))
+    system.rename(part, jvm.Path(broken))
+    system.setTimes(jvm.Path(broken), max(s.getModificationTime() for s in system.listStatus(jvm.Path(logs_of[0]))) + 60_000, -1)
+    failed = []
+
+    def deliver(batch: DataFrame, n: int, i: int) -> None:
+        if n == 2 and i == 1 and not failed:
+            failed.append(i)
+            raise ConnectionError("the sink is gone")
+        batch.write.mode("overwrite").parquet(f"{out}/opening={n}/batch={i}")
+
+    before = spark.conf.get(_STATE, None)
+    S.use_rocksdb(spark)
+    try:
+        incidents = F_.follow(spark, lambda n: logs.tail_log(spark, logs_of[n]), lambda x: S.complete_requests(x, options), deliver, state)
+        final = S.drain(spark, f"{state}/2")
+        final.write.parquet(f"{out}/opening=2/batch=-1")
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE)
+        else:
+            spark.conf.set(_STATE, before)
+    counts = {r.kind: r.n for r in metrics.incident_counts(incidents).collect()}
+    done = spark.read.schema(S.COMPLETED).parquet(out)
+    return _messages(done.select("group_vxid", "complete_reason", "records"), "complete_reason").withColumns({kind: F.lit(counts.get(kind, 0)) for kind in ("closed", "ioerr", "sink", "reacquire")})
+
+
 @R.query(sql.with_("per as (select time_bucket(interval '1 hour', submit_ts) as interval_start, count(*) as messages, cast(sum(bytes) as bigint) as bytes from ev group by 1)", then="select interval_start, messages, bytes from per"))
 def stream_monitor(spark, sf_dir):
     """Deliveries as a stream, observed per batch, counted per hour."""
