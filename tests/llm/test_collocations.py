@@ -88,3 +88,16 @@ def test_sql(spark):
     from trackweave.llm import queries
 
     compare(spark, queries.QUERIES["op11_collocations"], queries.ORACLES["op11_collocations"], SF)
+
+
+def test_equal_suffixes_are_told_from_equal_hashes():
+    """With hashes that all clash, suffixes are still told apart."""
+    import numpy as np
+
+    data = np.frombuffer(b"a b a b c a b", dtype=np.uint8)
+    own = C.Suffixes(["en"], data, np.array([0, len(data)]))
+    places, size = np.arange(7), np.minimum(own.left, C.DEPTH)
+    want = C._distinct(own, places, size)
+    own.prefix_hashes = lambda depth: np.zeros(7, np.uint64)
+    got = C._distinct(own, places, size)
+    assert sorted(want[1]) == sorted(got[1]) == [1] * 7 and sorted(want[0]) == sorted(got[0])

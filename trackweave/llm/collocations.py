@@ -86,6 +86,17 @@ def _escape(texts: pa.Array) -> pa.Array:
     return pa.array([t and t.translate(_ESCAPED) for t in texts.to_pylist()], pa.large_string()) if present else texts
 
 
+def _numbered(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's number among them; without sorting where they are dense."""
+    if below > 64 * (len(values) + 1):
+        return np.unique(values, return_inverse=True)
+    number = np.zeros(below, dtype=np.int64)
+    number[values] = 1
+    distinct = np.flatnonzero(number)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number[values]
+
+
 class Suffixes:
     """The words of a block of texts, numbered, with how far the piece of each reaches."""
 
@@ -108,7 +119,7 @@ class Suffixes:
         number = {x: i for i, x in enumerate(self.langs)}
         lang = np.array([number[x] for x in names], dtype=np.int64)[row]
         # a word of a language: its number among those of the block
-        pairs, self.word = np.unique(lang * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_inverse=True)
+        pairs, self.word = _numbered(lang * max(1, len(words.dictionary)) + words.indices.to_numpy(), len(self.langs) * len(words.dictionary))
         self.of_lang, which = pairs // max(1, len(words.dictionary)), pairs % max(1, len(words.dictionary))
         self.text = words.dictionary.take(pa.array(which))
         self.hash = self._hashes()
@@ -208,6 +219,18 @@ def _count_prefixes(partition, depth: int):
     return run
 
 
+def _distinct(own: Suffixes, places: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of equal suffixes at the places, and how many there are: found by hash, and compared word by word."""
+    _, first, kind, n = np.unique(own.prefix_hashes(DEPTH)[places], return_index=True, return_inverse=True, return_counts=True)
+    after = [np.where(size > j, own.word[np.minimum(places + j, len(own.word) - 1)] + 1, 0) for j in range(DEPTH)]
+    if all((x == x[first][kind]).all() for x in after):
+        return first, n
+    number = after[0]
+    for x in after[1:]:
+        number = np.unique(number * (len(own.text) + 1) + x, return_inverse=True)[1]
+    return np.unique(number, return_index=True, return_counts=True)[1:]
+
+
 def _emit_suffixes(shared):
     """(place, suffix, n): suffixes of two words and more in codes, added up by block; place is the group and the prefix's depth."""
 
@@ -217,12 +240,7 @@ def _emit_suffixes(shared):
             for own in _blocks(batch):
                 size = np.minimum(own.left, DEPTH)
                 places = np.flatnonzero(size > 1)
-                # equal suffixes get equal numbers, one word after another
-                number, words = own.word[places].astype(np.int64), len(own.text) + 1
-                for j in range(1, DEPTH):
-                    after = np.where(size[places] > j, own.word[np.minimum(places + j, len(own.word) - 1)] + 1, 0)
-                    number = np.unique(number * words + after, return_inverse=True)[1]
-                _, first, n = np.unique(number, return_index=True, return_counts=True)
+                first, n = _distinct(own, places, size[places])
                 first = places[first]
                 key, depth = partition.prefixes(own)
                 codes = own.codes(vocabulary)
