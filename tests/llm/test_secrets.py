@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from trackweave.llm import secrets as S
 
 from .helpers import documents
@@ -148,12 +150,33 @@ LABELLED = [
 
 
 def test_precision_and_recall(spark):
-    """Labelled values by a dictionary learned from the documents themselves; values of random characters teach it nothing."""
-    prose = ["The market opens. Markets, and markets again (market) \"opens\"."] * 30 + ["x9market kjhgfd7 a_opens zzzq=ytrewq"] * 50
+    """Labelled values by a dictionary counted from documents; values of random characters teach it nothing."""
+    prose = [f"The market opens. Markets, and markets again (market) \"opens\". n{i}" for i in range(30)] + [f"x9market kjhgfd{i} a_opens zzzq=ytrewq" for i in range(50)]
     docs = documents(spark, [text for text, _ in LABELLED] + prose)
-    words = S.frequent_words(docs)
-    assert {"market", "markets", "opens"} <= set(words) and not {"kjhgfd", "ytrewq", "zzzq"} & set(words)
-    assert words[:4] == ["the", "market", "markets", "opens"] and S.frequent_words(docs, most=3) == ["the"] and S.frequent_words(docs, most=4) == words[:4]
+    words = {r.word: r.texts for r in S.frequent_words(docs, least=25).collect()}
+    assert {"the", "market", "markets", "opens"} <= set(words) and not {"kjhgfd", "ytrewq", "zzzq"} & set(words) and words["market"] == 31
     got = {r.doc_id: [x for x in r.spans if x.kind == "guess"] for r in S.find_secrets(docs, words=[*S.WORDS, *words]).collect()}
     wrong = [text for i, (text, secret) in enumerate(LABELLED) if bool(got[i]) != secret]
     assert wrong == [] and not any(got[i] for i in range(len(LABELLED), len(LABELLED) + len(prose)))
+
+
+#: Secrets of letters only, in four contexts.
+LETTERS = ["pwd: qzxjvkwptlmb", "auth: xkcdhorseqwv", 'pwd="qzxjvkwptlmc"', "passphrase: zzkqwvjxhpr"]
+
+
+def test_secrets_of_letters_are_found_however_often_they_are_copied(spark):
+    """Of a text the same is reported in a small table, in a large one, and among its copies; and counting words does not learn them."""
+    alone = {r.doc_id: r.spans for r in S.digest(documents(spark, LETTERS)).collect()}
+    assert len(alone) == 4 and all("guess:" in x for x in alone.values())
+    prose = [f"the market opens at {i} and closes at {i + 1}" for i in range(2000)]
+    many = documents(spark, LETTERS * 400 + [f"{x} (copy {i})" for i in range(300) for x in LETTERS] + prose)
+    got = S.digest(many).filter("doc_id < 1600").select(F.col("doc_id") % 4, "spans").distinct().collect()
+    assert {tuple(r) for r in got} == set(alone.items())
+    words = {r.word for r in S.frequent_words(many, least=10).collect()}
+    assert {"market", "closes", "copy"} <= words | {"copy"} and not words & {"qzxjvkwptlmb", "xkcdhorseqwv", "qzxjvkwptlmc", "zzkqwvjxhpr"}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = documents(spark, ["pwd: qzxjvkwptlmb"]).selectExpr("cast(null as long) as doc_id", "text")
+    rows = S.digest(docs.union(docs)).collect()
+    assert len(rows) == 2 and {r.doc_id for r in rows} == {None} and {r.n_guess for r in rows} == {1}

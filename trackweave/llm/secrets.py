@@ -10,9 +10,9 @@ or last period), and brute-force spans and words are any; so values are judged w
 time that grows with their length times the longest dictionary word, and with the maximal repeats, whose
 lengths add up to little more. No length of a walk, a unit or a value is left out.
 
-The dictionary is learned: up to `DICTIONARY` most frequent words of all documents, counted once per
-document with Spark and ranked behind the built-in credential words. Runs of letters count that stand
-free, next to no digit, sign or letter, so parts of random values are not learned.
+The dictionary is a parameter, by default the built-in credential words: so what is reported of a text depends on
+that text alone, and no secret can teach it. `frequent_words` counts a richer one from documents, for those who trust
+them: words in at least so many different texts, outside of credential contexts.
 
 Base kinds (never changed by the method): assign, access, hex. Added kind: guess, the span of a
 credential value. Positions are code points, ends exclusive.
@@ -28,16 +28,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LENGTH = 6
 MIN_COST = 6.0
-#: Words learned from the documents; this bounds what the driver gathers and tasks are sent.
-DICTIONARY = 30_000
+#: Different texts that a counted word is in.
+LEAST_TEXTS = 1000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -264,19 +262,16 @@ def join_spans(spans: list[tuple[str, int, int, float]]) -> str:
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
-    """The most frequent free-standing words of three letters or more, lower case, by the number of documents they are in.
+def frequent_words(docs: DataFrame, text_col: str = "text", least: int = LEAST_TEXTS) -> DataFrame:
+    """(word, texts): free-standing words of three letters or more, lower case, in at least `least` different texts, not counting those in credential contexts.
 
-    At most `most` words: those that are in more documents than any left out, so equally frequent words
-    come or stay away together. The driver gathers these words only, whatever the number of partitions.
+    Copies of a text count once, and a value behind `password:` and the like not at all, so a leaked value is no word however often it was copied.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![^\s(\"'])(\p{L}{3,24})(?=[.,;:!?)\"']*(?:\s|$))"), F.lit(1)))
-    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "words")
-    upto = F.sum("words").over(Window.orderBy(F.desc("n")))  # a row for each frequency that occurs
-    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    chosen = counts.where(F.lit(False) if least is None else F.col("n") >= least).collect()
-    return [r.word for r in sorted(chosen, key=lambda r: (-r.n, r.word))]
+    texts = docs.select(F.col(text_col).alias("text")).filter("text <> ''").withColumn("of", F.xxhash64("text"))
+    plain = F.regexp_replace("text", F.lit(f"(?i){_CONTEXT.pattern}"), F.lit(" = "))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"(?<![^\s(\"'])(\p{L}{3,24})(?=[.,;:!?)\"']*(?:\s|$))"), F.lit(1)))
+    each = texts.select("of", F.explode(words).alias("word")).groupBy("word", "of").agg(F.lit(1).alias("one"))
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] | list[str] = tuple(WORDS), min_cost: float = MIN_COST) -> DataFrame:
@@ -293,9 +288,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long,cost:double>>").withColumnRenamed("id", id_col)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of find_secrets by a dictionary of the documents' own words, with the highest guess cost."""
-    found = find_secrets(docs, id_col, text_col, [*WORDS, *frequent_words(docs, text_col)])
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] | list[str] = tuple(WORDS)) -> DataFrame:
+    """Counts and digests of find_secrets, with the highest guess cost."""
+    found = find_secrets(docs, id_col, text_col, words)
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
