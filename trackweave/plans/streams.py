@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -23,9 +24,6 @@ from ..streaming import track as T
 from . import registered as R
 from . import sql, views
 
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-
-
 def event_log(spark: SparkSession, sf_dir: str, ended: str = "true") -> DataFrame:
     """The log with times (a second apart for requests) and an `End` record for each transaction of groups that `ended` selects, the root's last."""
     at = F.timestamp_millis((F.lit(1_430_000_000) + F.expr("group_vxid div 64")) * 1000 + F.col("tx_seq") * 10 + F.col("rec_seq") + F.when((F.col("tag") == "End") & (F.col("tx_seq") == 0), 500).otherwise(0))
@@ -61,17 +59,10 @@ def run(spark: SparkSession, source: str, make: Callable[[DataFrame], DataFrame]
 def run_stream(spark: SparkSession, stream: DataFrame, sink: Callable | None = None) -> tuple[DataFrame, str, list]:
     """Run a stream to the end of its source: (its output, its checkpoint, its progress)."""
     out, checkpoint = (new_path(spark, name) for name in ("stream-out", "stream-state"))
-    before = spark.conf.get(_STATE, None)
-    S.use_rocksdb(spark)
-    try:
+    with S.rocksdb(spark):
         writer = sink(stream, out, checkpoint) if sink else stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
         handle = writer.trigger(availableNow=True).start()
         handle.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_STATE)
-        else:
-            spark.conf.set(_STATE, before)
     done = spark.read.parquet(out) if sink else spark.read.schema(stream.schema).parquet(out)
     return done, checkpoint, handle.recentProgress
 
@@ -234,7 +225,7 @@ class BreakingWriter:
         self.path = path
 
     def open(self):
-        self.system, self.root = plugin._folder(self.path)
+        self.system, self.root = plugin.folder_of(self.path)
         self.system.create_dir(self.root, recursive=True)
         self.file = self.system.open_output_stream(f"{self.root}/{uuid.uuid4().hex}.txt")
 
@@ -379,22 +370,37 @@ def stream_follow(spark, sf_dir):
             raise ConnectionError("the sink is gone")
         batch.write.mode("overwrite").parquet(f"{out}/opening={n}/batch={i}")
 
-    before = spark.conf.get(_STATE, None)
-    S.use_rocksdb(spark)
-    try:
+    with S.rocksdb(spark):
         incidents = F_.follow(spark, lambda n: logs.tail_log(spark, logs_of[n]), lambda x: S.complete_requests(x, options), deliver, state)
-        final = S.drain(spark, f"{state}/2")
-        final.write.parquet(f"{out}/opening=2/batch=-1")
-    finally:
-        if before is None:
-            spark.conf.unset(_STATE)
-        else:
-            spark.conf.set(_STATE, before)
+    S.drain(spark, f"{state}/2").write.parquet(f"{out}/opening=2/batch=-1")
     counts = {r.kind: r.n for r in metrics.incident_counts(incidents).collect()}
     done = spark.read.schema(S.COMPLETED).parquet(out)
     return _messages(done.select("group_vxid", "complete_reason", "records"), "complete_reason").withColumns({kind: F.lit(counts.get(kind, 0)) for kind in ("closed", "ioerr", "sink", "reacquire")})
 
 
+@R.query(sql.with_(then="select count(*) as messages, cast(sum(bytes) as bigint) as bytes, cast(max(bytes) as bigint) as len_hi, cast(0 as bigint) as late from ev"))
+def stream_history(spark, sf_dir):
+    """Counters of the batches of a stream, written to a table as they end: what its last snapshot has in all."""
+    rows = views.deliveries(spark, sf_dir).select("submit_ts", F.col("props").alias("data"))
+    source, history = new_path(spark, "deliveries"), new_path(spark, "history")
+    write_in_turn(rows, source, order="submit_ts")
+    listener = monitor.HistoryTable(history)
+    spark.streams.addListener(listener)
+    try:
+        stream = monitor.observe(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        handle = stream.writeStream.format("noop").option("checkpointLocation", new_path(spark, "history-state")).trigger(availableNow=True).start()
+        handle.awaitTermination()
+        done = len(handle.recentProgress)
+        for _ in range(300):  # listeners are told a little later
+            if monitor.read_history(spark, history).where(F.col("run") == str(handle.runId)).count() >= done:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    totals = monitor.history_snapshots(monitor.read_history(spark, history).where(F.col("run") == str(handle.runId)))
+    return totals.agg(F.max("total_messages").alias("messages"), F.max("total_bytes").alias("bytes"), F.max("len_hi").alias("len_hi"), F.max("total_late").alias("late"))
+
+
 @R.query(sql.with_("per as (select time_bucket(interval '1 hour', submit_ts) as interval_start, count(*) as messages, cast(sum(bytes) as bigint) as bytes from ev group by 1)", then="select interval_start, messages, bytes from per"))
 def stream_monitor(spark, sf_dir):
     """Deliveries as a stream, observed per batch, counted per hour."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -133,9 +134,31 @@ def shard_of(shards: int) -> Column:
     return (hashed % shards).cast("int")
 
 
+#: The state store that processors with timers and several states need, writing the changes that `state_changes` reads.
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that processors with timers and several states need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, value in _ROCKSDB.items():
+        spark.conf.set(name, value)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside use that store; the session's settings come back behind."""
+    before = {name: spark.conf.get(name, None) for name in _ROCKSDB}
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def complete_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), delay: str = "10 seconds") -> DataFrame:
