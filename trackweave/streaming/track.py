@@ -43,6 +43,7 @@ class InTimeOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long", self.kept)
+        self.pending = handle.getValueState("pending", "ends array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held, n = {}, 0
@@ -57,12 +58,20 @@ class InTimeOrder(StatefulProcessor):
         return iter(())
 
     def _keep(self, held: dict[int, list[tuple]]) -> None:
+        ends = self._ends()
         for bucket, fresh in held.items():
             if self.waiting.containsKey((bucket,)):
                 fresh = [tuple(x) for x in self.waiting.getValue((bucket,))[0]] + fresh
             else:
                 self.handle.registerTimer(self.end_of(bucket))
+                ends.append(self.end_of(bucket))
             self.waiting.updateValue((bucket,), (fresh,))
+        if held:
+            self.pending.update((sorted(ends),))
+
+    def _ends(self) -> list[int]:
+        """The ends of the buckets that wait, in order."""
+        return list(self.pending.get()[0]) if self.pending.exists() else []
 
     def end_of(self, bucket: int) -> int:
         return (bucket + 1) * self.bucket_ms
@@ -73,11 +82,14 @@ class InTimeOrder(StatefulProcessor):
         if self.waiting.containsKey((bucket,)):
             rows = sorted(tuple(x) for x in self.waiting.getValue((bucket,))[0])
             self.waiting.removeKey((bucket,))
-        self.key = key[0]
-        yield from self.take(rows, until)
+            self.pending.update(([e for e in self._ends() if e != until],))
+        self.key, self.mark = key[0], timerValues.getCurrentWatermarkInMs()
+        # no timer of this batch comes behind the last bucket that the watermark has passed, so what is up by then is seen to now
+        last = not any(until < e <= self.mark for e in self._ends())
+        yield from self.take(rows, max(until, self.mark // self.bucket_ms * self.bucket_ms) if last else until)
 
     def take(self, rows: list[tuple], until: int) -> Iterator[Row]:
-        """The rows of a bucket that ends at `until`, in order; also called without rows at times that were registered."""
+        """The rows of a bucket, in order, and the time up to which there are no others; also called without rows at times that were registered."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -156,7 +168,8 @@ class _Requests(InTimeOrder):
             self.queue.updateValue((place,), value)
         self.ends.update((head, tail, n_open))
         for alarm in alarms:
-            self.handle.registerTimer(alarm)
+            if alarm > self.mark:
+                self.handle.registerTimer(alarm)
 
 
 def track_requests(stream: DataFrame, options: TrackOptions = TrackOptions(), shards: int = 32, bucket: float = 1.0, delay: str = "10 seconds", held: int = HELD) -> DataFrame:
