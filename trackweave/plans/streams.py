@@ -328,18 +328,6 @@ def stream_groups(spark, sf_dir):
     return finish_stream(spark, G.resolve_stream(stream))
 
 
-@R.query(sql.with_(then="select group_vxid, vxid, cast(tx_seq as int) as tx_seq, cast(rec_seq as int) as rec_seq, side, tag, payload from rec"))
-def stream_grouped_log(spark, sf_dir):
-    """Records without a group, before and after their transactions are known, handed on with it."""
-    log = views.stored_log(spark, sf_dir).select("vxid", "parent_vxid", "side", "tx_seq", "rec_seq", "tag", "payload", F.xxhash64("vxid", "rec_seq").alias("turn"))
-    log = log.withColumns({c: F.col(c).cast("int") for c in ("tx_seq", "rec_seq")})
-    path = new_path(spark, "records")
-    write_in_turn(log, path, order="turn")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    groups = G.resolve_stream(stream.select("vxid", "parent_vxid"))
-    return finish_stream(spark, G.attach_groups(stream.drop("parent_vxid", "turn"), groups))
-
-
 @R.query(sql.with_(
     R._STATES,
     _ENDED,
