@@ -94,3 +94,20 @@ def test_fm_index(stretches, phrases):
     for p, a, b in zip(phrases, low, high, strict=True):
         want = [i for i in range(len(text) - 2) if text[i : i + 3] == list(p)]
         assert sorted(index.locate(np.arange(a, b))) == want if a < b else not want
+
+
+def test_blocks_share_one_pass(spark):
+    """Sixty blocks are one map step over the documents, and take at most twice the time of one."""
+    import time
+
+    r = rng(5)
+    benchmark = spark.createDataFrame([(i, words(r, 30, 400)) for i in range(60)], "item_id long, text string")
+    docs = documents(spark, [words(r, 200, 400) for _ in range(60)] + [benchmark.first().text])
+    took = {}
+    for block_words in (10**6, 10**6, 1):
+        found = D.find_contamination(docs, benchmark, block_words=block_words)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        begin = time.monotonic()
+        assert [x.doc_id for x in found.filter("contaminated").collect()][-1] == 60
+        took[block_words] = time.monotonic() - begin
+    assert took[1] < 2 * took[10**6] + 1

@@ -1,15 +1,17 @@
 """Benchmark decontamination with an FM-index per shard of the training texts.
 
-Each Arrow batch of documents is cut into shards. A shard's words are coded by their place in the
-benchmark's vocabulary; words outside it cannot be part of any test phrase and become separators,
-and stretches between separators that are shorter than the shortest phrase are left out. Over the
-rest the shard builds a suffix array, the Burrows-Wheeler transform in a wavelet matrix, and sampled
-suffix positions. All test phrases are searched backwards at once through wavelet ranks; their
+Each Arrow batch of documents is cut into shards. Words that the benchmark surely does not hold (by a
+bit table of fixed size over word hashes) cannot be part of any test phrase and become separators, and
+stretches between separators that are shorter than the shortest phrase are left out. Over the rest the
+shard builds, once, a suffix array, the Burrows-Wheeler transform in a wavelet matrix, and sampled
+suffix positions. Test phrases are searched backwards at once through wavelet ranks; their
 occurrences are located by walking to the next sampled position, and covered words are merged.
 
 A test phrase is a window of `window` consecutive words of a benchmark item; an item of fewer words,
-but not none, is one phrase. The benchmark is a query set: it is read in blocks of about `block_words`
-words, one at a time, so what the driver holds and a task is sent stays bounded however large it is.
+but not none, is one phrase. The benchmark is a query set in blocks of about `block_words` words:
+executors make the blocks and write them to the shared folder, a file each, and Spark hands the files
+to the executors' disks. The documents go through one map step, in which a shard is searched for one
+block after the other, so a task holds one block at a time and the driver none.
 
 Defined results: null texts have no words and null or wordless items no phrases; with an empty
 benchmark nothing is hit; benchmark rows with one id are one item, and null ids count as one item
@@ -19,52 +21,63 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_path
 from .text_arrays import ALNUM, LOWER, blocks, utf8, word_bounds, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 SHARD_BYTES = 1 << 21
 SAMPLE = 8
+#: Bits of a word's hash that address the table of words which the benchmark may hold (2 MB at any size).
+FILTER_BITS = 24
 
 
 class Phrases:
-    """Test phrases as rows of word codes (1, 2, ...), grouped by length, with the items that hold them."""
+    """A block's test phrases, each once, by where it begins in the words of the block, with the items that hold it."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         data, offsets = utf8(pa.array([text for _, text in items], pa.large_string()))
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets, ALNUM)
-        self.vocabulary, codes = np.unique(word_hashes(data, starts, ends), return_inverse=True)
-        codes = codes.astype(np.int64) + 1
+        self.vocabulary, words = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+        #: The block's words by their place in the vocabulary.
+        self.words = words.reshape(-1).astype(np.int32)
         self.ids = sorted({item for item, _ in items})
         place = {item: i for i, item in enumerate(self.ids)}
-        item = np.array([place[item] for item, _ in items], np.int64)
+        item = np.array([place[item] for item, _ in items], np.int32)
         counts = np.diff(first)
         sizes = np.minimum(counts, window)
-        #: length -> (phrases, first entry of each in the next, items in order of phrases)
+        #: length -> (first word of each phrase, first entry of each in the next, items in order of phrases)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in np.unique(sizes[sizes > 0]).tolist():
             own = np.flatnonzero(sizes == size)
             many = counts[own] - size + 1
             begin = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            rows, which = np.unique(codes[begin[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            _, one, which = np.unique(self.words[begin[:, None] + np.arange(size)], axis=0, return_index=True, return_inverse=True)
             held = np.unique(np.stack([which.reshape(-1), np.repeat(item[own], many)], axis=1), axis=0)
-            self.by_length[size] = rows, np.searchsorted(held[:, 0], np.arange(len(rows) + 1)), held[:, 1]
+            self.by_length[size] = begin[one], np.searchsorted(held[:, 0], np.arange(len(one) + 1)), held[:, 1].astype(np.int32)
         self.shortest = min(self.by_length, default=0)
 
-    def code(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes of words, 0 for those outside the vocabulary."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+    def bits(self) -> np.ndarray:
+        """The table of FILTER_BITS in which the block's words are set."""
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[_slot(self.vocabulary)] = True
+        return np.packbits(table)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 class WaveletMatrix:
@@ -139,14 +152,20 @@ class FMIndex:
 
     def intervals(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For phrases of one length, the rows of suffixes that begin with each: from, to."""
-        low, high = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
-        live = np.arange(len(phrases))
-        low[:], high[:] = self.below[phrases[:, -1]], self.below[phrases[:, -1] + 1]
-        for j in range(phrases.shape[1] - 2, -1, -1):
+        return self.search(*phrases.shape, lambda which, j: phrases[which, j])
+
+    def search(self, n: int, length: int, symbols: Callable[[np.ndarray, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for n phrases of which `symbols` gives the j-th words: only phrases still found are asked for more."""
+        low, high, live = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        symbol = symbols(live, length - 1)
+        low[:], high[:] = self.below[symbol], np.where(symbol > 0, self.below[symbol + 1], self.below[symbol])
+        for j in range(length - 2, -1, -1):
             live = live[low[live] < high[live]]
+            symbol = symbols(live, j)
+            high[live[symbol == 0]] = low[live[symbol == 0]]
+            live, symbol = live[symbol > 0], symbol[symbol > 0]
             if not len(live):
                 break
-            symbol = phrases[live, j]
             before, upto = self.transform.rank(symbol, low[live], high[live])
             low[live], high[live] = self.below[symbol] + before, self.below[symbol] + upto
         return low, high
@@ -165,41 +184,60 @@ class FMIndex:
         return out
 
 
-def find_phrases(codes: np.ndarray, first: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """Word positions at which phrases begin, in blocks: (positions, length, phrase numbers of that length).
+class Shard:
+    """The words of some documents, indexed once, for any number of blocks of phrases.
 
-    `codes` are the words of all documents of a shard, `first` the index of each document's first word.
+    `hashes` are the words of all documents and `first` the index of each document's first word;
+    `bits` tells which words the benchmark may hold, and `shortest` is its shortest phrase.
     """
-    if not phrases.shortest or not len(codes):
-        return
-    known = np.zeros(len(codes) + len(first) + 1, bool)  # a gap before every document and at the end
-    spread = np.arange(len(codes)) + np.searchsorted(first[:-1], np.arange(len(codes)), "right")
-    known[spread] = codes > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
-    begin, size = edges[::2], edges[1::2] - edges[::2]
-    begin, size = begin[size >= phrases.shortest], size[size >= phrases.shortest]
-    if not len(begin):
-        return
-    origin = np.full(len(known), -1)
-    origin[spread] = np.arange(len(codes))
-    at = np.concatenate([[1], 1 + np.cumsum(size + 1)])
-    text = np.zeros(at[-1], np.int64)
-    source = np.full(at[-1], -1)
-    inner = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    source[inner] = origin[np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-    text[inner] = codes[source[inner]]
-    index = FMIndex(text, len(phrases.vocabulary))
-    for length, (rows, _, _) in phrases.by_length.items():
-        low, high = index.intervals(rows)
-        hits = np.flatnonzero(low < high)
-        many = (high - low)[hits]
-        if len(hits):
-            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield source[index.locate(np.repeat(low[hits], many) + within)], length, np.repeat(hits, many)
-
-
-def _scan(phrases: Phrases, last_block: bool):
-    """Words hit and items found of (id, text) rows, or of what an earlier block gave for them; texts go on if there is another block."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, bits: np.ndarray, shortest: int):
+        self.index = None
+        slot = _slot(hashes)
+        likely = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+        known = np.zeros(len(hashes) + len(first) + 1, bool)  # a gap before every document and at the end
+        spread = np.arange(len(hashes)) + np.searchsorted(first[:-1], np.arange(len(hashes)), "right")
+        known[spread] = likely
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+        begin, size = edges[::2], edges[1::2] - edges[::2]
+        begin, size = begin[size >= shortest], size[size >= shortest]
+        if not shortest or not len(begin):
+            return
+        origin = np.full(len(known), -1)
+        origin[spread] = np.arange(len(hashes))
+        at = np.concatenate([[1], 1 + np.cumsum(size + 1)])
+        shift = np.concatenate([[0], np.cumsum(size)[:-1]])
+        inner = np.repeat(at[:-1] - shift, size) + np.arange(size.sum())
+        self.source = np.full(at[-1], -1)
+        self.source[inner] = origin[np.repeat(begin - shift, size) + np.arange(size.sum())]
+        self.vocabulary, codes = np.unique(hashes[self.source[inner]], return_inverse=True)
+        text = np.zeros(at[-1], np.int64)
+        text[inner] = codes.reshape(-1) + 1
+        self.index = FMIndex(text, len(self.vocabulary))
+
+    def find(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Word positions at which phrases begin, by length: (positions, length, phrase numbers of that length)."""
+        if self.index is None:
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+        code = np.where(self.vocabulary[at] == phrases.vocabulary, at + 1, 0)
+        for length, (begin, _, _) in phrases.by_length.items():
+            low, high = self.index.search(len(begin), length, lambda which, j, begin=begin: code[phrases.words[begin[which] + j]])
+            hits = np.flatnonzero(low < high)
+            many = (high - low)[hits]
+            if len(hits):
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield self.source[self.index.locate(np.repeat(low[hits], many) + within)], length, np.repeat(hits, many)
+
+
+@functools.lru_cache(maxsize=1)
+def _block(name: str) -> Phrases:
+    """A block of phrases from the files that Spark brought to this executor; the last one read stays in memory."""
+    return pickle.loads(pq.read_table(SparkFiles.get(name), columns=["block"], partitioning=None).column("block")[0].as_py())
+
+
+def _scan(names: list[str], bits: np.ndarray, shortest: int):
+    """Words hit and items found of (id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,22 +246,18 @@ def _scan(phrases: Phrases, last_block: bool):
                 at = offsets[begin : end + 1] - offsets[begin]
                 part = LOWER[data[offsets[begin] : offsets[end]]]
                 starts, ends, first = word_bounds(part, at, ALNUM)
-                codes = phrases.code(word_hashes(part, starts, ends))
-                cover = np.zeros(len(codes) + 1, np.int64)
+                shard = Shard(word_hashes(part, starts, ends), first, bits, shortest)
+                cover = np.zeros(len(starts) + 1, np.int64)
                 items: list[set[str]] = [set() for _ in range(end - begin)]
-                if batch.num_columns > 2:
-                    for i in range(end - begin):
-                        items[i].update(batch.column(4)[begin + i].as_py())
-                        for span in batch.column(3)[begin + i].as_py():
-                            cover[first[i] + span["word"]] += 1
-                            cover[first[i] + span["word"] + span["words"]] -= 1
-                for positions, length, which in find_phrases(codes, first, phrases):
-                    np.add.at(cover, positions, 1)
-                    np.add.at(cover, positions + length, -1)
-                    _, upto, held = phrases.by_length[length]
-                    docs = np.searchsorted(first, positions, "right") - 1
-                    for doc, phrase in np.unique(np.stack([docs, which], axis=1), axis=0).tolist():
-                        items[doc].update(phrases.ids[i] for i in held[upto[phrase] : upto[phrase + 1]])
+                for name in names if shard.index else []:
+                    phrases = _block(name)
+                    for positions, length, which in shard.find(phrases):
+                        np.add.at(cover, positions, 1)
+                        np.add.at(cover, positions + length, -1)
+                        _, upto, held = phrases.by_length[length]
+                        docs = np.searchsorted(first, positions, "right") - 1
+                        for doc, phrase in np.unique(np.stack([docs, which], axis=1), axis=0).tolist():
+                            items[doc].update(phrases.ids[i] for i in held[upto[phrase] : upto[phrase + 1]])
                 hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
                 edges = np.flatnonzero(np.diff(hit.astype(np.int8)))
                 spans: list[list[dict]] = [[] for _ in range(end - begin)]
@@ -235,8 +269,7 @@ def _scan(phrases: Phrases, last_block: bool):
                             spans[doc].append({"word": int(a - first[doc]), "words": int(upto - a), "start": int(starts[a] - at[doc]), "end": int(ends[upto - 1] - at[doc])})
                         a, doc = max(int(a), upto), doc + 1
                 found = [pa.array(np.diff(first), pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                texts = [] if last_block else [batch.column(1)[begin:end]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], *texts, *found], names=["id", *["text"] * (not last_block), "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], *found], names=["id", "n_words", "spans", "items"])
 
     return run
 
@@ -245,17 +278,47 @@ _SPANS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("star
 _SPANS_SQL = "array<struct<word:long,words:long,start:long,end:long>>"
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
-    """The benchmark's phrases in blocks of about `block_words` words, read one block at a time."""
-    items, words = [], 0
-    for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text")).orderBy("item", "text").toLocalIterator():
-        items.append((row.item, row.text))
-        words += 1 + len(row.text) // 6
-        if words >= block_words:
-            yield Phrases(items, window)
-            items, words = [], 0
-    if items:
-        yield Phrases(items, window)
+def _write_blocks(window: int, block_words: int):
+    """Blocks of phrases from (item, text) rows, with their tables of words and shortest phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, words = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                items.append((item, text))
+                words += 1 + len(text) // 6
+                if words >= block_words:
+                    yield block(items)
+                    items, words = [], 0
+        if items:
+            yield block(items)
+
+    def block(items: list[tuple[str, str]]) -> pa.RecordBatch:
+        phrases = Phrases(items, window)
+        values = [pa.array([pickle.dumps(phrases, 5)], pa.binary()), pa.array([phrases.bits().tobytes()], pa.binary()), pa.array([phrases.shortest], pa.int32())]
+        return pa.RecordBatch.from_arrays(values, names=["block", "bits", "shortest"])
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> tuple[list[str], np.ndarray, int]:
+    """Write the benchmark's phrases in blocks and send the files to executors: their names, the table of words, the shortest phrase.
+
+    The driver sees the tables one after the other (2 MB each) and adds them up.
+    """
+    spark, path = benchmark.sparkSession, new_path(benchmark.sparkSession, "benchmark")
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(1 + F.floor(F.length("text") / 6)), F.lit(0)).alias("words")).first()
+    parts = rows.repartition(max(1, min(size.rows, size.words // block_words)), "item", "text").mapInArrow(_write_blocks(window, block_words), "block binary, bits binary, shortest int")
+    # a file holds one block, so that it is read by itself
+    parts.write.option("maxRecordsPerFile", 1).parquet(path)
+    bits, shortest, names = np.zeros(1 << (FILTER_BITS - 3), np.uint8), [], []
+    for row in spark.read.schema("bits binary, shortest int").parquet(path).filter("shortest > 0").select("bits", "shortest", "_metadata.file_path").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+        shortest.append(row.shortest)
+        names.append(row.file_path.rsplit("/", 1)[1])
+        spark.sparkContext.addFile(row.file_path)
+    return names, bits, min(shortest, default=0)
 
 
 def find_contamination(
@@ -271,18 +334,13 @@ def find_contamination(
     """One row per document: id, n_words, n_hit, items (ids as sorted strings), spans, contaminated.
 
     `spans` are the merged stretches to remove: first word and number of words, and first and last
-    byte of the UTF-8 text. Each block of the benchmark is a map step of its own in one pass over the
-    documents; what earlier blocks found goes along with the text, so nothing is shuffled or put
-    together again, and rows stay apart whatever their ids are.
+    byte of the UTF-8 text. The documents go through one map step whatever the number of blocks;
+    nothing is shuffled or put together again, and rows stay apart whatever their ids are.
     """
-    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks_ = benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)
-    phrases = next(blocks_, None) or Phrases([], window)
-    while phrases:
-        more = next(blocks_, None)
-        hits = hits.mapInArrow(_scan(phrases, more is None), f"id {kind}, {'text string, ' if more else ''}n_words long, spans {_SPANS_SQL}, items array<string>")
-        phrases = more
+    scan = _scan(*benchmark_blocks(benchmark, item_col, item_text_col, window, block_words))
+    hits = rows.mapInArrow(scan, f"id {kind}, n_words long, spans {_SPANS_SQL}, items array<string>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["words"])
     return hits.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans", (F.size("spans") > 0).alias("contaminated"))
 
