@@ -73,6 +73,41 @@ def test_markup_that_browsers_take():
         assert H.extract(page, forest) == want, page
 
 
+PROSE = "Some text, with words here. " * 20
+BARE = [
+    (f"<body><p>{PROSE}</p></body>", PROSE.strip()),
+    (f"<body>{PROSE}</body>", PROSE.strip()),
+    (PROSE, PROSE.strip()),
+    (f"<body>{PROSE}<br><br>{PROSE}</body>", (PROSE + PROSE).strip()),
+    (f"<body><nav><a href=/>Home</a> <a href=/a>More</a></nav><p>{PROSE}</p><p>{PROSE}</p><footer>&copy; us</footer></body>", (PROSE + PROSE).strip()),
+]
+
+
+def test_pages_without_a_container():
+    forest = H.train()
+    for page, want in BARE:
+        assert H.extract(page, forest) == want, page
+
+
+def test_training_time():
+    """Training takes some twenty seconds here; it is part of every job, on the driver."""
+    H.train.cache_clear()
+    begun = time.perf_counter()
+    H.train()
+    assert time.perf_counter() - begun < 90
+
+
+def test_items_after_deep_markup():
+    """Items look for an open one of their own list only, so a list of many elements takes linear time."""
+    seconds = []
+    for n in (2_000, 16_000):
+        page = "<li><ul>" + "<div>" * n + "<li></li>" * n + "<object>" + "<b>" * n + "<p></p>" * n
+        begun = time.perf_counter()
+        H.parse(page)
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 0.3 + 24 * seconds[0], seconds
+
+
 @pytest.mark.parametrize("piece", ["<a '", '<a "', "<a x='", '<a x="\'', "<!--", "<p>", "</b>", "<b><p>x</p>", "<li>a", "<", "&am", "<div></span>", "<script>", "<p><div>", "<td>x"])
 def test_time_is_linear(piece):
     """Pages of one piece over and over take time in proportion to their length."""

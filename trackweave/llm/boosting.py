@@ -62,46 +62,6 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
                 g, h = (g_all - above[k, :width])[:, None], (h_all - above[k, width:])[:, None]
                 _improve(best, feature[first:][:width], threshold[first:][:width], j, edges[j], _gain(g, h, g_all, h_all, base, least, ridge))
             node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
-            out += leaf[node - len(feature)]
-        return out
-
-
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> Forest:
-    """Newton boosting of the logistic loss; splits are at quantiles of each feature."""
-    edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins)[1:-1], method="lower")) for column in x.T]
-    codes = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T, strict=True)], axis=1)
-    # features with one split are summed together, as a matrix product
-    single = np.array([j for j, e in enumerate(edges) if len(e) == 1], np.int64)
-    upper = np.ascontiguousarray((codes[:, single] > 0).T, dtype=np.float32)
-    rows = np.arange(len(y))
-    inner, share = 2**depth - 1, float(np.average(y, weights=weight))
-    start = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    score = np.full(len(y), start)
-    features, thresholds, leaves = [], [], []
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
-        grad, hess = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-6)
-        feature, threshold, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
-        for level in range(depth):
-            first, width = 2**level - 1, 2**level
-            local = node - first
-            best, g_all, h_all = np.full(width, 1e-9), np.bincount(local, grad, width), np.bincount(local, hess, width)
-            base = g_all**2 / (h_all + ridge)
-            for j, e in enumerate(edges):
-                if not len(e):
-                    continue
-                size = len(e) + 1
-                g = np.cumsum(np.bincount(local * size + codes[:, j], grad, width * size).reshape(width, size), axis=1)[:, :-1]
-                h = np.cumsum(np.bincount(local * size + codes[:, j], hess, width * size).reshape(width, size), axis=1)[:, :-1]
-                gain = g**2 / (h + ridge) + (g_all[:, None] - g) ** 2 / (h_all[:, None] - h + ridge) - base[:, None]
-                gain[(h < least * 0.05) | (h_all[:, None] - h < least * 0.05)] = 0
-                at = gain.argmax(axis=1)
-                top = gain[np.arange(width), at]
-                better = top > best
-                best[better] = top[better]
-                feature[first:][:width][better] = j
-                threshold[first:][:width][better] = e[at[better]]
-            node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
         leaf = node - inner
         value = rate * np.bincount(leaf, grad, 2**depth) / (np.bincount(leaf, hess, 2**depth) + ridge)
         score += value[leaf]

@@ -9,7 +9,7 @@ inside, descendants are inside or removed; what is removed stays removed. The ch
 dynamic programming over the tree.
 
 The trees are trained on pages drawn from a seeded grammar of page parts (articles in many kinds of
-containers, menus, headers, sidebars, notices, adverts, forms, comments), as no labelled pages are
+containers or in none, menus, headers, sidebars, notices, adverts, forms, comments), as no labelled pages are
 given; the number of pages is a parameter and the training takes about twenty seconds on the driver.
 
 Text inside the article is joined by block: character references are decoded, white space inside a
@@ -41,7 +41,7 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark picture q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_PARAGRAPH, _LISTS = {"p"}, frozenset("ul ol dl table select menu".split())
+_LISTS = frozenset("ul ol dl table select menu".split())
 NEVER = frozenset("script style noscript template iframe head title form select button textarea input svg math object canvas dialog".split())
 
 # Words in class, id and role attributes, by what they stand for.
@@ -77,10 +77,12 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "groups", "parent", "parts", "depth", "place", "siblings")
+    __slots__ = ("tag", "groups", "parent", "block", "parts", "depth", "place", "siblings")
 
     def __init__(self, tag: str, groups: int, parent: Node | None):
         self.tag, self.groups, self.parent = tag, groups, parent
+        #: The nearest element that is not inline, itself included.
+        self.block: Node = parent.block if parent and tag in INLINE else self
         self.parts: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
@@ -113,12 +115,18 @@ def parse(page: str) -> Node:
     root = Node("html", 0, None)
     here, at, text_from = root, 0, 0
     open_: dict[str, int] = {}
+    # for each open list or table, and the page, its open items by tag, outermost first
+    scopes: list[dict[str, list[Node]]] = [{}]
 
     def close(top: Node) -> Node:
         """Close the open elements up to `top`."""
         node = here
         while node is not top.parent:
             open_[node.tag] -= 1
+            if node.tag in _LISTS:
+                scopes.pop()
+            elif node.tag in ITEMS:
+                scopes[-1][node.tag].pop()
             node = node.parent
         return node
 
@@ -148,13 +156,12 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             root.groups |= groups if tag == "body" else 0
             continue
-        closes = ITEMS.get(tag) or (_PARAGRAPH if tag in ENDS_PARAGRAPH else None)
-        if closes and any(map(open_.get, closes)):
-            top = here
-            while top is not root and top.tag not in closes and (top.tag in INLINE or closes is not _PARAGRAPH and top.tag not in _LISTS):
-                top = top.parent
-            if top.tag in closes:
-                here = close(top)
+        if tag in ITEMS:
+            items = [scopes[-1][x][-1] for x in ITEMS[tag] if scopes[-1].get(x)]
+            if items:
+                here = close(max(items, key=lambda x: x.depth))
+        elif tag in ENDS_PARAGRAPH and here.block.tag == "p":
+            here = close(here.block)
         node = Node(tag, groups, here)
         here.parts.append(node)
         if tag in RAW:
@@ -164,6 +171,10 @@ def parse(page: str) -> Node:
             at = text_from = end.end()
         elif tag not in VOID:
             open_[tag] = open_.get(tag, 0) + 1
+            if tag in _LISTS:
+                scopes.append({})
+            elif tag in ITEMS:
+                scopes[-1].setdefault(tag, []).append(node)
             here = node
     if text_from < len(page):
         here.parts.append(page[text_from:])
@@ -301,6 +312,9 @@ def main_text(nodes: list[Node], labels: np.ndarray) -> str:
 
 # ---- training pages ---------------------------------------------------------------------------------------
 
+#: The share of training pages whose article stands in the body itself.
+BARE = 0.15
+
 
 @functools.lru_cache(maxsize=1)
 def _vocabulary() -> list[str]:
@@ -375,7 +389,10 @@ def training_page(rng: random.Random) -> str:
     tag = rng.choice(["article", "article", "main", "div", "div", "section"])
     plain = tag in ("article", "main")
     article = f"<{tag}{_attr(rng, 'main', 0.6 if plain else 0.0)}><x-main>{''.join(body)}</x-main></{tag}>"
-    for _ in range(rng.randint(0, 2)):
+    if rng.random() < BARE:  # no container: paragraphs, or bare text with breaks, in the body itself
+        text = rng.choice(["<br>", "<br><br>", "\n"]).join(_prose(rng) for _ in range(rng.randint(1, 8)))
+        article = f"<x-main>{rng.choice([''.join(body), text])}</x-main>"
+    for _ in range(rng.randint(0, 2) if not article.startswith("<x-main>") else 0):
         article = rng.choice(["{}", "<div{}>{{}}</div>".format(_attr(rng, "main", 0.7)), "<main>{}</main>", "<section>{}</section>"]).format(article)
     before = [_junk(rng, ["nav", "head", "ad", "notice", "nav", "form", "side"]) for _ in range(rng.randint(0, 4))]
     after = [_junk(rng, ["foot", "comment", "side", "ad", "notice", "foot", "share", "nav"]) for _ in range(rng.randint(0, 4))]
