@@ -6,6 +6,7 @@ import pytest
 from trackweave.llm import language_id as L
 
 from .conftest_data import SF
+from .helpers import rng
 
 
 def test_held_out_accuracy(spark):
@@ -63,3 +64,21 @@ def test_clashing_columns_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id string, score double")
     got = L.predict(docs, L.fit(docs)).collect()
     assert len(got) == 4 and sorted(r.lang_pred for r in got) == ["aa", "aa", "aa", "und"]
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    """Rows without ids are learned from, rows of one id do not flood the sample, texts are learned from whole, and reruns agree."""
+    import numpy as np
+
+    r = rng(4)
+
+    def text(letters, n):
+        return " ".join("".join(r.choices(letters, k=5)) for _ in range(n))
+
+    rows = [(None, text("abcdef", 30), "aa") for _ in range(400)] + [(i, text("uvwxyz", 3000), "bb") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [L.fit(docs.repartition(n), per_language=20, epochs=1) for n in (2, 5)]
+    assert np.array_equal(models[0].table, models[1].table) and models[0].languages == ["aa", "bb"]
+    small = L.fit(docs, per_language=20, sample_bytes=1, epochs=1)
+    assert all(m.known.sum() > 50 for m in models)
+    assert small.known.sum() < models[0].known.sum()

@@ -4,9 +4,9 @@ A text is the average of the embeddings of its hashed subwords (byte 2- to 4-gra
 a blank on either side of a word, and whole words); a linear layer and softmax give the languages.
 Embeddings and layer are trained here by stochastic gradient descent in numpy, on a bounded sample
 of labelled rows: about `per_language` rows of each language, fewer where there are over `sample_rows`
-in all, chosen by a hash of their ids. Executors turn the sampled texts, whole, into sparse subword
-counts; the driver only sees the FEATURES most frequent subwords of each (16 kB a row, so about 330 MB
-in all with the defaults).
+in all or their subword counts would take more than `sample_bytes`, chosen by a hash of ids and texts.
+Executors turn the sampled texts, whole, into sparse counts of all their subwords, which the driver
+trains on; a text has at most BUCKETS of them, 8 bytes each, whatever its length.
 
 A fifth of the sample is set aside to calibrate. A temperature of at least 1 makes the top probability
 honest. A text is rejected for either of two reasons. Its score is too near chance: `margin` of the way
@@ -39,8 +39,6 @@ BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
-#: Subwords of a sampled text that training sees, the most frequent first.
-FEATURES = 2048
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -101,8 +99,6 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = [], []
         for buckets in subwords(batch.column(1)):
             own, counts = np.unique(buckets, return_counts=True)
-            most = np.argsort(-counts, kind="stable")[:FEATURES]
-            own, counts = own[most], counts[most]
             at.append(own.astype(np.int32).tobytes())
             n.append(counts.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "turn", "at", "n"])
@@ -115,22 +111,28 @@ def fit(
     id_col: str = "doc_id",
     per_language: int = 300,
     sample_rows: int = 20_000,
+    sample_bytes: int = 1 << 30,
     epochs: int = 12,
     reject_rate: float = 0.001,
     margin: float = 0.13,
     seed: int = 7,
 ) -> Model:
     """Train on a bounded sample of the labelled rows of docs."""
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("turn"))
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("turn"))
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # each byte begins a gram of each length and a word at most, so these are upper bounds of the counts' bytes
+    most = F.least(F.lit(8 * BUCKETS), 8 * (len(GRAMS) + 1) * F.octet_length("text"))
+    sizes = {r.lang: (r.rows, r.bytes) for r in labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(most).alias("bytes")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS, bool), 0.0)
-    per_language = max(2, min(per_language, sample_rows // len(languages)))
-    below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, per_language / sizes[lang])])
-    sample = labelled.filter(F.col("turn") < F.try_element_at(below, F.col("lang"))).select("lang", "text", "turn").limit(2 * per_language * len(languages))
-    rows = sorted(sample.mapInArrow(_sparse, "lang string, turn double, at binary, n binary").collect(), key=lambda r: (r.turn, r.lang))
+    per_language = min(per_language, sample_rows // len(languages))
+    wanted = {lang: max(2, min(per_language, sample_bytes // len(languages) * rows // max(1, size))) for lang, (rows, size) in sizes.items()}
+    below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, wanted[lang] / sizes[lang][0])])
+    sample = labelled.filter(F.col("turn") < F.try_element_at(below, F.col("lang"))).select("lang", "text", "turn")
+    # repeated rows have one turn, so the filter alone does not bound them
+    sample = sample.orderBy("turn", "lang").limit(2 * sum(wanted.values()))
+    rows = sorted(sample.mapInArrow(_sparse, "lang string, turn double, at binary, n binary").collect(), key=lambda r: (r.turn, r.lang, r.at, r.n))
     code = {lang: i for i, lang in enumerate(languages)}
     data = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float32), code[r.lang]) for r in rows if len(r.at)]
     data = [(at, n / n.sum(), y) for at, n, y in data]
