@@ -373,7 +373,7 @@ def occupancy(spark, sf_dir):
 @query(sql.with_(_STATES, sql.ROUTED, then="select group_vxid, key, partition, row_number() over (partition by partition order by group_vxid) as place from routed where reject_reason is null"))
 def ordered_output(spark, sf_dir):
     """Messages in sink order, with their place in the partition's file."""
-    rows = R.with_places(R.split_rejects(_routed(spark, sf_dir))[0])
+    rows = R.with_places(R.split_rejects(_routed(spark, sf_dir))[0].select("group_vxid", "key", "partition"))
     return R.ordered(rows).select("group_vxid", "key", "partition", "place")
 
 

@@ -38,6 +38,29 @@ union all select group_vxid,vxid,parent_vxid,'req','c',tx_seq,0,'VCL_Log',
 union all select group_vxid,vxid,parent_vxid,'bereq','b',tx_seq,1,'VCL_Log','track backend=1' from {tx} where tx_seq=1
 """
 
+#: The rows of REC in Spark: line items are numbered once, and orders are joined once, for all kinds of records.
+LOG = """
+select ok*64 as group_vxid, ok*64 as vxid, cast(null as bigint) as parent_vxid, 'req' as tx_type, 'c' as side, 0 as tx_seq, r.rec_seq, r.tag, r.payload from (
+  select o_orderkey as ok, explode(array(
+    named_struct('rec_seq', 0, 'tag', 'ReqURL', 'payload', '/index.html'), named_struct('rec_seq', 1, 'tag', 'VCL_Log', 'payload', 'other note'))) as r from {orders})
+union all
+select ok*64, ok*64, cast(null as bigint), 'req', 'c', 0, r.rec_seq, r.tag, r.payload from (
+  select ok, explode(filter(array(
+    case when ok%11<>0 then named_struct('rec_seq', 2, 'tag', 'VCL_Log', 'payload', concat('track status=', o_orderstatus)) end,
+    case when ok%10<>0 then named_struct('rec_seq', 3, 'tag', 'VCL_Log', 'payload',
+      concat('track key ', case when ok%97=0 then repeat('a',130) when ok%10=1 then concat('zz',cast(o_custkey as varchar(20)))
+        when ok%10=3 then concat(lpad(lower(hex((o_custkey*2654435761)%4294967296)),8,'0'),'fedcba98') else lower(hex(o_custkey)) end)) end,
+    case when ok%13<>0 then named_struct('rec_seq', 4, 'tag', 'Timestamp', 'payload',
+      concat('Resp: ',cast(1430000000+ok as varchar(20)),'.',lpad(cast((o_custkey*7919)%1000000 as varchar(20)),6,'0'),' 0.000681 0.000352')) end
+  ), x -> x is not null)) as r from (select o_orderkey as ok from {orders}) t join {orders} on ok=o_orderkey)
+union all
+select group_vxid, vxid, parent_vxid, r.tx_type, r.side, tx_seq, r.rec_seq, 'VCL_Log', r.payload from (
+  select *, explode(filter(array(
+    named_struct('tx_type', 'req', 'side', 'c', 'rec_seq', 0, 'payload', concat('track ', case when pk%5=0 then concat(cast(vxid as varchar(20)),' ') else '' end, 'part=',cast(pk as varchar(20)),',',rf)),
+    case when tx_seq=1 then named_struct('tx_type', 'bereq', 'side', 'b', 'rec_seq', 1, 'payload', 'track backend=1') end
+  ), x -> x is not null)) as r from {tx} where tx_seq>0)
+"""
+
 DOC = """
 select doc_id as group_vxid, doc_id as vxid, cast(null as bigint) as parent_vxid, 'req' as tx_type, 'c' as side, 0 as tx_seq, 0 as rec_seq,
        'VCL_Log' as tag, concat('track doc=', text) as payload from {documents}
@@ -64,7 +87,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REC, tx=transactions(spark, sf_dir), orders=_table(spark, sf_dir, "orders"))
+    return spark.sql(LOG, tx=transactions(spark, sf_dir), orders=_table(spark, sf_dir, "orders"))
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
