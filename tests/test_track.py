@@ -82,3 +82,40 @@ def test_rows_on_their_way_are_bounded(spark, tmp_path):
     done, _, _ = streams.run(spark, path, lambda log: T.track_requests(log, options, shards=1, bucket=1, delay="1 second", held=7))
     want, _ = simulate(rows, 2000, 3, 1000, max(at for at, *_ in rows) - 1000)
     assert sorted((r.group_vxid, r.complete_reason, sorted(x.rec_seq for x in r.records)) for r in done.collect()) == want
+
+
+def test_buckets_of_a_batch_are_read_once():
+    """A batch that passes a thousand buckets reads and writes the list of those that wait once, not once a bucket."""
+    from types import SimpleNamespace
+
+    class State(dict):
+        reads = writes = 0
+
+        def exists(self):
+            return True
+
+        def get(self):
+            self.reads += 1
+            return (list(range(1000, 1_001_000, 1000)),)
+
+        def update(self, value):
+            self.writes += 1
+            self.left = value[0]
+
+        def getValue(self, key):
+            return ([(key[0] * 1000, 1)],)
+
+        def removeKey(self, key):
+            self[key] = None
+
+    class Kept(T.InTimeOrder):
+        def take(self, rows, until):
+            yield from rows
+
+    p = Kept(1000, "at_ms long, n long", held=7)
+    states = {"waiting": State(), "pending": State()}
+    p.init(SimpleNamespace(getMapState=lambda name, *_: states[name], getValueState=lambda name, *_: states[name]))
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 900_500)
+    got = [r for end in range(1000, 901_000, 1000) for r in p.handleExpiredTimer((0,), times, SimpleNamespace(getExpiryTimeInMs=lambda end=end: end))]
+    assert got == [(i * 1000, 1) for i in range(900)] and len(states["waiting"]) == 900
+    assert (states["pending"].reads, states["pending"].writes) == (1, 1) and states["pending"].left == list(range(901_000, 1_001_000, 1000))

@@ -2,7 +2,7 @@
 
 A shard's rows wait in state by time bucket until the watermark has passed their bucket; then they are
 taken in order of time. So what ends, times out or is pushed out does not depend on how the log was cut
-into batches, and no batch is ever sorted whole: memory holds one bucket, and a bounded number of rows on their way there.
+into batches, and no batch is ever sorted whole: memory holds one bucket, and a bounded number of rows on their way there and back.
 
 Open requests stand in a queue in the order of their first records, which is the order in which they
 time out and in which they are pushed out, as all have the same timeout. Its front is the only place that is
@@ -44,6 +44,7 @@ class InTimeOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long", self.kept)
         self.pending = handle.getValueState("pending", "ends array<long>")
+        self.dealt: dict[Any, int] = {}
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held, n = {}, 0
@@ -77,19 +78,28 @@ class InTimeOrder(StatefulProcessor):
         return (bucket + 1) * self.bucket_ms
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        bucket, rows = until // self.bucket_ms - 1, []
-        if self.waiting.containsKey((bucket,)):
-            rows = sorted(tuple(x) for x in self.waiting.getValue((bucket,))[0])
-            self.waiting.removeKey((bucket,))
-            self.pending.update(([e for e in self._ends() if e != until],))
-        self.key, self.mark = key[0], timerValues.getCurrentWatermarkInMs()
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.dealt.get(key[0]) == mark:
+            return  # the first timer of a batch sees to all that the watermark has passed
+        self.dealt[key[0]] = mark
+        self.key, self.mark = key[0], mark
+        ends = self._ends()
+        up = [end for end in ends if end <= mark]
         # no timer of this batch comes behind the last bucket that the watermark has passed, so what is up by then is seen to now
-        last = not any(until < e <= self.mark for e in self._ends())
-        yield from self.take(rows, max(until, self.mark // self.bucket_ms * self.bucket_ms) if last else until)
+        until, rows = max(expiredTimerInfo.getExpiryTimeInMs(), mark // self.bucket_ms * self.bucket_ms, *up[-1:]), []
+        for end in up:
+            bucket = (end // self.bucket_ms - 1,)
+            rows += sorted(tuple(x) for x in self.waiting.getValue(bucket)[0])
+            self.waiting.removeKey(bucket)
+            if len(rows) >= self.held and end != up[-1]:
+                yield from self.take(rows, end)
+                rows = []
+        if up:
+            self.pending.update((ends[len(up):],))
+        yield from self.take(rows, until)
 
     def take(self, rows: list[tuple], until: int) -> Iterator[Row]:
-        """The rows of a bucket, in order, and the time up to which there are no others; also called without rows at times that were registered."""
+        """The rows of buckets that follow each other, in order, and the time up to which there are no others; also called without rows at times that were registered."""
         raise NotImplementedError
 
     def close(self) -> None:
