@@ -1,6 +1,11 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
 from trackweave.llm import passage_dedup as X
 from trackweave.llm.queries import op7_line_dedup
 
+from ..conftest import SF
 from .helpers import documents, rng, words
 
 
@@ -75,3 +80,14 @@ def test_query_finds_passages_inside_lines(spark, tmp_path):
     passage = " ".join(f"p{i}" for i in range(60))
     documents(spark, [f"a {passage} b", f"c {passage} d"]).write.parquet(str(tmp_path / "documents.parquet"))
     assert [(x.doc_id, x.words_removed) for x in op7_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, 0), (1, 60)]
+
+
+def test_digest_of_words(spark):
+    """White space of every kind parts words; the digest is made where the texts are, not by a pattern over each of them."""
+    spaces = [chr(c) for c in range(0x3100) if not chr(c).split()]
+    docs = documents(spark, ["".join(f"{s}a{s}ü" for s in spaces), " ".join(["a ü"] * len(spaces)), None, " \n"])
+    found = X.digest(docs.select("doc_id", "text"))
+    got = {x.doc_id: x.words_sha256 for x in found.collect()}
+    assert got[0] == got[1] == hashlib.sha256(" ".join(["a ü"] * len(spaces)).encode()).hexdigest() and got[2] == got[3] == hashlib.sha256(b"").hexdigest()
+    assert {x.sha for x in docs.where("doc_id < 2").select(F.sha2(F.trim(F.regexp_replace("text", f"[{X.SPACE}]+", " ")), 256).alias("sha")).collect()} == {got[0]}
+    assert "regexp_replace" not in op7_line_dedup(spark, SF)._jdf.queryExecution().toString()

@@ -29,6 +29,7 @@ unchanged; an empty table gives an empty result; other columns are not looked at
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,6 +213,18 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(_without, f"id {kind}, text string, n_lines long, n_removed long, words_removed long").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = (" ".join((text or "").split()).encode() for text in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([hashlib.sha256(text).hexdigest() for text in texts], pa.string())], names=[*batch.schema.names[:-1], "words_sha256"])
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The last column, a text, as the SHA-256 (lowercase hex) of its words with one space between them; null is as empty."""
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in found.schema[:-1]]
+    return found.mapInArrow(_digests, ", ".join([*kinds, "words_sha256 string"]))
+
+
 #: White space between words, as a class of both Java's and DuckDB's patterns.
 SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 

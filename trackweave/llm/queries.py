@@ -46,8 +46,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passage_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{passage_dedup.SPACE}]+", " "))
-    return found.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(words, 256).alias("words_sha256"))
+    return passage_dedup.digest(found.select("doc_id", "n_lines", "n_removed", "words_removed", "text"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
