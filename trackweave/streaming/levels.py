@@ -11,49 +11,53 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..options import TrackOptions
+from . import packed
 
 _CLOSED = "interval_ms long, d long, c long, d_hi long, c_hi long"
 _LEVELS = "interval_ms long, occ long, occ_hi_this long, chunks long, chunks_hi_this long, occ_hi long, chunks_hi long"
 
 
+def _by_instant(steps: np.ndarray) -> np.ndarray:
+    """Changes (at, d, c) in order, those of one instant and direction added up; at one instant ends come before starts."""
+    rising = steps[:, 1] > 0
+    order = np.lexsort((rising, steps[:, 0]))
+    steps, rising = steps[order], rising[order]
+    new = np.append(True, (steps[1:, 0] != steps[:-1, 0]) | (rising[1:] != rising[:-1]))
+    starts = np.flatnonzero(new)
+    return np.column_stack([steps[starts, 0], np.add.reduceat(steps[:, 1:], starts)])
+
+
 class _Interval(StatefulProcessor):
-    """Changes of one interval, added up by instant; at one instant ends count before starts."""
+    """Changes of one interval: a batch adds one cell of them to its state, whatever their number."""
 
     def __init__(self, width_ms: int):
         self.width_ms = width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.steps = handle.getMapState("steps", "at long, change int", "d long, c long")
+        self.steps = handle.getListState("steps", packed.PACKED)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh: dict[tuple[int, int], list[int]] = {}
-        for r in rows:
-            step = fresh.setdefault((r.at, r.change), [0, 0])
-            step[0] += r.change
-            step[1] += r.change * r.chunks
-        for place, (d, c) in fresh.items():
-            if self.steps.containsKey(place):
-                held = self.steps.getValue(place)
-                d, c = d + held[0], c + held[1]
-            self.steps.updateValue(place, (d, c))
-        self.handle.registerTimer(key[0] + self.width_ms)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh = np.concatenate([frame[["at", "d", "c"]].to_numpy(np.int64) for frame in rows])
+        self.steps.appendValue((packed.pack(_by_instant(fresh)),))
+        self.handle.registerTimer(int(key[0]) + self.width_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        d = c = 0
-        d_hi = c_hi = None
-        for _, (step_d, step_c) in sorted((tuple(k), tuple(v)) for k, v in self.steps.iterator()):
-            d, c = d + step_d, c + step_c
-            d_hi, c_hi = (d, c) if d_hi is None else (max(d_hi, d), max(c_hi, c))
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.steps.exists():
+            return
+        steps = _by_instant(packed.unpack((r[0] for r in self.steps.get()), 3))
         self.steps.clear()
-        if d_hi is not None:
-            yield Row(interval_ms=key[0], d=d, c=c, d_hi=d_hi, c_hi=c_hi)
+        level = np.cumsum(steps[:, 1:], axis=0)
+        (d, c), (d_hi, c_hi) = level[-1], level.max(axis=0)
+        yield pd.DataFrame({"interval_ms": [int(key[0])], "d": [d], "c": [c], "d_hi": [d_hi], "c_hi": [c_hi]})
 
     def close(self) -> None:
         pass
@@ -86,6 +90,7 @@ def occupancy_stream(delivery: DataFrame, options: TrackOptions = TrackOptions()
     changes = F.array(F.struct(F.unix_micros("submit_ts").alias("at"), F.lit(1).alias("change")), F.struct(F.unix_micros("done_ts").alias("at"), F.lit(-1).alias("change")))
     steps = rows.select("submit_ts", F.coalesce(chunks, F.lit(1)).alias("chunks"), F.inline(changes)).where("at is not null")
     steps = steps.withColumn("interval_ms", F.floor(F.col("at") / (width * 1000)).cast("long") * width)
-    closed = steps.groupBy("interval_ms").transformWithState(_Interval(width), _CLOSED, "append", "eventTime")
+    steps = steps.select("interval_ms", "submit_ts", "at", F.col("change").cast("long").alias("d"), (F.col("change") * F.col("chunks")).alias("c"))
+    closed = steps.groupBy("interval_ms").transformWithStateInPandas(_Interval(width), _CLOSED, "append", "eventTime")
     levels = closed.withColumn("all", F.lit(0)).groupBy("all").transformWithState(_Level(), _LEVELS, "append", "none")
     return levels.select(F.timestamp_millis("interval_ms").alias("interval_start"), "occ", "occ_hi_this", "chunks", "chunks_hi_this", "occ_hi", "chunks_hi")
