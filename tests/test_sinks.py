@@ -117,6 +117,15 @@ def test_repeated_null_and_looped_rows(spark):
     assert groups.resolve_groups(spark.createDataFrame([], _TX)).count() == 0
 
 
+def test_rows_are_shuffled_twice_to_find_groups(spark):
+    """By vxid for the parent that counts and by parent for its pointer, which itself is shuffled once; parents of several rows and a null vxid stay right."""
+    rows = [(None, 1, None, 0), (None, 2, 4, 0), (None, 2, 1, 1), (None, 4, None, 0), (None, 5, 2, 0), (None, 6, 5, 0), (None, None, 5, 0)]
+    found = groups.resolve_groups(spark.createDataFrame(rows, _TX))
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    assert sorted((r.vxid or 0, r.group_vxid or 0) for r in found.collect()) == [(0, 0), (1, 1), (2, 1), (2, 1), (4, 4), (5, 1), (6, 1)]
+
+
 def test_places(spark):
     rows = spark.createDataFrame([(i % 3 if i % 3 else None, i) for i in range(50)], "partition int, group_vxid long")
     got = {}
