@@ -17,3 +17,16 @@ def test_log_is_that_of_the_sql(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Join Inner") == 1
+
+
+def test_line_items_of_a_task_are_bounded(spark, monkeypatch):
+    """Where the session's partitions would hold too many, line items are dealt to more, in the one shuffle that there was."""
+    want = views.transactions(spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(views, "SORTED_ROWS", rows // 9)
+    found = views.transactions(spark, SF)
+    assert found.exceptAll(want).isEmpty() and found.count() == want.count()
+    numbered = found.where("tx_seq > 0")
+    assert numbered.rdd.getNumPartitions() >= 9
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan

@@ -82,8 +82,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Line items that one task numbers, about, whatever the size of the table.
+SORTED_ROWS = 1_000_000
+
+
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, dealt by order for their numbering where the session's partitions would be too large to sort."""
+    rows = _table(spark, sf_dir, "lineitem")
+    parts = -(-rows.count() // SORTED_ROWS)
+    return rows.repartition(parts, "l_orderkey") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TX, orders=_table(spark, sf_dir, "orders"), lineitem=_table(spark, sf_dir, "lineitem"))
+    return spark.sql(TX, orders=_table(spark, sf_dir, "orders"), lineitem=_line_items(spark, sf_dir))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
