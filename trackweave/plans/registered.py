@@ -13,7 +13,7 @@ from ..operators import group_query as G
 from ..operators import route as R
 from ..options import TrackOptions
 from ..sources import logs, plugin, sinks
-from ..steps import new_path
+from ..steps import materialize, new_path
 from . import sql, views
 
 QUERIES: dict = {}
@@ -296,7 +296,7 @@ def text_log_resolved(spark, sf_dir):
     """A dump of transactions without nesting: groups come from the parents that `Begin` names, their order from the vxids."""
     path = new_path(spark, "flat-text")
     _request_text(spark, sf_dir, nested=False).write.text(path)
-    log = logs.nested_by_begin(logs.read_request_log(spark, path)).where("side = 'c' and tag <> 'Begin'")
+    log = materialize(logs.nested_by_begin(logs.read_request_log(spark, path)).where("side = 'c' and tag <> 'Begin'"), "nested")
     tx = groups.resolve_groups(log.select("group_vxid", "vxid", "parent_vxid").distinct()).select("vxid", "group_vxid")
     placed = log.drop("group_vxid").join(tx, "vxid").withColumn("tx_seq", (F.col("vxid") - F.col("group_vxid")).cast("int"))
     return A.assemble(placed, TrackOptions(), _fallback())
