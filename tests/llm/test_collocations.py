@@ -101,3 +101,53 @@ def test_equal_suffixes_are_told_from_equal_hashes():
     own.prefix_hashes = lambda depth: np.zeros(7, np.uint64)
     got = C._distinct(own, places, size)
     assert sorted(want[1]) == sorted(got[1]) == [1] * 7 and sorted(want[0]) == sorted(got[0])
+
+
+def test_texts_are_read_twice(spark):
+    """One pass counts, another hands suffixes on, also where buckets are drawn out to all words."""
+    rows = [(t, lang) for t, lang in _texts(5, 60) if t]
+    docs, read = documents(spark, [(t, lang, "s") for t, lang in rows]).select("lang", "text"), spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    C.phrase_counts(docs.mapInArrow(noted, docs.schema), least=4, groups=1000)
+    assert read.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("most", [1, 30])
+def test_groups_of_bounded_size(spark, monkeypatch, most):
+    """One group is asked for, but none may have more suffixes than the bound."""
+    monkeypatch.setattr(C, "MOST", most)
+    rows = _texts(most, 80) + [("go go go go go go go go " * 20, "en"), ("go go", "de"), ("a\tlong-tail of words", None)]
+    docs = documents(spark, [(t, lang, "s") for t, lang in rows])
+    assert _rows(C.collocations(docs, least=3, best=None, groups=1)) == brute(rows, 3, 10**9)
+
+
+def test_equal_suffixes_do_not_fill_a_group(monkeypatch):
+    """A phrase over the budget is a suffix a block, and all suffixes of a block and group are one row."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1000)
+    texts = ["go " * 400] * 20 + ["one two three four five six. seven eight"] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    counted = pa.Table.from_batches(C._count_words([batch])).to_pylist()
+    loads = C.np.zeros(C.BUCKETS, dtype=C.np.int64)
+    for row in counted:
+        if row["lang"] is None:
+            loads[row["hash"]] += row["n"]
+    partition = C.Partition(loads, 100)
+
+    class Shared:
+        value = (partition, (C.np.zeros(0, C.np.uint64), pa.array([], pa.large_string())))
+
+    emitted = [row for out in C._emit_suffixes(Shared)([batch]) for row in out.to_pylist()]
+    n = [C.np.frombuffer(row["n"], C.np.int32) for row in emitted]
+    assert sum(x.sum() for x in n) == loads.sum() == 20 * 399 + 2 * 6
+    assert len(emitted) <= 21 * 5 and max(map(len, n)) <= 12
+    by_group = {}
+    for row, x in zip(emitted, n, strict=True):
+        by_group[row["group"]] = by_group.get(row["group"], 0) + len(x)
+    assert max(by_group.values()) <= 100

@@ -4,19 +4,18 @@ A text is lower-cased (A-Z), split into pieces at `[.,;:!?\\x0A-\\x0D]`, and tho
 place in a piece begins a suffix of at most `DEPTH` words, and a phrase occurs as often as suffixes
 begin with it. The subtrees of suffixes are built apart, after vertical partitioning:
 
-1. Words are counted per language. The `COMMON` most frequent ones get codes of two bytes; others are spelled out.
-2. A prefix of one word with more suffixes than the budget is drawn out to two words, its longer prefixes
-   are counted in another pass, and such a prefix that is over the budget still is drawn out to all its words. The budget is a `groups`-th of all words, so at most `groups` prefixes of a length are over it,
-   and just their hashes are sent to the tasks.
-3. All other prefixes are dealt into `BUCKETS` buckets whose loads are known, and buckets are
-   packed into groups up to the budget.
-4. Each group's suffixes, added up within each block of texts first, are sorted by Spark and read
-   as a stream: equal beginnings of neighbours are the nodes of its subtrees, and counts are sums over their leaves.
-   No task holds a group. Nodes that may go on elsewhere (above a group's prefixes, or at the edge of a batch)
-   are added up at the end; others below the least count are dropped at once.
-
-Five words that fill a group and more are a few leaves, as each block adds its own up first. With more data than a
-thousand tasks can sort, give more groups.
+1. One pass counts words per language, and suffixes of two words and more in `BUCKETS` buckets by the hash of their first two
+   words. The `COMMON` most frequent words get codes of two bytes; others are spelled out.
+2. Buckets are packed into groups up to a budget: a `groups`-th of all words, `MOST` at most. A bucket over the budget is
+   drawn out to all words of its suffixes: those are added up within each block of texts, so however many are equal
+   they are a few rows, and are dealt by hash into further groups, twice as many as their number fills.
+3. Another pass hands on the suffixes, one row for each block and group: a table of codes, as bytes.
+4. A task gets a group at a time and splits its suffixes word by word: the equal beginnings are the nodes of its subtrees,
+   and counts are sums over their leaves. Only nodes that reach the least count are split further. In groups that were drawn out a shorter
+   node may go on elsewhere: there all are kept, and added up at the end.
+
+A group holds about a budget of suffixes at most, so a task's memory is bounded whatever the size of the corpus and its most frequent
+phrases; only words far longer than usual, which are spelled out, make a group larger.
 
 Scores are exact: decimals of 38 digits. Of a candidate only phrases that are one word longer are
 tried for containing it, as an occurrence of a longer one is also one of those.
@@ -38,21 +37,22 @@ from pyspark.sql import functions as F
 from .common import join_counted, materialize
 from .text_arrays import LOWER, blocks, mix, utf8
 
-#: Words of the longest phrase, and of the prefixes that are tried one after another.
+#: Words of the longest phrase.
 DEPTH = 5
-LENGTHS = (1, 2, DEPTH)
-#: Groups that suffixes are dealt into, and the buckets that are packed into them.
+#: Groups that suffixes are dealt into at least, the suffixes of one at most, and the buckets that are packed into them.
 GROUPS = 1024
-BUCKETS = 1 << 17
-#: Words with codes of two bytes, and the byte that begins a word that is spelled out; such words end with a zero.
+MOST = 1 << 21
+BUCKETS = 1 << 16
+#: Words with codes of two bytes (0 ends a suffix), and the code of a word that is spelled out.
 COMMON = 254 * 256
-SPELLED = 254
-#: Distinct prefixes that a task adds up before it hands them on.
-HELD = 1 << 20
-#: Bytes of text that are added up together.
-BLOCK_BYTES = 1 << 22
-#: Rows handed to a Python worker at once, texts or suffixes; Spark bounds their bytes.
-BATCH_ROWS = 4000
+SPELLED = 0xFFFF
+#: Bytes of counted words that a task adds up before it hands them on.
+HELD = 1 << 24
+#: Bytes of text that are added up together, and the suffixes that are packed at once.
+BLOCK_BYTES = 1 << 21
+PACKED = 1 << 20
+#: Rows handed to a Python worker at once, texts or packed suffixes; Spark bounds their bytes.
+BATCH_ROWS = 2000
 #: Tasks that each language's best phrases are first found in.
 SALTS = 64
 
@@ -66,6 +66,8 @@ _SEPARATOR = pa.scalar(" ", pa.large_string())
 
 #: Control characters, a zero that ends a spelled word among them, are written as DEL and a sign inside.
 _ESCAPED = {c: f"\x7f{sign}" for c, sign in zip([*range(0, 9), *range(14, 32), 0x7F], "abcdefghijklmnopqrstuvwxyz0~", strict=True)}
+_UNSAFE = np.zeros(256, dtype=bool)
+_UNSAFE[list(_ESCAPED)] = True
 #: In the name of a language blanks and line ends are written so too.
 _ESCAPED_NAME = _ESCAPED | {c: f"\x7f{sign}" for c, sign in zip([0x20, *range(9, 14)], "123456", strict=True)}
 
@@ -80,9 +82,7 @@ def _plain(text: Column, escaped: dict[int, str]) -> Column:
 
 
 def _escape(texts: pa.Array) -> pa.Array:
-    unsafe = np.frombuffer(bytes(_ESCAPED), dtype=np.uint8)
-    data, _ = utf8(texts)
-    present = np.bincount(data, minlength=256)[unsafe].any() if len(data) else False
+    present = _UNSAFE[utf8(texts)[0]].any()
     return pa.array([t and t.translate(_ESCAPED) for t in texts.to_pylist()], pa.large_string()) if present else texts
 
 
@@ -112,7 +112,7 @@ class Suffixes:
         row = np.searchsorted(at, starts, "right") - 1
         sizes = ends - starts
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        held = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        held = data[word[1:-1]]
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
         names = [("und" if x is None else x).translate(_ESCAPED_NAME) for x in langs]
         self.langs = sorted(set(names))
@@ -123,15 +123,14 @@ class Suffixes:
         self.of_lang, which = pairs // max(1, len(words.dictionary)), pairs % max(1, len(words.dictionary))
         self.text = words.dictionary.take(pa.array(which))
         self.hash = self._hashes()
-        broken = np.concatenate([[0], np.cumsum(stop)])
+        broken = np.concatenate([np.zeros(1, np.int32), np.cumsum(stop, dtype=np.int32)])
         same = (row[1:] == row[:-1]) & (broken[starts[1:]] == broken[ends[:-1]]) if len(starts) else np.zeros(0, bool)
         piece_ends = np.append(np.flatnonzero(~same) + 1, len(starts)) if len(starts) else np.zeros(0, np.int64)
         self.left = (piece_ends[np.searchsorted(piece_ends, np.arange(len(starts)), "right")] - np.arange(len(starts))) if len(starts) else np.zeros(0, np.int64)
 
     def _hashes(self) -> np.ndarray:
         """A hash of language and word, the same in every block."""
-        spelled = pc.binary_join_element_wise(pa.array(self.langs, pa.large_string()).take(pa.array(self.of_lang)), self.text, _SEPARATOR)
-        data, at = utf8(spelled)
+        data, at = utf8(self.spelled())
         prefix = np.zeros(len(data) + 1, dtype=np.uint64)
         longest = int(np.diff(at).max(initial=0))
         powers = np.full(longest + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
@@ -141,17 +140,18 @@ class Suffixes:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place], out=prefix[1:])
         return mix(prefix[at[1:]] - prefix[at[:-1]])
 
-    def codes(self, vocabulary: tuple[np.ndarray, pa.Array]) -> pa.Array:
-        """The code of each distinct word: no code begins another."""
-        hashes, spelled = vocabulary
-        own = pc.binary_join_element_wise(pa.array(self.langs, pa.large_string()).take(pa.array(self.of_lang)), self.text, _SEPARATOR)
+    def spelled(self) -> pa.Array:
+        """`lang word` of each distinct word."""
+        return pc.binary_join_element_wise(pa.array(self.langs, pa.large_string()).take(pa.array(self.of_lang)), self.text, _SEPARATOR)
+
+    def codes(self, vocabulary: tuple[np.ndarray, pa.Array]) -> tuple[np.ndarray, pa.Array]:
+        """(code of each distinct word, the words spelled with a zero at the end)."""
+        hashes, common = vocabulary
+        own, found = self.spelled(), np.zeros(len(self.text), bool)
         at = np.minimum(np.searchsorted(hashes, self.hash), max(0, len(hashes) - 1))
-        common = np.zeros(len(own), bool)
         if len(hashes):
-            common = (hashes[at] == self.hash) & pc.equal(spelled.take(pa.array(at)), own).to_numpy(zero_copy_only=False)
-        short = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.arange(len(own) + 1) * 2), pa.py_buffer(at.astype(">u2"))])
-        long = pc.binary_join_element_wise(pa.scalar(bytes([SPELLED]), pa.large_binary()), own.cast(pa.large_binary()), pa.scalar(b"\0", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-        return pc.if_else(pa.array(common), short, long)
+            found = (hashes[at] == self.hash) & pc.equal(common.take(pa.array(at)), own).to_numpy(zero_copy_only=False)
+        return np.where(found, at + 1, SPELLED).astype(np.uint16), pc.binary_join_element_wise(own, pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string()))
 
     def prefix_hashes(self, depth: int) -> np.ndarray:
         """For each place the hash of its suffix's first words, at most `depth`; with fewer, of those and an end."""
@@ -172,51 +172,48 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[Suffixes]:
         yield Suffixes(langs[first:last], LOWER[data[offsets[first] : offsets[last]]], at)
 
 
+_COUNTED = "lang string, word string, hash long, n long"
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, hash, n) of words; without lang and word, suffixes by bucket, its number as the hash."""
+    held, size, loads = [], 0, np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
         for own in _blocks(batch):
             lang = pa.array(own.langs, pa.large_string()).take(pa.array(own.of_lang))
             n = np.bincount(own.word, minlength=len(own.text))
-            yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), own.text.cast(pa.string()), pa.array(own.hash.view(np.int64)), pa.array(n)], names=["lang", "word", "hash", "n"])
+            held.append(pa.table([lang.cast(pa.string()), own.text.cast(pa.string()), pa.array(own.hash.view(np.int64)), pa.array(n)], names=["lang", "word", "hash", "n"]))
+            loads += np.bincount(_bucket(own.prefix_hashes(2)[own.left > 1]), minlength=BUCKETS)
+            size += held[-1].nbytes
+            if size > HELD:
+                yield from _added(held).to_batches()
+                held, size = [], 0
+    if held:
+        yield from _added(held).to_batches()
+    full = np.flatnonzero(loads)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.nulls(len(full), pa.string()), pa.array(full), pa.array(loads[full])], names=["lang", "word", "hash", "n"])
 
 
-class Partition:
-    """Which group a suffix belongs to: hashes of prefixes over the budget by length, and the group of each bucket."""
-
-    def __init__(self):
-        self.over, self.groups = [], None
-
-    def prefixes(self, own: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, words) of the prefix of each place: one word, or the next length for every step that is over the budget."""
-        key, depth = own.prefix_hashes(1), np.ones(len(own.word), dtype=np.int64)
-        for over, length, longer in zip(self.over, LENGTHS, LENGTHS[1:], strict=False):
-            more = np.flatnonzero((depth == length) & np.isin(key, over))
-            key[more] = own.prefix_hashes(longer)[more]
-            depth[more] = longer
-        return key, depth
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counted words, those of several blocks as one row."""
+    found = pa.concat_tables(tables).group_by(["lang", "word", "hash"], use_threads=False).aggregate([("n", "sum")])
+    return found.rename_columns(["lang", "word", "hash", "n"])
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def _count_prefixes(partition, depth: int):
-    """(hash, n) of the prefixes of `depth` words that were drawn out last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for own in _blocks(batch):
-                key, depths = partition.value.prefixes(own)
-                more, times = np.unique(key[(depths == depth) & (own.left > 1)], return_counts=True)
-                keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([n, times]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
-                    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+class Partition:
+    """The group of each bucket, -1 for those over the budget; and the groups that the suffixes of these are dealt into."""
 
-    return run
+    def __init__(self, loads: np.ndarray, budget: int):
+        over = loads > budget
+        self.groups = _packed(np.where(over, 0, loads), budget)
+        self.first_drawn = int(self.groups[-1]) + 1
+        # filled by half, as all nodes of theirs are kept and dealing by hash is not even
+        self.drawn = max(1, -(-2 * int(loads[over].sum()) // budget))
+        self.groups[over] = -1
 
 
 def _distinct(own: Suffixes, places: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,82 +228,98 @@ def _distinct(own: Suffixes, places: np.ndarray, size: np.ndarray) -> tuple[np.n
     return np.unique(number, return_index=True, return_counts=True)[1:]
 
 
+def _slices(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary for each range of values between the offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * values.itemsize), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _pack(own: Suffixes, code: np.ndarray, spelled: pa.Array, places: np.ndarray, group: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each group of the places, which are in order of it."""
+    at = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    words, left = np.append(code[own.word], np.zeros(DEPTH, np.uint16)), own.left[places]
+    codes = np.zeros((len(places), DEPTH), np.uint16)
+    for j in range(DEPTH):
+        codes[:, j] = words[places + j] * (left > j)
+    long = np.flatnonzero(codes == SPELLED)
+    data, ends = utf8(spelled.take(pa.array(own.word[places[long // DEPTH] + long % DEPTH])))
+    columns = [pa.array(group[at[:-1]].astype(np.int32)), _slices(codes, at * DEPTH), _slices(data, ends[np.searchsorted(long, at * DEPTH)]), _slices(n, at)]
+    return pa.RecordBatch.from_arrays(columns, names=["group", "codes", "spelled", "n"])
+
+
 def _emit_suffixes(shared):
-    """(place, suffix, n): suffixes of two words and more in codes, added up by block; place is the group and the prefix's depth."""
+    """(group, codes, spelled, n): the suffixes of two words and more, a row for each block and group. A suffix is DEPTH codes and
+    a number; words that are spelled out follow in the order of their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, vocabulary = shared.value
         for batch in batches:
             for own in _blocks(batch):
-                size = np.minimum(own.left, DEPTH)
-                places = np.flatnonzero(size > 1)
-                first, n = _distinct(own, places, size[places])
-                first = places[first]
-                key, depth = partition.prefixes(own)
-                codes = own.codes(vocabulary)
-                parts = [codes.take(pa.array(own.word[np.minimum(first + j, len(own.word) - 1)], mask=size[first] <= j)) for j in range(DEPTH)]
-                suffix = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()), null_handling="skip").cast(pa.binary())
-                place = partition.groups[_bucket(key[first])] * 8 + depth[first]
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), suffix, pa.array(n.astype(np.int32))], names=["place", "suffix", "n"])
+                places = np.flatnonzero(own.left > 1)
+                if not len(places):
+                    continue
+                group = partition.groups[_bucket(own.prefix_hashes(2)[places])]
+                n, over = np.ones(len(places), dtype=np.int32), group < 0
+                if over.any():
+                    drawn = places[over]
+                    first, times = _distinct(own, drawn, np.minimum(own.left[drawn], DEPTH))
+                    drawn = drawn[first]
+                    dealt = partition.first_drawn + (own.prefix_hashes(DEPTH)[drawn] % np.uint64(partition.drawn)).astype(np.int32)
+                    places, group, n = np.append(places[~over], drawn), np.append(group[~over], dealt), np.append(n[~over], times.astype(np.int32))
+                order = np.argsort(group.astype(np.min_scalar_type(int(group.max()))), kind="stable")
+                code, spelled = own.codes(vocabulary)
+                for i in range(0, len(order), PACKED):
+                    part = order[i : i + PACKED]
+                    yield _pack(own, code, spelled, places[part], group[part], n[part])
 
     return run
 
 
-def _word_ends(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For each depth the end of that many codes of each row; past its last code, -1."""
-    zeros, begin, ends = np.append(np.flatnonzero(data == 0), len(data)), at[:-1].copy(), []
-    for _ in range(DEPTH):
-        live = (begin >= 0) & (begin < at[1:])
-        here = np.where(live, begin, 0)
-        spelled = live & (data[here] == SPELLED) if len(data) else live
-        begin = np.where(live, np.where(spelled, zeros[np.searchsorted(zeros, here)] + 1, here + 2), -1)
-        ends.append(begin)
-    return ends
-
-
-def _phrase(code: bytes, vocabulary: pa.Array) -> str:
-    """`lang word word ...` of a code."""
-    words, at = [], 0
-    while at < len(code):
-        if code[at] == SPELLED:
-            end = code.index(0, at)
-            words.append(code[at + 1 : end].decode())
-            at = end + 1
-        else:
-            words.append(vocabulary[code[at] * 256 + code[at + 1]].as_py())
-            at += 2
-    return " ".join([words[0], *[w.split(" ", 1)[1] for w in words[1:]]])
+def _subtrees(shared, least: int):
+    """(phrase, words, n) of the nodes of a group's suffixes; n is whole, or a part where the node may go on elsewhere."""
+
+    def run(table: pa.Table) -> pa.Table:
+        partition, (_, common) = shared.value
+        drawn = table.column("group")[0].as_py() >= partition.first_drawn
+        codes = _joined(table.column("codes")).view(np.uint16).astype(np.int32)
+        n = _joined(table.column("n")).view(np.int32)
+        data = _joined(table.column("spelled"))
+        ends = np.append(0, np.flatnonzero(data == 0) + 1)
+        long = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        codes[codes == SPELLED] = SPELLED + 1 + long.indices.to_numpy()
+        codes = codes.reshape(-1, DEPTH)
+        below, rows, node, found = SPELLED + 1 + len(long.dictionary), np.arange(len(codes)), codes[:, 0].astype(np.int64), []
+        for depth in range(2, DEPTH + 1):
+            going = codes[rows, depth - 1] > 0
+            rows, node = rows[going], node[going]
+            distinct, node = np.unique(node * below + codes[rows, depth - 1], return_inverse=True)
+            total = np.bincount(node, weights=n[rows], minlength=len(distinct)).astype(np.int64)
+            keep = np.ones(len(distinct), bool) if drawn and depth < DEPTH else total >= least
+            one = np.zeros(len(distinct), np.int64)
+            one[node] = rows
+            found.append((codes[one[keep], :depth], total[keep]))
+            rows, node = rows[keep[node]], node[keep[node]]
+        return pa.concat_tables([_phrases(c, common, long.dictionary, total) for c, total in found])
 
+    return run
 
-def _subtrees(shared, least: int):
-    """(phrase, words, n) of the nodes of sorted suffixes; n is whole, or a part where the node may go on elsewhere."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value[1][1]
-        for batch in batches:
-            held = batch.column(1).cast(pa.large_binary())
-            at = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
-            data = np.frombuffer(held.buffers()[2], dtype=np.uint8)
-            n, drawn = batch.column(2).to_numpy().astype(np.int64), batch.column(0).to_numpy() % 8
-            for depth, ends in enumerate(_word_ends(data, at), 1):
-                rows = np.flatnonzero(ends >= 0)
-                if depth == 1 or not len(rows):
-                    continue
-                sizes = ends[rows] - at[:-1][rows]
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                own = data[np.repeat(at[:-1][rows] - offsets[:-1], sizes) + np.arange(offsets[-1])]
-                prefixes = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
-                fresh = np.ones(len(rows), bool)
-                fresh[1:] = pc.not_equal(prefixes[1:], prefixes[:-1]).to_numpy(zero_copy_only=False)
-                heads = np.flatnonzero(fresh)
-                total = np.add.reduceat(n[rows], heads)
-                part = np.maximum.reduceat(drawn[rows], heads) > depth
-                part[[0, -1]] = True
-                keep = np.flatnonzero(part | (total >= least))
-                phrases = [_phrase(x, vocabulary) for x in prefixes.take(pa.array(heads[keep])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(np.full(len(keep), depth, np.int32)), pa.array(total[keep])], names=["phrase", "words", "n"])
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after another."""
+    held = column.cast(pa.large_binary()).combine_chunks()
+    at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(held.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
 
-    return run
+
+def _phrases(codes: np.ndarray, common: pa.Array, long: pa.Array, n: np.ndarray) -> pa.Table:
+    """(phrase, words, n): a phrase is `lang word word ...`."""
+    distinct, which = np.unique(codes, return_inverse=True)
+    short = distinct <= SPELLED
+    named = pa.concat_arrays([common.take(pa.array(distinct[short] - 1)), pc.utf8_rtrim(long.take(pa.array(distinct[~short] - SPELLED - 1)), characters="\0")])
+    bare = pc.replace_substring_regex(named, "^[^ ]* ", "")
+    which = which.reshape(codes.shape)
+    parts = [(bare if j else named).take(pa.array(which[:, j])) for j in range(codes.shape[1])]
+    phrase = pc.binary_join_element_wise(*parts, _SEPARATOR)
+    return pa.table([phrase.cast(pa.string()), pa.array(np.full(len(n), codes.shape[1], np.int32)), pa.array(n)], names=["phrase", "words", "n"])
 
 
 def _packed(loads: np.ndarray, budget: int) -> np.ndarray:
@@ -325,27 +338,6 @@ def _collect(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     return [found.column(c).to_numpy() for c in columns]
 
 
-def _partitioned(texts: DataFrame, words: DataFrame, budget: int) -> Partition:
-    """Prefixes over the budget, length by length, and the groups of the rest: all bounded whatever the corpus."""
-    spark, loads, partition, depth = texts.sparkSession, np.zeros(BUCKETS, np.int64), Partition(), 0
-    counted = words.groupBy("hash").agg(F.sum("n").alias("n"))
-    while True:
-        bucket = F.shiftrightunsigned("hash", 40).bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
-        last = depth == len(LENGTHS) - 1
-        fits = counted if last else counted.filter(F.col("n") <= budget)
-        at, load = _collect(fits.groupBy(bucket).agg(F.sum("n").alias("n")), "bucket", "n")
-        loads[at] += load
-        over = np.zeros(0, np.uint64) if last else _collect(counted.filter(F.col("n") > budget), "hash")[0].view(np.uint64)
-        if not len(over):
-            break
-        partition.over.append(over)
-        depth += 1
-        counted = texts.mapInArrow(_count_prefixes(spark.sparkContext.broadcast(partition), LENGTHS[depth]), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        counted = materialize(counted, f"prefixes-{LENGTHS[depth]}", BATCH_ROWS)
-    partition.groups = _packed(loads, budget)
-    return partition
-
-
 def _common(words: DataFrame) -> tuple[np.ndarray, pa.Array]:
     """Hashes, in order, and spellings `lang word` of the most frequent words; of words with one hash, one."""
     top = words.orderBy(F.desc("n"), "hash").limit(COMMON).select("hash", F.concat_ws(" ", "lang", "word").alias("spelled")).toArrow()
@@ -356,14 +348,18 @@ def _common(words: DataFrame) -> tuple[np.ndarray, pa.Array]:
 def phrase_counts(docs: DataFrame, least: int, groups: int = GROUPS, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all phrases of at most DEPTH words with f >= least, (lang, n)); control characters are escaped."""
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
-    words = texts.mapInArrow(_count_words, "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
-    words = materialize(words, "words", BATCH_ROWS)
+    counted = texts.mapInArrow(_count_words, _COUNTED).groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "words", BATCH_ROWS)
+    words = counted.filter("lang is not null")
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = docs.sparkSession.sparkContext.broadcast((_partitioned(texts, words, max(1, -(-total // groups))), _common(words)))
-    suffixes = texts.mapInArrow(_emit_suffixes(shared), "place int, suffix binary, n int")
-    leaves = suffixes.repartition(F.expr("place div 8")).sortWithinPartitions("suffix")
-    nodes = leaves.mapInArrow(_subtrees(shared, least), "phrase string, words int, n long")
+    at, load = _collect(counted.filter("lang is null"), "hash", "n")
+    loads = np.zeros(BUCKETS, dtype=np.int64)
+    loads[at] = load
+    partition = Partition(loads, max(1, min(MOST, -(-total // groups))))
+    shared = docs.sparkSession.sparkContext.broadcast((partition, _common(words)))
+    suffixes = texts.mapInArrow(_emit_suffixes(shared), "group int, codes binary, spelled binary, n binary")
+    nodes = suffixes.groupBy("group").applyInArrow(_subtrees(shared, least), "phrase string, words int, n long")
     counts = nodes.groupBy("phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     lang = F.substring_index("phrase", " ", 1)
     counts = counts.select(lang.alias("lang"), F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "words", "f")
