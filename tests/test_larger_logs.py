@@ -30,3 +30,10 @@ def long_dir(tmp_path_factory):
 def test_long_logs_and_deep_requests(spark, long_dir, name):
     """Deadlines that would pass before the log ends; chains deeper than four hops reach."""
     compare(spark, streams.R.QUERIES[name], streams.R.ORACLES[name], long_dir)
+
+
+def test_files_beside_a_broken_one_are_not_lost(spark, monkeypatch):
+    """A batch of several files, the last broken."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 1000)
+    monkeypatch.setattr(streams, "files_a_batch", lambda *_: 4)
+    compare(spark, streams.stream_follow, streams.R.ORACLES["stream_follow"], SF)
