@@ -26,7 +26,7 @@ def long_dir(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["state_dump"])
+@pytest.mark.parametrize("name", ["state_dump", "stream_groups"])
 def test_long_logs_and_deep_requests(spark, long_dir, name):
     """Deadlines that would pass before the log ends; chains deeper than four hops reach."""
     compare(spark, streams.R.QUERIES[name], streams.R.ORACLES[name], long_dir)
