@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from trackweave.plans import streams
+from trackweave.plans import registered, streams
 
 from .conftest import SF
 from .oracle import TABLES, compare
@@ -37,3 +38,17 @@ def test_files_beside_a_broken_one_are_not_lost(spark, monkeypatch):
     monkeypatch.setattr(streams, "FILE_ROWS", 1000)
     monkeypatch.setattr(streams, "files_a_batch", lambda *_: 4)
     compare(spark, streams.stream_follow, streams.R.ORACLES["stream_follow"], SF)
+
+
+def test_request_texts_are_dealt_once(spark):
+    """Paragraphs and requests are put together behind one exchange, and their files are small."""
+    plan = registered._request_text(spark, SF, nested=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_texts_are_compressed_and_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registered, "TEXT_ROWS", 10)
+    registered._write_text(spark.range(25).select(F.concat(F.lit("*   << Request  >> "), F.col("id").cast("string")).alias("value")).coalesce(1), str(tmp_path / "text"))
+    names = [p.name for p in (tmp_path / "text").glob("part-*")]
+    assert len(names) == 3 and all(n.endswith(".lz4") for n in names)
+    assert spark.read.text(str(tmp_path / "text")).count() == 25
