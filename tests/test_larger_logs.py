@@ -1,5 +1,7 @@
 """What shows on larger logs only, on small ones that have it."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,20 @@ def test_texts_are_compressed_and_cut(spark, tmp_path, monkeypatch):
     names = [p.name for p in (tmp_path / "text").glob("part-*")]
     assert len(names) == 3 and all(n.endswith(".lz4") for n in names)
     assert spark.read.text(str(tmp_path / "text")).count() == 25
+
+
+@pytest.mark.parametrize(("name", "folder", "least"), [("stream_sink_format", "sink", "_committed/*.json"), ("stream_ledger", "ledger", "deliveries/batch=*")])
+def test_batches_of_messages_have_several_files(spark, monkeypatch, name, folder, least):
+    """Sixteen files of messages are no sixteen batches, each in one task."""
+    paths, new_path = {}, streams.new_path
+    monkeypatch.setattr(streams, "new_path", lambda spark, name: paths.setdefault(name, new_path(spark, name)) if name == folder else new_path(spark, name))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        compare(spark, streams.R.QUERIES[name], streams.R.ORACLES[name], SF)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 3 < len(list(Path(paths[folder].removeprefix("file:")).glob(least))) < 8
